@@ -64,6 +64,22 @@ def _literal(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _matches(ids: Column, at: Column, licence: str, parts: Sequence[str], gap: int) -> Column:
+    """Places where the identifiers are those of one rule, in its order, with no more than `gap` other sentences between two."""
+    n = len(parts)
+    last = F.size(ids) - (n - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def fits(i: Column) -> Column:
+        out = F.slice(ids, i, n) == _literal(parts)
+        for k in range(n - 1):
+            out = out & (F.element_at(at, i + k + 1) - F.element_at(at, i + k) <= gap + 1)
+        return out
+
+    match = lambda i: F.struct(F.lit(licence).alias("licence"), F.element_at(at, i).alias("first"), F.element_at(at, i + n - 1).alias("last"), F.lit(n).alias("parts"))
+    return F.transform(F.filter(starts, fits), match)
+
+
 def scan(docs: DataFrame, known: Mapping[str, str] | None = None, rules: Sequence[tuple[str, Sequence[str]]] | None = None, gap: int = GAP) -> DataFrame:
     """docs (doc_id, text, ...) with n_sentences, recognised (position, id) in order, and matches (licence, first, last sentence, parts).
 
@@ -79,21 +95,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] | None = None, rules: Sequenc
     split = rest.withColumn("_sentences", sentences(F.col("text")))
     placed = F.transform("_sentences", lambda s, i: F.struct(i.alias("position"), F.element_at(by_text, s).alias("id")))
     found = split.withColumn("n_sentences", F.size("_sentences").cast("long")).withColumn("recognised", F.filter(placed, lambda x: x["id"].isNotNull())).drop("_sentences")
-    ids, at = F.col("recognised.id"), F.col("recognised.position")
-    matches = []
-    for licence, parts in rules:
-        n = len(parts)
-        last = F.size(ids) - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-
-        def fits(i: Column, parts=parts, n=n) -> Column:
-            near = [F.element_at(at, i + k + 1) - F.element_at(at, i + k) <= gap + 1 for k in range(n - 1)]
-            out = F.slice(ids, i, n) == _literal(parts)
-            for x in near:
-                out = out & x
-            return out
-
-        matches.append(F.transform(F.filter(starts, fits), lambda i, licence=licence, n=n: F.struct(F.lit(licence).alias("licence"), F.element_at(at, i).alias("first"), F.element_at(at, i + n - 1).alias("last"), F.lit(n).alias("parts"))))
+    matches = [_matches(F.col("recognised.id"), F.col("recognised.position"), licence, parts, gap) for licence, parts in rules]
     none = F.array().cast("array<struct<licence:string,first:int,last:int,parts:int>>")
     every = found.withColumn("_all", F.when(F.size("recognised") > 0, F.concat(*matches)).otherwise(none))
     inside = lambda m: F.exists("_all", lambda o: (o["parts"] > m["parts"]) & (o["first"] <= m["first"]) & (o["last"] >= m["last"]))
