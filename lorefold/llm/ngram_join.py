@@ -184,10 +184,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     seen = materialise(clean.mapInArrow(_incidence(k, num, den), "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>"), "incidence")
     sets = seen.select("doc_id", "n_shingles", "k1", "k2").where("k1 is not null and doc_id is not null")
     first = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # the salt keeps a signature that many near copies share from meeting in one task; the chain of the salts' first documents joins their chains
-    shared = seen.where("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig")).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(16)).cast("byte"))
-    runs = shared.groupBy("sig", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    crowded = materialise(runs.groupBy("sig").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.max("high").alias("high")).where("high > low"), "signatures")
+    # each task adds up a signature's rows before the shuffle, so one that many near copies share arrives as a row a task
+    shared = seen.where("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
+    crowded = shared.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("high > low")
+    crowded = materialise(crowded, "signatures")
     chains = crowded.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     many = crowded.where("n > 2").select("sig", "low")
     chains = chains.unionByName(shared.join(broadcast_if_small(many, many.count(), 48), "sig").where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct()
