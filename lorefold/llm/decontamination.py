@@ -9,8 +9,6 @@ from .common import ascii_lower, broadcast_if_small, materialise, table
 
 WINDOW, GRAM = 13, 4
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a text whose case doesn't matter yet.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -40,6 +38,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     side have no words and no windows. Rows that repeat a doc_id are judged by their own text; a null doc_id is a value like others; a null item_id
     isn't listed. Windows that several items share are matched once. Extra columns play no part.
 
+    Texts are cut into words once, and the words written to the shared folder for the passes.
     The tokens of the set join are runs of GRAM words (or of the whole window where it is shorter). A window can only occur where all its tokens do,
     so its prefix is one token. Pass 1 counts, over all documents, those tokens that windows have; a window with an absent token is out.
     The rarest of each remaining window joins in pass 2, where the position in the text, less the token's place in the window, must leave room
@@ -48,6 +47,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     win = materialise(windows(items.select("item_id", "text"), window), "windows")
     sizes = [r[0] for r in win.select(F.least("len", F.lit(GRAM))).distinct().limit(GRAM).collect()]
     text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    text = materialise(text.withColumn("n_words", F.size("w").cast("long")), "words")
 
     def tokens(df: DataFrame, keep: list[str], k: int) -> DataFrame:
         return df.select(*keep, F.posexplode(_grams(F.col("w"), k)).alias("at", "gram"))
@@ -73,8 +73,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(x["start"], s["end"]))).alias("n"), F.greatest(s["end"], x["start"] + x["len"]).alias("end")))["n"]
     names = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda i: i.cast("string")))
     hit = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(covered.cast("long").alias("n_hit"), names.alias("item_names"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = base.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    out = text.select("doc_id", "text_key", "n_words").join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     names = F.coalesce("item_names", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
