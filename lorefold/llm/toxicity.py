@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import crc_mod, materialise, seeded_bits, table
+from .common import broadcast_if_small, crc_mod, materialise, seeded_bits, table
 
 #: Bytes of an n-gram; bits of a bucket of the count tables, which bounds the model whatever the corpus; the discount.
 ORDER, BITS, DISCOUNT = 5, 20, 0.75
@@ -282,7 +282,7 @@ def score(docs: DataFrame, net: KneserNey | None, cut: float = CUT) -> DataFrame
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with a toxic label of 0 or 1 whose crc32(doc_id) mod 4 isn't 2."""
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
-    return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(known, "doc_id")
+    return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(broadcast_if_small(known, labels.count(), 24), "doc_id")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
