@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import content_queries, operation_queries, search_queries
+
+_PARTS = (search_queries, content_queries, operation_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
