@@ -20,7 +20,7 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return J.rate_limit(e, 1, 3600).select("event_id", "window_start", "n", "allowed", "retry_after")
 
 
-RATE_SQL = """with e as (select *, epoch(ts)::bigint as t, epoch(ts)::bigint - epoch(ts)::bigint % 3600 as window_start from events), n as (select *, row_number() over (partition by user_id, window_start order by ts, event_id) as n from e)
+RATE_SQL = """with e as (select *, floor(epoch(ts))::bigint as t, floor(epoch(ts))::bigint - floor(epoch(ts))::bigint % 3600 as window_start from events), n as (select *, row_number() over (partition by user_id, window_start order by ts, event_id) as n from e)
 select event_id, window_start, n, n <= 1 as allowed, case when n > 1 then greatest(1, window_start + 3600 - t) end as retry_after from n"""
 
 
@@ -30,7 +30,7 @@ def daily_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUOTA_SQL = """with n as (select *, row_number() over (partition by user_id, event_type, date_trunc('day', ts) order by ts, event_id) as n from events)
-select event_id, n, least(n, 2) as consumed, n <= 2 as allowed, case when n > 2 then greatest(1, epoch(date_trunc('day', ts) + interval 1 day)::bigint - epoch(ts)::bigint) end as retry_after from n"""
+select event_id, n, least(n, 2) as consumed, n <= 2 as allowed, case when n > 2 then greatest(1, epoch(date_trunc('day', ts) + interval 1 day)::bigint - floor(epoch(ts))::bigint) end as retry_after from n"""
 
 
 def job_rollup(spark: SparkSession, d: str) -> DataFrame:
