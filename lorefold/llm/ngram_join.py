@@ -15,8 +15,8 @@ from .bytewords import mix, set_key, shingle_set, word_hashes
 from .common import broadcast_if_small, materialise, table
 from .components import connected_components
 
-#: Incidence entries (document, shingle) of one block of a family of candidates: the memory of a product is bounded by two blocks.
-BLOCK_ENTRIES = 200_000
+#: Incidence entries (document, shingle) and documents of one block of a family of candidates, on average: two blocks bound the memory of a product.
+BLOCK_ENTRIES, BLOCK_ROWS = 200_000, 800
 #: Columns of the incidence matrix that one dense product takes at a time.
 COLUMNS = 4096
 _U = np.uint64
@@ -117,8 +117,10 @@ def product_links(ids: list[int], rows: list[np.ndarray], num: int, den: int) ->
         strip = np.zeros((len(rows), COLUMNS), dtype=np.float32)
         strip[doc[a:z], column[a:z] - at] = 1
         overlap += strip @ strip.T
-    shares = overlap.astype(np.int64)
-    linked = den * shares >= num * (size[:, None] + size[None, :] - shares)
+    linked = np.empty(overlap.shape, dtype=bool)
+    for i in range(0, len(rows), 256):  # a few rows at a time keep the integers small
+        shares = overlap[i : i + 256].astype(np.int64)
+        linked[i : i + 256] = den * shares >= num * (size[i : i + 256, None] + size[None, :] - shares)
     left, stars = np.ones(len(rows), dtype=bool), {}
     for i in range(len(rows)):
         if not left[i]:
@@ -176,7 +178,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     1. One pass makes for each text its set's size and 128-bit key, and block signatures (see block_signatures) of sets that the task hasn't seen.
     2. Equal sets link by their key, whatever their number: the rows of a group of copies aren't compared.
     3. Signatures chain the documents that share one; the components of the chains are families of candidates, a superset of the links.
-    4. Each family's incidence rows are cut into blocks of BLOCK_ENTRIES, each pair of blocks is multiplied in one task, which accumulates
+    4. Each family's incidence rows are cut into blocks of BLOCK_ENTRIES or BLOCK_ROWS, each pair of blocks is multiplied in one task, which accumulates
        overlaps over strips of columns and returns only a spanning forest of the pairs that pass the exact test.
     Shingles are 64-bit hashes; a collision can change an overlap by one.
     """
@@ -194,7 +196,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     copies = sets.join(first, ["k1", "k2"]).where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     family = connected_components(chains).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     sized = family.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_ENTRIES).cast("int").alias("blocks"))
+    blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ENTRIES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     member = materialise(family.join(blocks, "family"), "families")
     texts = clean.join(broadcast_if_small(member, member.count(), 40), "doc_id")
     rows = texts.mapInArrow(_rows(k), "doc_id long, family long, blocks int, row array<long>")
