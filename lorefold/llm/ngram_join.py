@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,47 +23,58 @@ COLUMNS = 4096
 _U = np.uint64
 
 
-def _size_classes(top: int = 1 << 40, ratio: float = 1.26) -> list[int]:
-    """Largest set size of each class; neighbours differ by the ratio, so sets that can link lie in one class or in two that touch."""
+#: Sets of one size class differ by this factor at most, so sets that link lie in one class or in two that touch.
+CLASS_RATIO = 2.2
+
+
+def _size_classes(top: int = 1 << 40) -> list[int]:
+    """Largest set size of each class."""
     highs = [1]
     while highs[-1] < top:
-        highs.append(max(highs[-1] + 1, math.floor((highs[-1] + 1) * ratio)))
+        highs.append(max(highs[-1] + 1, math.floor((highs[-1] + 1) * CLASS_RATIO)))
     return highs
 
 
 _HIGH = _size_classes()
 
 
+@cache
+def _fill(num: int, den: int) -> float:
+    """Shingles of a block, on average, in the largest sets of a class: as many as leave enough blocks with two shingles or more for the signatures that are needed."""
+    if den * 10 > num * 10 * CLASS_RATIO:
+        raise ValueError(f"similarities under 1 / {CLASS_RATIO} aren't supported")
+    need = 1.06 * (den - num) / num
+    return max((x / 10 for x in range(18, 61) if (1 - math.exp(-x / 10) * (1 + x / 10)) / (x / 10) >= need), default=1.8)
+
+
 def block_signatures(values: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of which two sets share one at least if their Jaccard similarity reaches num / den, unless the sets are equal.
 
-    The n-gram columns are cut into K blocks. Two sets of at most h shingles that link miss at most d = 2h(den - num) / (den + num) shingles between
-    them, so at most d of the K blocks differ: if the overlap were counted block by block, a pair that agrees in no block would be below the
-    size-derived bound. A signature is the content of one block with two shingles at least. Sets with so many emptier blocks that these could be
-    all they share also give their prefix, by the same bound: the n - ceil(n num / den) + 1 smallest shingles.
+    The n-gram columns are cut into blocks, whose number depends on the size class. A set of n shingles and one of m that link miss at most
+    (n + m)(den - num) / (den + num) shingles between them, and m is n den / num at most: that bounds the blocks d in which they differ. So of the contents
+    of the blocks that aren't empty all but d are shared, and by the bound of prefix filters the first d + 1 in any order of contents are enough; here
+    those with the most shingles come first, as they are the least common. A set with no more than d such blocks also gives its prefix of shingles.
     """
     n = len(values)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
     out = []
     first = bisect_left(_HIGH, n)
-    position = mix(values) * _U(1) >> _U(32)
+    position = mix(values) >> _U(32)
     for c in (first, first + 1):
         if c > first and den * n < num * (_HIGH[c - 1] + 1):  # no set of the next class is small enough to link
             continue
-        d = 2 * _HIGH[c] * (den - num) // (den + num)
+        d = (n + min(n * den // num, _HIGH[c])) * (den - num) // (den + num)
         if d == 0:
             continue
-        blocks = math.ceil((1.25 if 100 * num >= 85 * den else 1.5) * (d + 1)) + 4
-        slack = blocks - d - 1
+        blocks = math.ceil(_HIGH[c] / _fill(num, den)) + 1
         block = (position * _U(blocks)) >> _U(32)
         order = np.argsort(block, kind="stable")
         held, start, count = np.unique(block[order], return_index=True, return_counts=True)
-        content = np.add.reduceat(mix(values[order] + _U(7)), start)
-        strong = count >= 2
         tag = _U((c * 0x9E3779B1 + num * 1009 + den) & 0xFFFFFFFF) << _U(24)
-        out.append(mix(content[strong] ^ mix(held[strong] + tag)))
-        if blocks - int(strong.sum()) > slack:
+        content = mix(np.add.reduceat(mix(values[order] + _U(7)), start) ^ mix(held + tag))
+        out.append(content[np.lexsort((content, -count))[: d + 1]])
+        if len(content) <= d:
             out.append(mix(values[: n - (-(-n * num // den)) + 1] ^ _U(0x5851F42D4C957F2D)))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
