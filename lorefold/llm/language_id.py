@@ -18,8 +18,8 @@ SAMPLE, SAMPLE_BYTES = 150, 32_768
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 300, 384, 0.02, 2
 #: Bytes that the network sees at once; a longer run without white space goes through in cuts of this length.
 SPAN = 24
-#: Distinct spans whose labels a Python worker remembers, in whatever tasks of the same network it runs.
-MEMORY = 800_000
+#: Distinct spans whose labels a Python worker remembers, in whatever tasks of the same network it runs; and rows that it cuts at once.
+MEMORY, ROWS = 300_000, 1000
 _memory: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
 
 
@@ -155,7 +155,7 @@ def _predict(net: Labeller):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _memory:
             _memory.clear()
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             place, sums = _memory.get(key, ({}, np.zeros((0, len(net.languages)))))
             if len(place) > MEMORY:
                 place, sums = {}, np.zeros((0, len(net.languages)))
