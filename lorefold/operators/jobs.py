@@ -136,17 +136,33 @@ def daily_quota(events: DataFrame, limit: int) -> DataFrame:
 MOVES = {("UPLOADED", "start"): "PROCESSING", ("PROCESSED", "start"): "PROCESSING", ("FAILED", "start"): "PROCESSING", ("PROCESSING", "complete"): "PROCESSED", ("PROCESSING", "fail"): "FAILED"}
 
 
-def fold_states(events: DataFrame, first: str = "UPLOADED") -> DataFrame:
-    """Final status of each key after its events (key, ts, seq, event) in order, with the number of moves and of refused events."""
+STATES = ("UPLOADED", "PROCESSING", "PROCESSED", "FAILED")
+
+
+def fold_states(events: DataFrame, first: str = "UPLOADED", span_events: int = 10_000) -> DataFrame:
+    """Final status of each key after its events (key, ts, seq, event) in order, with the number of moves and of refused events.
+
+    A key's events are cut in spans of time that hold span_events of all events on average, and each span is folded from every state at once, so a key
+    with a large part of the events is many rows; a row for each key and span then makes the result.
+    """
+    second = F.unix_timestamp("ts")
+    low, high, n = events.agg(F.min(second), F.max(second), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * span_events // max(1, n))
     step = lambda s, e: reduce(lambda other, m: F.when((s["status"] == m[0][0]) & (e["event"] == m[0][1]), F.lit(m[1])).otherwise(other), MOVES.items(), F.lit(None).cast("string"))
 
     def merge(s: Column, e: Column) -> Column:
         to = step(s, e)
         return F.struct(F.coalesce(to, s["status"]).alias("status"), (s["moves"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("moves"), (s["refused"] + F.when(to.isNull(), 1).otherwise(0)).alias("refused"))
 
-    start = F.struct(F.lit(first).alias("status"), F.lit(0).alias("moves"), F.lit(0).alias("refused"))
-    rows = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "event"))).alias("e"))
-    return rows.select("key", F.aggregate("e", start, merge).alias("s")).select("key", "s.*")
+    def follow(s: Column, part: Column) -> Column:
+        r = reduce(lambda other, state: F.when(s["status"] == state, part[state]).otherwise(other), STATES[1:], part[STATES[0]])
+        return F.struct(r["status"].alias("status"), (s["moves"] + r["moves"]).alias("moves"), (s["refused"] + r["refused"]).alias("refused"))
+
+    start = lambda state: F.struct(F.lit(state).alias("status"), F.lit(0).alias("moves"), F.lit(0).alias("refused"))
+    spans = events.groupBy("key", F.floor(second / width).alias("span")).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "event"))).alias("e"))
+    parts = spans.select("key", F.struct("span", *[F.aggregate("e", start(state), merge).alias(state) for state in STATES]).alias("part"))
+    rows = parts.groupBy("key").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return rows.select("key", F.aggregate("parts", start(first), follow).alias("s")).select("key", "s.*")
 
 
 def fold_leases(events: DataFrame, policy: RetryPolicy = RetryPolicy()) -> DataFrame:

@@ -142,3 +142,15 @@ def test_transcripts_are_parsed_tolerantly(spark):
     r = spark.createDataFrame([(body,), ("not json",), (None,)], "b string").select(X.parse_transcript(F.col("b")).alias("s")).collect()
     assert [tuple(x) for x in r[0].s] == [(1500, 1500, "S", "a"), (2250, 2250, None, "b")]
     assert not r[1].s and not r[2].s
+
+
+def test_states_fold_alike_in_one_span_and_in_many(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select((F.col("user_id") % 3).alias("key"), "ts", F.col("event_id").alias("seq"), F.expr("case event_id % 3 when 0 then 'start' when 1 then 'complete' else 'fail' end").alias("event"))
+    one, many = (sorted(map(tuple, J.fold_states(events, span_events=n).collect())) for n in (1 << 40, 7))
+    assert one == many and len(one) == 3
+    status, moves, refused = "UPLOADED", 0, 0
+    for r in sorted(events.where("key = 0").collect(), key=lambda r: (r.ts, r.seq)):
+        to = J.MOVES.get((status, r.event))
+        status, moves, refused = to or status, moves + (to is not None), refused + (to is None)
+    assert one[0] == (0, status, moves, refused)
+    assert J.fold_states(events.limit(0)).isEmpty()
