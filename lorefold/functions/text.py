@@ -16,6 +16,8 @@ MEDIA_TYPES = {
     "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "ogg": "audio/ogg", "flac": "audio/flac",
     "txt": "text/plain", "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 }
+OFFICE = "application/vnd.openxmlformats-officedocument."
+DOCUMENT_TYPES = ("text/plain", "application/pdf", "application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", OFFICE + "wordprocessingml.document", OFFICE + "spreadsheetml.sheet", OFFICE + "presentationml.presentation")
 SIZE_LIMITS = {"image": 10 << 20, "video": 20 << 20, "audio": 25 << 20}
 
 #: Headings of plain text: a line of roman numerals, # marks, chapter words, a roman numeral with a title in capitals.
@@ -191,6 +193,27 @@ def location(start: Column, end: Column, page: Column, slide: Column, sheet: Col
     )
 
 
+def sniffed_type(content: Column) -> Column:
+    """Media type of a file's bytes by their first ones and, in archives and compound files, by the names inside; text if no byte is zero; null for the rest."""
+    head = F.hex(F.substring(content, 1, 8))
+    has = lambda name: F.contains(content, F.lit(name))
+    office = F.when(has(b"word/"), OFFICE + "wordprocessingml.document").when(has(b"xl/"), OFFICE + "spreadsheetml.sheet").when(has(b"ppt/"), OFFICE + "presentationml.presentation").otherwise("application/zip")
+    wide = lambda name: has(name.encode("utf-16-le"))
+    compound = F.when(wide("WordDocument"), "application/msword").when(wide("Workbook"), "application/vnd.ms-excel").when(wide("PowerPoint Document"), "application/vnd.ms-powerpoint").otherwise("application/x-ole-storage")
+    return (
+        F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("504B0304"), office).when(head == "D0CF11E0A1B11AE1", compound)
+        .when((F.octet_length(content) > 0) & ~has(b"\x00"), "text/plain")
+    )
+
+
+def document_error(content: Column, kind: Column, text: Column, locked: Column, failed: Column, most: int = 1_000_000) -> Column:
+    """Code of the first thing wrong with a file: its bytes, its sniffed type, a password, a parser's failure, its length, its text; null if nothing is."""
+    return (
+        F.when(content.isNull() | (F.octet_length(content) == 0), "EMPTY_DOCUMENT").when(~F.coalesce(kind.isin(*DOCUMENT_TYPES), F.lit(False)), "UNSUPPORTED_DOCUMENT_FORMAT")
+        .when(locked, "PASSWORD_PROTECTED_DOCUMENT").when(failed, "CORRUPT_DOCUMENT").when(F.length(text) > most, "EXTRACTION_LIMIT_EXCEEDED").when(is_blank(text), "NO_EXTRACTABLE_TEXT")
+    )
+
+
 def length_prefixed_digest(parts: Sequence[Column]) -> Column:
     """SHA-256 over the parts, each after its length in bytes as four bytes; a null counts as length -1."""
     pieces = []

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lorefold.functions import text as T
 from lorefold.functions.html import html_blocks
 from lorefold.operators import chunking as K
 from lorefold.operators import embedding as E
@@ -154,3 +155,17 @@ def test_states_fold_alike_in_one_span_and_in_many(spark):
         status, moves, refused = to or status, moves + (to is not None), refused + (to is None)
     assert one[0] == (0, status, moves, refused)
     assert J.fold_states(events.limit(0)).isEmpty()
+
+
+def test_files_are_told_by_their_bytes(spark):
+    ole = bytes.fromhex("D0CF11E0A1B11AE1") + b"\x00"
+    files = [(b"%PDF-1.7", "pdf"), (b"PK\x03\x04..word/document.xml", "wordprocessingml.document"), (b"PK\x03\x04..xl/workbook.xml", "spreadsheetml.sheet"), (b"PK\x03\x04..x", "zip"), (ole + "Workbook".encode("utf-16-le"), "ms-excel"), (b"words", "plain"), (b"a\x00b", None), (b"", None), (None, None)]
+    got = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(files)], "i int, b binary").select("i", T.sniffed_type(F.col("b")).alias("t")).orderBy("i").collect()
+    assert all(r.t is None if want is None else r.t.endswith(want) for r, (_, want) in zip(got, files, strict=True))
+
+
+def test_document_errors_in_their_order(spark):
+    rows = [(b"", None, None, False, False), (b"x", "image/png", "x", False, False), (b"x", "application/pdf", "x", True, True), (b"x", "application/pdf", None, False, True), (b"x", "text/plain", "x" * 11, False, False), (b"x", "text/plain", " ", False, False), (b"x", "text/plain", None, False, False), (b"x", "text/plain", "ok", False, False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b binary, t string, x string, locked boolean, failed boolean")
+    got = [r.e for r in df.select("i", T.document_error(F.col("b"), F.col("t"), F.col("x"), F.col("locked"), F.col("failed"), 10).alias("e")).orderBy("i").collect()]
+    assert got == ["EMPTY_DOCUMENT", "UNSUPPORTED_DOCUMENT_FORMAT", "PASSWORD_PROTECTED_DOCUMENT", "CORRUPT_DOCUMENT", "EXTRACTION_LIMIT_EXCEEDED", "NO_EXTRACTABLE_TEXT", "NO_EXTRACTABLE_TEXT", None]
