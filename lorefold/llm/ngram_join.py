@@ -180,6 +180,28 @@ def _products(num: int, den: int):
     return run
 
 
+def _large_families(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Block pairs (doc_id, family, row, one, two) of families of several blocks, and links (a, b) of their members to their first.
+
+    Every member is compared with the family's first document. Those that link with it are connected, so no product of two of their blocks is needed: the rest are
+    multiplied with each other and with them. A large group of near copies of its first document then takes one pass, whatever its size.
+    """
+    pivots = rows.where("doc_id = family").groupBy("family").agg(F.min("row").alias("pivot"))
+    entries = pivots.agg(F.sum(F.size("pivot") + 8)).first()[0] or 0
+    seen = rows.join(broadcast_if_small(pivots, entries, 8), "family")
+    shared = F.size(F.array_intersect("row", "pivot"))
+    linked = (F.col("doc_id") != F.col("family")) & (den * shared.cast("long") >= num * (F.size("row") + F.size("pivot") - shared).cast("long"))
+    seen = materialise(seen.select("doc_id", "family", "row", (linked | (F.col("doc_id") == F.col("family"))).alias("core")), "pivots")
+    near = seen.where("core and doc_id > family").select(F.col("family").alias("a"), F.col("doc_id").alias("b"))
+    sides = seen.groupBy("family").agg(*[F.greatest(F.ceil(F.sum(F.when(side, F.size("row")).otherwise(0)) / BLOCK_ENTRIES), F.ceil(F.count_if(side) / BLOCK_ROWS)).cast("int").alias(name) for name, side in (("rests", ~F.col("core")), ("cores", F.col("core")))])
+    sides = sides.where("rests > 0")
+    placed = seen.join(broadcast_if_small(sides, sides.count(), 40), "family")
+    mine = F.when(F.col("core"), F.col("rests") + F.pmod(F.xxhash64("doc_id"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.greatest("rests", F.lit(1)))).cast("int")
+    last = F.when(F.col("core"), F.col("rests")).otherwise(F.col("rests") + F.col("cores")) - 1
+    placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return placed.select("doc_id", "family", "row", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")), near
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Link documents (doc_id, text) whose k-word shingle sets have a Jaccard similarity of num / den or more; a row (doc_id, n_shingles, component_id) for each.
 
@@ -191,7 +213,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     2. Equal sets link by their key, whatever their number: the rows of a group of copies aren't compared.
     3. Signatures chain the documents that share one; the components of the chains are families of candidates, a superset of the links.
     4. Each family's incidence rows are cut into blocks of BLOCK_ENTRIES or BLOCK_ROWS, each pair of blocks is multiplied in one task, which accumulates
-       overlaps over strips of columns and returns only a spanning forest of the pairs that pass the exact test.
+       overlaps over strips of columns and returns only a spanning forest of the pairs that pass the exact test; see _large_families for those of several blocks.
     Shingles are 64-bit hashes; a collision can change an overlap by one.
     """
     clean = docs.select(F.col("doc_id").cast("long"), "text")
@@ -210,11 +232,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sized = family.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
     blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ENTRIES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     member = materialise(family.join(blocks, "family"), "families")
-    texts = clean.join(broadcast_if_small(member, member.count(), 40), "doc_id")
-    rows = texts.mapInArrow(_rows(k), "doc_id long, family long, blocks int, row array<long>")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "family", "row", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
-    links = rows.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(_products(num, den), "a long, b long")
+
+    def incidence(part: DataFrame, n: int) -> DataFrame:
+        return clean.join(broadcast_if_small(part, n, 40), "doc_id").mapInArrow(_rows(k), "doc_id long, family long, blocks int, row array<long>")
+
+    whole, cut = member.where("blocks = 1"), member.where("blocks > 1")
+    large, near = _large_families(materialise(incidence(cut, cut.count()), "large"), num, den)
+    pairs = incidence(whole, whole.count()).select("doc_id", "family", "row", F.lit(0).alias("one"), F.lit(0).alias("two")).unionByName(large)
+    pairs = pairs.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")
+    links = pairs.mapInArrow(_products(num, den), "a long, b long").unionByName(near)
     joined = connected_components(links.unionByName(copies))
     out = seen.select("doc_id", "n_shingles").join(joined, seen["doc_id"] == joined["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
