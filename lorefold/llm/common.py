@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The largest table that an operator may broadcast, in bytes, judged by its row count and a bound on its row width.
 BROADCAST_BYTES = 32 << 20
+#: Rows of texts that Spark hands to Python at once, which bounds the buffers of both sides.
+BATCH_ROWS = 2000
 #: ASCII white space as the contracts write it, for java.util.regex.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,6 +39,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches have BATCH_ROWS rows at most from now on; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only if the counted rows stay under BROADCAST_BYTES; otherwise Spark joins by shuffling."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

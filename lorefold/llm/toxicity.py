@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import broadcast_if_small, crc_mod, materialise, seeded_bits, table
+from .common import broadcast_if_small, crc_mod, materialise, seeded_bits, small_batches, table
 
 #: Bytes of an n-gram; bits of a bucket of the count tables, which bounds the model whatever the corpus; the discount.
 ORDER, BITS, DISCOUNT = 5, 20, 0.75
@@ -133,7 +133,7 @@ def _fill(parts: tuple[str, ...], short: bool):
 
         def add(name: str, bucket: np.ndarray, value: np.ndarray) -> None:
             k = TABLES.index(name)
-            total[k] = total.get(k, 0) + np.bincount(bucket, value, 1 << BITS)
+            np.add.at(total.setdefault(k, np.zeros(1 << BITS)), bucket, value)
 
         for b in batches:
             gram = b.column("gram").to_numpy().view(np.uint64)
@@ -241,7 +241,7 @@ def fit(labelled: DataFrame) -> KneserNey | None:
     in tables of 1 << BITS buckets, so the model is bounded whatever the corpus. To weigh the three features of the score, models of half of the rows (by a
     seeded hash of doc_id) measure at most CALIBRATION rows of the other half; then all rows make the tables.
     """
-    rows = labelled.select(F.when(seeded_bits(SEED, F.col("doc_id")) % 2 == 0, 0).otherwise(1).alias("part"), F.col("toxic").cast("int").alias("toxic"), "text", "doc_id")
+    rows = small_batches(labelled).select(F.when(seeded_bits(SEED, F.col("doc_id")) % 2 == 0, 0).otherwise(1).alias("part"), F.col("toxic").cast("int").alias("toxic"), "text", "doc_id")
     kinds = {tuple(r) for r in rows.select("part", "toxic").distinct().collect()}
     if {t for _, t in kinds} != {0, 1}:
         return None
@@ -276,7 +276,7 @@ def score(docs: DataFrame, net: KneserNey | None, cut: float = CUT) -> DataFrame
         return docs.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    return docs.select(*names).mapInArrow(_score(shared, names), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return small_batches(docs).select(*names).mapInArrow(_score(shared, names), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
