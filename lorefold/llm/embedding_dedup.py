@@ -18,8 +18,10 @@ from .ngram_join import grouped
 THRESHOLD, RECALL, SEED = 0.93, 0.995, 4
 #: Width of the confidence bound, in standard errors of the estimate.
 WIDTH = 4.5
-#: Vectors that one bucket holds on average, and vectors of one block of a crowded bucket.
-BUCKET, BLOCK = 512, 1024
+#: Vectors that one bucket of bands_for holds on average, and classes of one block of a label.
+BUCKET, BLOCK = 512, 4096
+#: Rows of a block that are compared at a time, which bounds the matrices; room for rounding in the bound.
+STRIP, SLACK = 512, 1e-9
 
 
 def rotation(dim: int, number: int, seed: int = SEED) -> np.ndarray:
@@ -60,13 +62,29 @@ def estimates(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> tuple[np.ndarra
     return (code @ v.T) / factor[:, None], error
 
 
+def least_products(factor: np.ndarray, threshold: float) -> np.ndarray:
+    """By the angle's triangle inequality, the least inner product with a row's code that a unit vector can have whose product with the row is threshold or more."""
+    across = np.sqrt(np.maximum(0, 1 - factor**2)) * math.sqrt(max(0.0, 1 - threshold**2))
+    return np.where(factor + threshold < 0, -2.0, factor * threshold - across) - SLACK
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit rows with an inner product of threshold or more; only pairs whose confidence bound reaches it are computed exactly."""
-    about, error = estimates(x, y)
-    i, j = np.nonzero(about + WIDTH * error[:, None] >= threshold)  # a confidence bound below the threshold settles the rest
-    keep = [np.einsum("ij,ij->i", x[i[a : a + 65536]], y[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)]
-    keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-    return i[keep], j[keep]
+    """Index pairs of unit rows with an inner product of threshold or more; only pairs that the codes and correction factors of x can't rule out are computed exactly."""
+    r = rotation(x.shape[1], 0)
+    v = (y @ r).T
+    left, right = [], []
+    for at in range(0, len(x), STRIP):
+        u = x[at : at + STRIP] @ r
+        code = np.where(u > 0, 1.0, -1.0) / math.sqrt(x.shape[1])
+        i, j = np.nonzero(code @ v >= least_products(np.einsum("ij,ij->i", code, u), threshold)[:, None])
+        i += at
+        for a in range(0, len(i), 65536):
+            m, n = i[a : a + 65536], j[a : a + 65536]
+            keep = np.einsum("ij,ij->i", x[m], y[n]) >= threshold
+            left.append(m[keep])
+            right.append(n[keep])
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -90,29 +108,13 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "label", "embedding")), pa.array(dims, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["vec_id", "label", "embedding", "dim", "k1", "k2"])
 
 
-def _banded(bits: int, bands: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes: list[list[int]] = [[]] * b.num_rows
-            x = _vectors(b.column("embedding"))
-            dims = np.array([len(v) for v in x])
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                for i, c in zip(at, band_codes(np.stack([x[i] for i in at]), bits, bands), strict=True):
-                    codes[i] = c.tolist()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "label", "dim", "n", "embedding")), pa.array(codes, pa.list_(pa.int64()))], names=["vec_id", "label", "dim", "n", "embedding", "codes"])
-
-    return run
-
-
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in grouped(batches, ["label", "dim", "band", "code", "one", "two"]):
-            band, one, two = key[2], key[4], key[5]
+        for key, t in grouped(batches, ["label", "dim", "one", "two"]):
+            one, two = key[2], key[3]
             ids, n, mine = (np.array(t.column(c).to_pylist(), dtype=np.int64) for c in ("vec_id", "n", "mine"))
             x = np.stack(_vectors(t.column("embedding")))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            codes = np.array(t.column("codes").to_pylist(), dtype=np.int64)
             left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
             if not len(left) or not len(right):
                 continue
@@ -120,8 +122,6 @@ def _compare(threshold: float):
             i, j = left[i], right[j]
             ok = (i < j) if one == two else np.ones(len(i), dtype=bool)
             i, j = i[ok], j[ok]
-            fresh = ~(codes[i, :band] == codes[j, :band]).any(axis=1)  # a pair counts in the first band that it shares
-            i, j = i[fresh], j[fresh]
             links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
             at = np.flatnonzero(links)
             stars = spanning_stars(zip(ids[i].tolist(), ids[j].tolist(), strict=True))
@@ -132,7 +132,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Vectors (vec_id, embedding, label) of equal labels and lengths link if their cosine, in double precision, is threshold or more.
 
     Returns vec_id, n_links (other vectors linked directly), component_id (smallest vec_id that links reach) and kept, a row for each row of vectors.
@@ -140,11 +140,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     one class, whose copies count in n_links without being compared. Rows that repeat a vec_id share links and component;
     a null vec_id has a null component_id, isn't kept and links with nothing. Extra columns play no part; an empty table gives an empty result.
 
-    Every class gets a code of `bits` signs in each of `bands` bands (see bands_for): pairs that share no code aren't compared, which loses at most
-    1 - recall of the pairs at the threshold, fewer above it; with BUCKET vectors a label or fewer there is one bucket and nothing is lost.
-    Buckets of more than BLOCK classes are cut into blocks, each pair of blocks is a task of its own. In a task, binary codes and correction factors
-    give estimates with confidence bounds, and only pairs whose bound reaches the threshold are computed. Tasks return a sum and a spanning forest
-    of their links, never the pairs.
+    The classes of a label and length are cut into blocks of about BLOCK, and each pair of blocks is a task of its own, so every pair is looked at whatever the
+    size: the work grows with the square of a label's classes. In a task, binary codes and correction factors bound each inner product (see
+    least_products), and only pairs whose bound reaches the threshold are computed; none that links is lost. Tasks return a sum and a spanning
+    forest of their links, never the pairs.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long").alias("label"), "embedding")
     kind = rows.schema["embedding"].dataType.simpleString()
@@ -152,16 +151,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     key = ["label", "dim", "k1", "k2"]
     valid = keyed.where("k1 is not null and vec_id is not null")
     classes = materialise(valid.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    bits, bands = bands_for(largest, threshold, recall)
     heads = valid.join(classes, key).where("vec_id = rep").dropDuplicates(key).select("vec_id", "label", "dim", "n", "embedding")
-    coded = materialise(heads.mapInArrow(_banded(bits, bands), f"vec_id long, label long, dim int, n long, embedding {kind}, codes array<long>"), "codes")
-    bucket = ["label", "dim", "band", "code"]
-    crowded = coded.select("label", "dim", F.posexplode("codes").alias("band", "code")).groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = coded.select("*", F.posexplode("codes").alias("band", "code")).join(crowded, bucket)
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = [*bucket, "one", "two"]
-    placed = placed.select(*bucket, F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "vec_id", "n", "codes", "embedding")
+    group = ["label", "dim"]
+    blocks = classes.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1").select(*group, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    placed = heads.join(blocks, group).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = [*group, "one", "two"]
+    placed = placed.select(*group, F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "vec_id", "n", "embedding")
     found = placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "vec_id long, links long, root long")
     found = materialise(found, "links")
     part = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

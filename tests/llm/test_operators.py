@@ -211,6 +211,27 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(about - x @ x.T) <= embedding_dedup.WIDTH * error[:, None] + 1e-9).mean() > 0.9999
 
 
+def test_embeddings_lose_no_link_in_large_labels(spark):
+    """A label of more than BUCKET vectors, beside a small one, whose near pairs lie just above the threshold."""
+    rng = np.random.default_rng(7)
+
+    def near(n):
+        u = rng.standard_normal((n, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v = rng.standard_normal((n, 64))
+        v -= (v * u).sum(1, keepdims=True) * u
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        return np.concatenate([u, 0.931 * u + math.sqrt(1 - 0.931**2) * v])
+
+    x = np.concatenate([near(2500), near(10)])
+    labels = [0] * 5000 + [1] * 20
+    e = spark.createDataFrame([(i, v.tolist(), label) for i, (v, label) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(e).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [int((unit[a:z] @ unit[i] >= 0.93).sum()) - 1 for a, z in ((0, 5000), (5000, 5020)) for i in range(a, z)]
+    assert min(want) >= 1 and got == dict(enumerate(want))
+
+
 def test_bands_find_pairs_at_the_threshold():
     """With many vectors a label, pairs at the threshold share a band with the wanted recall."""
     rng = np.random.default_rng(2)
