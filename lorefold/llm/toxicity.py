@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,11 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import mix
-from .common import broadcast_if_small, crc_mod, materialise, seeded_bits, small_batches, table
+from .common import BROADCAST_BYTES, broadcast_if_small, crc_mod, materialise, seeded_bits, small_batches, table
 
-#: Bytes of an n-gram; bits of a bucket of the count tables, which bounds the model whatever the corpus; the discount.
-ORDER, BITS, DISCOUNT = 5, 20, 0.75
+#: Bytes of an n-gram; the discount.
+ORDER, DISCOUNT = 5, 0.75
 #: Labelled documents on which the two weights of the score are fitted.
 CALIBRATION = 20_000
 CUT, SEED = 0.3, 10
@@ -49,41 +48,51 @@ def grams_of(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return packed, length
 
 
-def _bucket(packed: np.ndarray, kind: int, bits: int = BITS) -> np.ndarray:
-    return (mix(packed | _U(kind) << _U(8 * 7)) & _U((1 << bits) - 1)).astype(np.int64)
+#: Tables of the model, their keys and bytes a row: counts of n-grams by class; of their contexts, with the kinds of n-grams that follow; preceding bytes
+#: of a shorter n-gram; and those of its context, with the kinds of shorter n-grams that follow.
+TABLES = {"top": ("gram", 24), "context": ("context", 40), "low": ("low", 16), "low_context": ("low_context", 24)}
+VALUES = {"top": ("c0", "c1"), "context": ("h0", "h1", "t0", "t1"), "low": ("low_n",), "low_context": ("low_h", "low_t")}
 
 
-def _levels(packed: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of an n-gram and its context, then of the n-gram without its first byte and of its context; and that shorter n-gram."""
-    low = packed & _U((1 << 8 * (order - 1)) - 1)
-    return _bucket(packed, 1), _bucket(packed >> _U(8), 2), _bucket(low, 3), _bucket(low >> _U(8), 4), low
-
-
-#: Tables of the model: counts of n-grams, of contexts and of the kinds of n-grams of a context, for the ordinary and the toxic class; then the shared
-#: continuation counts: preceding bytes of a shorter n-gram, those of its context, and kinds of shorter n-grams of a context.
-TABLES = ("c0", "c1", "h0", "h1", "t0", "t1", "low", "low_h", "low_t")
+def log_ratio(v: dict[str, np.ndarray]) -> np.ndarray:
+    """log P(byte | context, toxic) - log P(byte | context, ordinary) from the counts of n-grams; counts that the tables don't have are 0."""
+    held = np.maximum(v["low_h"], 1)
+    shared = np.maximum(v["low_n"] - DISCOUNT, 0) / held + np.where(v["low_h"] > 0, DISCOUNT * v["low_t"] / held, 1) / 256
+    p = []
+    for c in "01":
+        seen = v["h" + c]
+        n = np.maximum(seen, 1)
+        p.append(np.where(seen > 0, np.maximum(v["c" + c] - DISCOUNT, 0) / n + np.minimum(DISCOUNT * v["t" + c], seen) / n * shared, shared))
+    return np.log(np.maximum(p[1], 1e-12) / np.maximum(p[0], 1e-12))
 
 
 @dataclass
-class KneserNey:
-    tables: dict[str, np.ndarray]
-    weights: np.ndarray  # bias, then of the document's mean, its strongest word, the logarithm of its words
-    key: str = ""
+class Held:
+    """A model whose tables are small enough to be sent to the tasks: sorted keys and their counts."""
+
+    tables: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]]
+    weights: np.ndarray
+    key: str
 
     def ratio(self, words: list[bytes]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each word."""
         packed, length = grams_of(words)
-        top, ctx, low, low_ctx, _ = _levels(packed)
-        t = self.tables
-        known = t["low_h"][low_ctx]
-        held = np.maximum(known, 1)
-        shared = np.maximum(t["low"][low] - DISCOUNT, 0) / held + np.where(known > 0, DISCOUNT * t["low_t"][low_ctx] / held, 1) / 256
-        p = []
-        for c in "01":
-            seen = t["h" + c][ctx]
-            n = np.maximum(seen, 1)
-            p.append(np.where(seen > 0, np.maximum(t["c" + c][top] - DISCOUNT, 0) / n + np.minimum(DISCOUNT * t["t" + c][ctx], seen) / n * shared, shared))
-        return np.add.reduceat(np.log(np.maximum(p[1], 1e-12) / np.maximum(p[0], 1e-12)), np.cumsum(length) - length)
+        gram, inverse = np.unique(packed, return_inverse=True)
+        low = gram & _U((1 << 8 * (ORDER - 1)) - 1)
+        found: dict[str, np.ndarray] = {}
+        for name, key in (("top", gram), ("context", gram >> _U(8)), ("low", low), ("low_context", low >> _U(8))):
+            keys, values = self.tables[name]
+            at = np.minimum(np.searchsorted(keys, key.view(np.int64)), max(0, len(keys) - 1))
+            same = keys[at] == key.view(np.int64) if len(keys) else np.zeros(len(key), dtype=bool)
+            found |= {c: np.where(same, v[at], 0.0) if len(v) else np.zeros(len(key)) for c, v in values.items()}
+        return np.add.reduceat(log_ratio(found)[inverse], np.cumsum(length) - length)
+
+
+@dataclass
+class KneserNey:
+    tables: dict[str, DataFrame]
+    weights: np.ndarray  # bias, then of the document's mean, its strongest word, the logarithm of its words
+    held: Held | None = None
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,52 +130,69 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         gram = b.column("gram").to_numpy().view(np.uint64)
-        low, n = np.unique(_levels(gram)[4], return_counts=True)
+        low, n = np.unique(gram & _U((1 << 8 * (ORDER - 1)) - 1), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
 
-def _fill(parts: tuple[str, ...], short: bool):
-    """Sums by (table, bucket) of the n-grams of one partition; parts says which halves count."""
+def _tables(grams: DataFrame, shorter: DataFrame, parts: tuple[str, ...], weights: np.ndarray) -> KneserNey:
+    """The model of the halves `parts`: exact counts, which also go to the driver and the tasks if all their rows stay under BROADCAST_BYTES."""
+    sums = [sum((F.col(p + c) for p in parts[1:]), F.col(parts[0] + c)).alias("c" + c) for c in "01"]
+    top = grams.select("gram", *sums).where("c0 + c1 > 0")
+    counts = [F.sum("c" + c).alias("h" + c) for c in "01"] + [F.count_if(F.col("c" + c) > 0).alias("t" + c) for c in "01"]
+    frames = {
+        "top": top, "context": top.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(*counts), "low": shorter.select(F.col("gram").alias("low"), F.col("n").alias("low_n")),
+        "low_context": shorter.groupBy(F.shiftrightunsigned("gram", 8).alias("low_context")).agg(F.sum("n").alias("low_h"), F.count("*").alias("low_t")),
+    }
+    frames = {name: materialise(df, f"model-{name}") for name, df in frames.items()}
+    net = KneserNey(frames, weights)
+    if sum(df.count() * TABLES[name][1] for name, df in frames.items()) <= BROADCAST_BYTES:
+        tables = {}
+        for name, df in frames.items():
+            got = df.orderBy(TABLES[name][0]).toArrow()
+            tables[name] = got.column(TABLES[name][0]).to_numpy(), {c: got.column(c).to_numpy().astype(float) for c in VALUES[name]}
+        net.held = Held(tables, weights, uuid.uuid4().hex)
+    return net
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, text) rows to (text_key, word, n), a row for each distinct word of a text."""
+    for b in batches:
+        for a in range(0, b.num_rows, 200):
+            rows = [(k, w, n) for k, text in zip(*(b.slice(a, 200).column(c).to_pylist() for c in ("text_key", "text")), strict=True) for w, n in Counter(words_of(text)).items()]
+            keys, words, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["text_key", "word", "n"])
 
-        def add(name: str, bucket: np.ndarray, value: np.ndarray) -> None:
-            k = TABLES.index(name)
-            np.add.at(total.setdefault(k, np.zeros(1 << BITS)), bucket, value)
 
-        for b in batches:
-            gram = b.column("gram").to_numpy().view(np.uint64)
-            if short:
-                n = b.column("n").to_numpy().astype(float)
-                ctx = _bucket(gram >> _U(8), 4)
-                add("low", _bucket(gram, 3), n)
-                add("low_h", ctx, n)
-                add("low_t", ctx, np.ones(len(gram)))
-                continue
-            top, ctx, *_ = _levels(gram)
-            for c in "01":
-                n = sum(b.column(p + c).to_numpy() for p in parts).astype(float)
-                add("c" + c, top, n)
-                add("h" + c, ctx, n)
-                add("t" + c, ctx, (n > 0).astype(float))
-        for k, v in total.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["t", "bucket", "v"])
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words to the n-grams at their bytes."""
+    for b in batches:
+        if b.num_rows:
+            packed, length = grams_of(b.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("word").take(pa.array(np.repeat(np.arange(b.num_rows), length))), pa.array(packed.view(np.int64))], names=["word", "gram"])
 
-    return run
+
+def _log_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        v = {c: b.column(c).to_numpy().astype(float) for cs in VALUES.values() for c in cs}
+        yield pa.RecordBatch.from_arrays([b.column("gram"), pa.array(log_ratio(v))], names=["gram", "ratio"])
 
 
-def _tables(grams: DataFrame, shorter: DataFrame, parts: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """The model's tables. At most len(TABLES) << BITS numbers reach the driver, whatever the corpus."""
-    kind = "t int, bucket int, v double"
-    filled = grams.mapInArrow(_fill(parts, False), kind).unionByName(shorter.mapInArrow(_fill(parts, True), kind)).groupBy("t", "bucket").agg(F.sum("v").cast("float").alias("v"))
-    out = {name: np.zeros(1 << BITS, dtype=np.float32) for name in TABLES}
-    got = filled.toArrow()
-    t, bucket, v = (got.column(c).to_numpy() for c in ("t", "bucket", "v"))
-    for k, name in enumerate(TABLES):
-        out[name][bucket[t == k]] = v[t == k]
-    return out
+def _joined_features(docs: DataFrame, net: KneserNey) -> DataFrame:
+    """docs (text, ...) with text_key, mean, most and length, from joins with the model's tables: n-grams of distinct words meet their counts, words their ratios.
+
+    Each n-gram, each word and each word of a distinct text is a row of a shuffle, so no task holds the model.
+    """
+    keyed = small_batches(docs).withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    pairs = keyed.select("text_key", "text").mapInArrow(_pairs, "text_key string, word binary, n long").groupBy("text_key", "word").agg(F.max("n").alias("n"))
+    pairs = materialise(pairs, "pairs")
+    spelled = materialise(pairs.select("word").distinct().mapInArrow(_spelled, "word binary, gram long"), "spelled")
+    grams = spelled.select("gram").distinct().withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("low", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).withColumn("low_context", F.shiftrightunsigned("low", 8))
+    for name, (key, _) in TABLES.items():
+        grams = grams.join(net.tables[name], key, "left")
+    ratios = grams.select("gram", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for cs in VALUES.values() for c in cs]).mapInArrow(_log_ratios, "gram long, ratio double")
+    words = materialise(spelled.join(materialise(ratios, "ratios"), "gram").groupBy("word").agg(F.sum("ratio").alias("ratio")), "words")
+    found = pairs.join(words, "word").groupBy("text_key").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean"), F.max("ratio").alias("most"), F.log(F.sum("n").cast("double")).alias("length"))
+    return keyed.join(found, "text_key", "left").fillna(0.0, ["mean", "most", "length"])
 
 
 def _features(shared):
@@ -237,8 +263,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
 def fit(labelled: DataFrame) -> KneserNey | None:
     """Models of rows (doc_id, text, toxic 0 or 1); null unless both classes have a row.
 
-    Counts cover all rows: tasks count words, Spark sums them, then the n-grams of distinct words, then the shorter n-grams of distinct n-grams. They meet
-    in tables of 1 << BITS buckets, so the model is bounded whatever the corpus. To weigh the three features of the score, models of half of the rows (by a
+    Counts cover all rows: tasks count words, Spark sums them, then the n-grams of distinct words, then the shorter n-grams of distinct n-grams. Every n-gram
+    keeps its own counts, so the model grows with the input; see _tables and _joined_features for small and large ones. To weigh the three features of the score, models of half of the rows (by a
     seeded hash of doc_id) measure at most CALIBRATION rows of the other half; then all rows make the tables.
     """
     rows = small_batches(labelled).select(F.when(seeded_bits(SEED, F.col("doc_id")) % 2 == 0, 0).otherwise(1).alias("part"), F.col("toxic").cast("int").alias("toxic"), "text", "doc_id")
@@ -252,16 +278,17 @@ def fit(labelled: DataFrame) -> KneserNey | None:
     shorter = materialise(grams.mapInArrow(_shorter, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "shorter")
     weights = np.array([-4.0, 1.0, 1.0, -0.5])
     if len(kinds) == 4:
-        half = KneserNey(_tables(grams, shorter, ("a",)), weights, "half-" + hashlib.sha256(str(labelled.semanticHash()).encode()).hexdigest())
-        shared = rows.sparkSession.sparkContext.broadcast(half)
+        half = _tables(grams, shorter, ("a",), weights)
         chosen = rows.where("part = 1").orderBy(seeded_bits(SEED + 1, F.col("doc_id")), "text").limit(CALIBRATION).select("toxic", "text")
-        got = chosen.mapInArrow(_measure(shared), "toxic int, mean double, most double, length double").toArrow()
+        if half.held:
+            shared = rows.sparkSession.sparkContext.broadcast(half.held)
+            got = chosen.mapInArrow(_measure(shared), "toxic int, mean double, most double, length double").toArrow()
+            shared.unpersist()
+        else:
+            got = _joined_features(materialise(chosen, "chosen"), half).select("toxic", "mean", "most", "length").toArrow()
         y, *x = (got.column(c).to_numpy() for c in ("toxic", "mean", "most", "length"))
         weights = logistic(np.column_stack([np.ones(len(y)), *x]), y.astype(float))
-        shared.unpersist()
-    net = KneserNey(_tables(grams, shorter, ("a", "b")), weights)
-    net.key = hashlib.sha256(b"".join(net.tables[t].tobytes() for t in TABLES)).hexdigest()
-    return net
+    return _tables(grams, shorter, ("a", "b"), weights)
 
 
 def score(docs: DataFrame, net: KneserNey | None, cut: float = CUT) -> DataFrame:
@@ -274,8 +301,14 @@ def score(docs: DataFrame, net: KneserNey | None, cut: float = CUT) -> DataFrame
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     if net is None:
         return docs.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    if net.held is None:
+        bias, *w = (float(v) for v in net.weights)
+        own = docs.select(F.struct(*names).alias("row"), "text")
+        z = sum((k * F.col(c) for k, c in zip(w, ("mean", "most", "length"), strict=True)), F.lit(bias))
+        out = _joined_features(own, net).select("row.*", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))).alias("score"))
+        return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "score double"])
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net.held)
     return small_batches(docs).select(*names).mapInArrow(_score(shared, names), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 

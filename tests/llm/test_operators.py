@@ -435,3 +435,21 @@ def test_toxicity_of_odd_rows(spark, odd, docs):
     assert toxicity.fit(toxicity.labelled(odd, none)) is None
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
     assert toxicity.score(odd.limit(0), net).isEmpty()
+
+
+def test_toxicity_counts_every_ngram_apart(spark, docs, monkeypatch):
+    """Counts are those of a brute-force count, with more distinct n-grams than 2^20; and joined tables score like those that are held."""
+    rng = np.random.default_rng(5)
+    junk = [" ".join("".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (2000, 12))) for _ in range(60)]
+    rows = [(i, t, i % 2) for i, t in enumerate(junk)]
+    net = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    want = Counter()
+    for t in junk[1::2]:
+        packed, _ = toxicity.grams_of(toxicity.words_of(t))
+        want.update(packed.tolist())
+    assert net.tables["top"].count() > 1 << 20
+    assert {r.gram: r.c1 for r in net.tables["top"].where("c1 > 0").collect()} == want
+    near = lambda: {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(toxicity.labelled(docs, spark.read.parquet(f"{SMALL}/labels.parquet")))).collect()}
+    held = near()
+    monkeypatch.setattr(toxicity, "BROADCAST_BYTES", 0)
+    assert near() == pytest.approx(held, abs=1e-6)
