@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +54,27 @@ GAP = 1
 _END = r"([.!?])[\x20\x09-\x0D]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text in order: lines, cut after . ! or ? before white space; words of a-z and 0-9 joined by blanks; empty ones dropped."""
-    cut = F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _END, "$1\n"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _unwrapped(marked: Column, known: Iterable[str]) -> Column:
+    """Marked lines in which each known sentence that runs over several lines stands on one; longer sentences come first."""
+    pairs = [F.struct(F.lit(s).alias("s"), F.lit("(?<![^NS])" + s.replace(" ", "[ N]") + "(?![^NS])").alias("wrapped")) for s in sorted(known, key=lambda s: (-len(s), s))]
+    held = lambda t: _let(F.translate(t, "N", " "), lambda flat: F.filter(F.array(*pairs), lambda k: F.contains(flat, k["s"])))
+    return _let(marked, lambda t: F.aggregate(held(t), t, lambda out, k: F.regexp_replace(out, k["wrapped"], k["s"]))) if pairs else marked
+
+
+def sentences(text: Column, known: Iterable[str] = ()) -> Column:
+    """Normalised sentences of a text in order: lines, cut after . ! or ? before white space; words of a-z and 0-9 joined by blanks; empty ones dropped.
+
+    A known sentence that is wrapped over consecutive lines, with or without comment leaders, is one sentence.
+    """
+    marked = F.translate(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _END, "S"), "\n", "N")  # no other capitals are left
+    marked = F.trim(F.regexp_replace(marked, "[^a-z0-9NS]+", " "))
+    marked = F.regexp_replace(F.regexp_replace(marked, "[ N]*S[ NS]*", "S"), " ?N[ N]*", "N")
+    return F.filter(F.split(_unwrapped(marked, known), "[NS]"), lambda s: s != "")
 
 
 def _literal(values: Sequence[str]) -> Column:
@@ -85,6 +102,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] | None = None, rules: Sequenc
 
     A rule matches recognised sentences that follow each other in its order, with at most `gap` other sentences between two; of overlapping matches those
     inside a longer one are dropped, and a match of each rule counts wherever it occurs. A null, empty or unrecognised text has empty lists.
+    A known sentence may be wrapped over lines (the SQL, whose tables have none, knows those on one line only).
     Repeated rows are scanned alike, further columns pass through, and columns with the names of the results are replaced.
 
     One projection does it all, so nothing is shuffled or broadcast, and no group of rows can be hot. Lists are as long as a text has sentences.
@@ -92,7 +110,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] | None = None, rules: Sequenc
     known, rules = known or SENTENCES, rules or RULES
     by_text = F.map_from_arrays(_literal(list(known.values())), _literal(list(known)))
     rest = docs.drop("n_sentences", "recognised", "matches")
-    split = rest.withColumn("_sentences", sentences(F.col("text")))
+    split = rest.withColumn("_sentences", sentences(F.col("text"), known.values()))
     placed = F.transform("_sentences", lambda s, i: F.struct(i.alias("position"), F.element_at(by_text, s).alias("id")))
     found = split.withColumn("n_sentences", F.size("_sentences").cast("long")).withColumn("recognised", F.filter(placed, lambda x: x["id"].isNotNull())).drop("_sentences")
     matches = [_matches(F.col("recognised.id"), F.col("recognised.position"), licence, parts, gap) for licence, parts in rules]

@@ -374,6 +374,58 @@ def test_rules_match_ordered_sentences(spark):
     assert got == {1: ["BSD-2-Clause"], 2: [], 3: [], 4: ["MIT", "proprietary"], 5: [], 6: [], 7: []}
 
 
+#: Public licence texts, wrapped as they are found.
+WRAPPED = {
+    "MIT": """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction, including without limitation the rights
+// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+// copies of the Software, and to permit persons to whom the Software is
+// furnished to do so, subject to the following conditions:
+//
+// The above copyright notice and this permission notice shall be included in all
+// copies or substantial portions of the Software.
+//
+// THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+// IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+// FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+// AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+// LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+// OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+// SOFTWARE.""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+}
+
+
+def test_wrapped_licences_match(spark):
+    rows = spark.createDataFrame(list(WRAPPED.items()), "doc_id string, text string")
+    got = {r.doc_id: {(m.licence, m.parts) for m in r.matches} for r in license_scan.scan(rows).collect()}
+    assert got == {"MIT": {("MIT", 4)}, "BSD-3-Clause": {("BSD-3-Clause", 4)}, "Apache-2.0": {("Apache-2.0", 4)}}
+
+
 def test_license_scan_of_odd_rows(spark, odd):
     out = license_scan.scan(odd)
     assert out.count() == len(ODD) and "label" in out.columns
