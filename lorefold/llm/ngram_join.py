@@ -84,13 +84,13 @@ def _incidence(k: int, num: int, den: int):
         done: set[tuple[int, int]] = set()
         for b in batches:
             n, k1, k2, sigs = [], [], [], []
-            for words in word_hashes(b.column(1).to_pylist()):
+            for doc_id, words in zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()), strict=True):
                 values = shingle_set(words, k)
                 n.append(len(values))
                 key = set_key(values) if len(values) else (None, None)
                 k1.append(key[0])
                 k2.append(key[1])
-                if len(values) and key not in done:  # copies that this task has seen add nothing
+                if len(values) and doc_id is not None and key not in done:  # copies that this task has seen add nothing, and a null doc_id links with nothing
                     done.add(key)
                     sigs.append(block_signatures(values, num, den))
                 else:

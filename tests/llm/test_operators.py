@@ -323,6 +323,13 @@ def test_join_of_odd_rows(spark, odd):
     assert ngram_join.jaccard_components(odd.limit(0)).isEmpty()
 
 
+def test_join_of_a_null_id_before_its_copy(spark):
+    """A row with a null doc_id doesn't keep its copy, later in the same task, from linking with a near copy."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(rows).collect()} == {None: None, 1: 1, 2: 1}
+
+
 def test_components_of_a_long_path_in_many_tasks(spark):
     from lorefold.llm import components
 
