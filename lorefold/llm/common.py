@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest table that an operator may broadcast, in bytes, judged by its row count and a bound on its row width.
 BROADCAST_BYTES = 32 << 20
-#: Rows of texts that Spark hands to Python at once, which bounds the buffers of both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes of texts that a Python task works on at once; one longer text is a piece of its own.
+PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20
+#: A key is hot if it has more rows than HOT_ROWS and than one part in HOT_PARTS of all, so there are fewer than HOT_PARTS hot keys at any size.
+HOT_ROWS, HOT_PARTS = 1000, 100_000
 #: ASCII white space as the contracts write it, for java.util.regex.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,11 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; a folder of our own only where it is unset."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; where it is unset, a temporary one for a local session and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/lorefold-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -39,13 +45,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in whose session Arrow batches have BATCH_ROWS rows at most from now on; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
+def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most PIECE_ROWS rows and about PIECE_BYTES bytes of the column `text`."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for i, n in enumerate(size.tolist()):
+            if i > at and (i - at >= PIECE_ROWS or total + n > PIECE_BYTES):
+                yield b.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        yield b.slice(at)
+
+
+def hot_split(counted: DataFrame, rows: int, n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """Keys with their row counts `n`, as (hot, others). Fewer than HOT_PARTS keys are hot whatever the input, so a broadcast of them has a proven bound;
+    none of the others has more rows than a small part of all."""
+    most = max(HOT_ROWS, rows // HOT_PARTS)
+    return counted.where(F.col(n) > most), counted.where(F.col(n) <= most)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

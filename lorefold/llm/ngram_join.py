@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import mix, set_key, shingle_set, word_hashes
-from .common import broadcast_if_small, materialise, small_batches, table
+from .common import broadcast_if_small, materialise, pieces, table
 from .components import connected_components
 
 #: Incidence entries (document, shingle) and documents of one block of a family of candidates, on average: two blocks bound the memory of a product.
@@ -82,7 +82,7 @@ def block_signatures(values: np.ndarray, num: int, den: int) -> np.ndarray:
 def _incidence(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in pieces(batches, "text"):
             n, k1, k2, sigs = [], [], [], []
             for doc_id, words in zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()), strict=True):
                 values = shingle_set(words, k)
@@ -105,7 +105,7 @@ def _incidence(k: int, num: int, den: int):
 
 def _rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             sets = [shingle_set(w, k).view(np.int64) for w in word_hashes(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "family", "blocks")), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "family", "blocks", "row"])
 
@@ -216,7 +216,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
        overlaps over strips of columns and returns only a spanning forest of the pairs that pass the exact test; see _large_families for those of several blocks.
     Shingles are 64-bit hashes; a collision can change an overlap by one.
     """
-    clean = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
+    clean = docs.select(F.col("doc_id").cast("long"), "text")
     seen = materialise(clean.mapInArrow(_incidence(k, num, den), "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>"), "incidence")
     sets = seen.select("doc_id", "n_shingles", "k1", "k2").where("k1 is not null and doc_id is not null")
     first = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

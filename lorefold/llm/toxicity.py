@@ -1,9 +1,7 @@
-"""Toxicity: class-conditional Kneser-Ney models of bytes within words, whose rare expressions share backoff counts."""
+"""Toxicity: class-conditional Kneser-Ney models of bytes, which share the recursive backoff counts of rare expressions."""
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,226 +10,221 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, broadcast_if_small, crc_mod, materialise, seeded_bits, small_batches, table
+from .common import broadcast_if_small, crc_mod, materialise, pieces, seeded_bits, table
 
-#: Bytes of an n-gram; the discount.
+#: Bytes of an n-gram; the discount of every order.
 ORDER, DISCOUNT = 5, 0.75
-#: Labelled documents on which the two weights of the score are fitted.
+#: Labelled documents, on average, on which the weights of the score are fitted.
 CALIBRATION = 20_000
 CUT, SEED = 0.3, 10
-MEMORY = 800_000
-#: Bytes of a word that are modelled one by one; the model reads a longer word in pieces of this length.
+#: Distinct n-grams of a model that is sent to the tasks, which at 56 bytes each take 112 MB; a larger one is joined.
+HELD_GRAMS = 2_000_000
+#: Bytes of a unit of the joins: a word, or a part of a longer one, after the bytes before it.
 PIECE = 64
+#: Distinct n-grams that a task counts before it hands them on.
+COUNTED = 1_500_000
 _U = np.uint64
-_memory: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
+_START = b"\x01" * (ORDER - 1)
+#: Columns of a model: counts of n-grams by class, of their contexts and the kinds of bytes that follow; for each shorter order, the kinds of bytes
+#: before an n-gram, and for its context their sum and the kinds of bytes that follow.
+COUNTS = ("c0", "c1", "h0", "h1", "t0", "t1", *(f"{k}_{j}" for j in range(ORDER - 1, 0, -1) for k in "nht"))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, in pieces of PIECE bytes at most."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if all(len(w) <= PIECE for w in data):
-        return data
-    return [w[i : i + PIECE] for w in data for i in range(0, len(w), PIECE)]
+def spelled(text: str | None) -> bytes:
+    """The words between ASCII white space, A-Z in lower case, each with a blank after it."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return b" ".join(words) + b" " if words else b""
 
 
-def grams_of(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at each byte of each word and of a blank after it, packed in integers; and the lengths. Before a word stand bytes 1."""
-    flat = np.frombuffer(b"".join(w + b" " for w in words), dtype=np.uint8).astype(np.uint64)
-    length = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-    packed = flat.copy()
-    for k in range(1, order):
-        before = np.ones_like(flat)
-        before[k:] = flat[:-k]
-        before[place < k] = 1
-        packed |= before << _U(8 * k)
-    return packed, length
+def grams_of(flat: bytes) -> np.ndarray:
+    """The n-gram that ends at each byte, packed in an integer, its last byte lowest."""
+    one = np.frombuffer(flat, dtype=np.uint8).astype(_U)
+    packed = one.copy()
+    for k in range(1, ORDER):
+        packed[k:] |= one[:-k] << _U(8 * k)
+    return packed
 
 
-#: Tables of the model, their keys and bytes a row: counts of n-grams by class; of their contexts, with the kinds of n-grams that follow; preceding bytes
-#: of a shorter n-gram; and those of its context, with the kinds of shorter n-grams that follow.
-TABLES = {"top": ("gram", 24), "context": ("context", 40), "low": ("low", 16), "low_context": ("low_context", 24)}
-VALUES = {"top": ("c0", "c1"), "context": ("h0", "h1", "t0", "t1"), "low": ("low_n",), "low_context": ("low_h", "low_t")}
+def _suffix(gram, j: int):
+    return gram & _U((1 << 8 * j) - 1)
 
 
 def log_ratio(v: dict[str, np.ndarray]) -> np.ndarray:
-    """log P(byte | context, toxic) - log P(byte | context, ordinary) from the counts of n-grams; counts that the tables don't have are 0."""
-    held = np.maximum(v["low_h"], 1)
-    shared = np.maximum(v["low_n"] - DISCOUNT, 0) / held + np.where(v["low_h"] > 0, DISCOUNT * v["low_t"] / held, 1) / 256
-    p = []
-    for c in "01":
-        seen = v["h" + c]
-        n = np.maximum(seen, 1)
-        p.append(np.where(seen > 0, np.maximum(v["c" + c] - DISCOUNT, 0) / n + np.minimum(DISCOUNT * v["t" + c], seen) / n * shared, shared))
-    return np.log(np.maximum(p[1], 1e-12) / np.maximum(p[0], 1e-12))
+    """log P(byte | context, toxic) - log P(byte | context, ordinary) from the columns COUNTS; counts that a model doesn't have are 0.
+
+    The shared probability recurses from the uniform one through the orders 1, 2, ... by numbers of kinds; the highest order has each class's own counts.
+    """
+    shared: np.ndarray | float = 1 / 256
+    for j in range(1, ORDER):
+        held = np.maximum(v[f"h_{j}"], 1)
+        shared = np.where(v[f"h_{j}"] > 0, (np.maximum(v[f"n_{j}"] - DISCOUNT, 0) + DISCOUNT * v[f"t_{j}"] * shared) / held, shared)
+    p = [np.where(v["h" + c] > 0, (np.maximum(v["c" + c] - DISCOUNT, 0) + DISCOUNT * v["t" + c] * shared) / np.maximum(v["h" + c], 1), shared) for c in "01"]
+    return np.log(p[1] / p[0])
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of the values of each."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
 @dataclass
 class Held:
-    """A model whose tables are small enough to be sent to the tasks: sorted keys and their counts."""
+    """A model that is small enough to be sent to the tasks: for each table, sorted keys and their columns."""
 
-    tables: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]]
+    tables: list[tuple[str, np.ndarray, dict[str, np.ndarray]]]
     weights: np.ndarray
-    key: str
 
-    def ratio(self, words: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word."""
-        packed, length = grams_of(words)
-        gram, inverse = np.unique(packed, return_inverse=True)
-        low = gram & _U((1 << 8 * (ORDER - 1)) - 1)
+    @staticmethod
+    def of(gram: np.ndarray, c0: np.ndarray, c1: np.ndarray, types: np.ndarray, weights: np.ndarray) -> Held:
+        """The tables of the n-grams with their counts; the shorter orders count the n-grams `types`."""
+        f = lambda *values: [np.asarray(v, dtype="f4") for v in values]
+        keys, *sums = _sums(gram >> _U(8), c0, c1, c0 > 0, c1 > 0) if len(gram) else (gram, c0, c1, c0, c1)
+        gram, c0, c1 = _sums(gram, c0, c1)
+        tables = [("gram", gram, dict(zip(("c0", "c1"), f(c0, c1), strict=True))), ("context", keys, dict(zip(("h0", "h1", "t0", "t1"), f(*sums), strict=True)))]
+        for j in range(ORDER - 1, 0, -1):
+            types, n = np.unique(_suffix(types, j), return_counts=True)
+            keys, total, kinds = _sums(types >> _U(8), n, np.ones(len(n)))
+            tables += [(f"gram_{j}", types, {f"n_{j}": f(n)[0]}), (f"context_{j}", keys, {f"h_{j}": f(total)[0], f"t_{j}": f(kinds)[0]})]
+        return Held(tables, weights)
+
+    def ratios(self, gram: np.ndarray) -> np.ndarray:
+        """log_ratio of each n-gram."""
         found: dict[str, np.ndarray] = {}
-        for name, key in (("top", gram), ("context", gram >> _U(8)), ("low", low), ("low_context", low >> _U(8))):
-            keys, values = self.tables[name]
-            at = np.minimum(np.searchsorted(keys, key.view(np.int64)), max(0, len(keys) - 1))
-            same = keys[at] == key.view(np.int64) if len(keys) else np.zeros(len(key), dtype=bool)
-            found |= {c: np.where(same, v[at], 0.0) if len(v) else np.zeros(len(key)) for c, v in values.items()}
-        return np.add.reduceat(log_ratio(found)[inverse], np.cumsum(length) - length)
+        for name, keys, values in self.tables:
+            kind, _, j = name.partition("_")
+            key = _suffix(gram, int(j)) if j else gram
+            key = key >> _U(8) if kind == "context" else key
+            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            same = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+            found |= {c: np.where(same, v[at], 0).astype(float) if len(v) else np.zeros(len(key)) for c, v in values.items()}
+        return log_ratio(found)
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """For each text, the log ratio per byte, the highest of a word, and the logarithm of the number of words; zeros without words."""
+        data = [spelled(t) for t in texts]
+        flat = b"".join(_START + d for d in data)
+        gram, inverse = np.unique(grams_of(flat), return_inverse=True)
+        ratio = self.ratios(gram)[inverse]
+        size = np.array([len(d) for d in data])
+        end = np.cumsum(size + len(_START))
+        total = np.concatenate(([0.0], np.cumsum(ratio)))
+        blanks = np.flatnonzero(np.frombuffer(flat, dtype=np.uint8) == 32)
+        cut = np.searchsorted(blanks, np.concatenate(([0], end)))
+        out = np.zeros((len(texts), 3))
+        for i, (n, stop) in enumerate(zip(size.tolist(), end.tolist(), strict=True)):
+            if n:
+                ends = blanks[cut[i] : cut[i + 1]] + 1
+                words = np.diff(total[np.concatenate(([stop - n], ends))])
+                out[i] = (total[stop] - total[stop - n]) / n, words.max(), np.log(len(words))
+        return out
 
 
 @dataclass
 class KneserNey:
-    tables: dict[str, DataFrame]
-    weights: np.ndarray  # bias, then of the document's mean, its strongest word, the logarithm of its words
-    held: Held | None = None
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, toxic, text) rows to (word, ordinary, toxic) counts of each half."""
-    counts: Counter[tuple[bytes, int]] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        which = np.array([k for _, k in keys], dtype=np.int64)
-        n = np.array([counts[k] for k in keys], dtype=np.int64)
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), *(pa.array(np.where(which == k, n, 0)) for k in range(4))], names=["word", "a0", "a1", "b0", "b1"])
+    """A model: each n-gram's counts (gram, c0, c1), the kinds of n-grams (gram), the weights of bias, ratio per byte, strongest word and log of the words; and its small form."""
 
-    for b in batches:
-        for part, toxic, text in zip(*(b.column(c).to_pylist() for c in ("part", "toxic", "text")), strict=True):
-            for w, n in Counter(words_of(text)).items():
-                counts[w, 2 * part + toxic] += n
-        if len(counts) > 300_000:
-            yield flush()
-    if counts:
-        yield flush()
+    grams: DataFrame
+    types: DataFrame
+    weights: np.ndarray
+    held: Held | None = None
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, toxic, text) rows to the counts of n-grams by part and class."""
     names = ["a0", "a1", "b0", "b1"]
+    keys, counts = np.zeros(0, dtype=_U), [np.zeros(0, dtype=np.int64)] * 4
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["gram", *names])
+    for b in pieces(batches, "text"):
+        column = 2 * b.column("part").to_numpy() + b.column("toxic").to_numpy()
+        texts = b.column("text").to_pylist()
+        new, fresh = [keys], [[c] for c in counts]
+        for k in range(4):
+            data = [_START + spelled(texts[i]) for i in np.flatnonzero(column == k)]
+            size = np.array([len(d) for d in data], dtype=np.int64)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            gram, n = np.unique(grams_of(b"".join(data))[place >= len(_START)], return_counts=True)
+            new.append(gram)
+            for m in range(4):
+                fresh[m].append(n if m == k else np.zeros(len(n), dtype=np.int64))
+        keys, *counts = _sums(np.concatenate(new), *map(np.concatenate, fresh))
+        if len(keys) > COUNTED:
+            yield batch()
+            keys, counts = np.zeros(0, dtype=_U), [np.zeros(0, dtype=np.int64)] * 4
+    if len(keys):
+        yield batch()
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, text) rows to (text_key, word number, unit): bytes of a word, PIECE at most, after the ORDER - 1 bytes before them."""
+    lead = ORDER - 1
+    for b in pieces(batches, "text"):
+        for key, text in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            data = _START + spelled(text)
+            number, unit, at, word = [], [], lead, 0
+            while at < len(data):
+                end = data.index(b" ", at) + 1
+                for a in range(at, end, PIECE):
+                    number.append(word)
+                    unit.append(data[a - lead : min(a + PIECE, end)])
+                at, word = end, word + 1
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(unit), pa.string()), pa.array(number, pa.int64()), pa.array(unit, pa.binary())], names=["text_key", "word", "unit"])
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units to the n-grams at their bytes."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        packed, length = grams_of(b.column("word").to_pylist())
-        u, inverse = np.unique(packed, return_inverse=True)
-        sums = [np.bincount(inverse, np.repeat(b.column(c).to_numpy(), length), len(u)).astype(np.int64) for c in names]
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, sums)], names=["gram", *names])
+        for at in range(0, b.num_rows, 2000):
+            column = b.column("unit").slice(at, 2000)
+            units = column.to_pylist()
+            length = np.array([len(u) for u in units])
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            inside = place >= ORDER - 1
+            row = np.repeat(np.arange(len(units)), length)[inside]
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(row)), pa.array(grams_of(b"".join(units))[inside].view(np.int64))], names=["unit", "gram"])
 
 
-def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _log_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        gram = b.column("gram").to_numpy().view(np.uint64)
-        low, n = np.unique(gram & _U((1 << 8 * (ORDER - 1)) - 1), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([b.column("gram"), pa.array(log_ratio({c: b.column(c).to_numpy().astype(float) for c in COUNTS}))], names=["gram", "ratio"])
 
 
-def _tables(grams: DataFrame, shorter: DataFrame, parts: tuple[str, ...], weights: np.ndarray) -> KneserNey:
-    """The model of the halves `parts`: exact counts, which also go to the driver and the tasks if all their rows stay under BROADCAST_BYTES."""
-    sums = [sum((F.col(p + c) for p in parts[1:]), F.col(parts[0] + c)).alias("c" + c) for c in "01"]
-    top = grams.select("gram", *sums).where("c0 + c1 > 0")
+def _joined_ratios(grams: DataFrame, net: KneserNey) -> DataFrame:
+    """log_ratio of the n-grams `grams` (gram), from joins with the counts of each order; no task holds a table."""
+    context = lambda c: F.shiftrightunsigned(c, 8)
+    mine, theirs = F.col("gram"), net.grams
     counts = [F.sum("c" + c).alias("h" + c) for c in "01"] + [F.count_if(F.col("c" + c) > 0).alias("t" + c) for c in "01"]
-    frames = {
-        "top": top, "context": top.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(*counts), "low": shorter.select(F.col("gram").alias("low"), F.col("n").alias("low_n")),
-        "low_context": shorter.groupBy(F.shiftrightunsigned("gram", 8).alias("low_context")).agg(F.sum("n").alias("low_h"), F.count("*").alias("low_t")),
-    }
-    frames = {name: materialise(df, f"model-{name}") for name, df in frames.items()}
-    net = KneserNey(frames, weights)
-    if sum(df.count() * TABLES[name][1] for name, df in frames.items()) <= BROADCAST_BYTES:
-        tables = {}
-        for name, df in frames.items():
-            got = df.orderBy(TABLES[name][0]).toArrow()
-            tables[name] = got.column(TABLES[name][0]).to_numpy(), {c: got.column(c).to_numpy().astype(float) for c in VALUES[name]}
-        net.held = Held(tables, weights, uuid.uuid4().hex)
-    return net
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, text) rows to (text_key, word, n), a row for each distinct word of a text."""
-    for b in batches:
-        for a in range(0, b.num_rows, 200):
-            rows = [(k, w, n) for k, text in zip(*(b.slice(a, 200).column(c).to_pylist() for c in ("text_key", "text")), strict=True) for w, n in Counter(words_of(text)).items()]
-            keys, words, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["text_key", "word", "n"])
-
-
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words to the n-grams at their bytes."""
-    for b in batches:
-        if b.num_rows:
-            packed, length = grams_of(b.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("word").take(pa.array(np.repeat(np.arange(b.num_rows), length))), pa.array(packed.view(np.int64))], names=["word", "gram"])
-
-
-def _log_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        v = {c: b.column(c).to_numpy().astype(float) for cs in VALUES.values() for c in cs}
-        yield pa.RecordBatch.from_arrays([b.column("gram"), pa.array(log_ratio(v))], names=["gram", "ratio"])
+    out = grams.join(theirs, "gram", "left").withColumn("key", context(mine)).join(theirs.groupBy(context("gram").alias("key")).agg(*counts), "key", "left")
+    types = net.types
+    for j in range(ORDER - 1, 0, -1):
+        types = materialise(types.groupBy(F.col("gram").bitwiseAND((1 << 8 * j) - 1).alias("gram")).agg(F.count("*").alias(f"n_{j}")), f"order-{j}")
+        above = types.groupBy(context("gram").alias("key")).agg(F.sum(f"n_{j}").alias(f"h_{j}"), F.count("*").alias(f"t_{j}"))
+        low = mine.bitwiseAND((1 << 8 * j) - 1)
+        out = out.withColumn("key", low).join(types.withColumnRenamed("gram", "key"), "key", "left").withColumn("key", context(low)).join(above, "key", "left")
+    return out.select("gram", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in COUNTS]).mapInArrow(_log_ratios, "gram long, ratio double")
 
 
 def _joined_features(docs: DataFrame, net: KneserNey) -> DataFrame:
-    """docs (text, ...) with text_key, mean, most and length, from joins with the model's tables: n-grams of distinct words meet their counts, words their ratios.
-
-    Each n-gram, each word and each word of a distinct text is a row of a shuffle, so no task holds the model.
-    """
-    keyed = small_batches(docs).withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    pairs = keyed.select("text_key", "text").mapInArrow(_pairs, "text_key string, word binary, n long").groupBy("text_key", "word").agg(F.max("n").alias("n"))
-    pairs = materialise(pairs, "pairs")
-    spelled = materialise(pairs.select("word").distinct().mapInArrow(_spelled, "word binary, gram long"), "spelled")
-    grams = spelled.select("gram").distinct().withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("low", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).withColumn("low_context", F.shiftrightunsigned("low", 8))
-    for name, (key, _) in TABLES.items():
-        grams = grams.join(net.tables[name], key, "left")
-    ratios = grams.select("gram", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for cs in VALUES.values() for c in cs]).mapInArrow(_log_ratios, "gram long, ratio double")
-    words = materialise(spelled.join(materialise(ratios, "ratios"), "gram").groupBy("word").agg(F.sum("ratio").alias("ratio")), "words")
-    found = pairs.join(words, "word").groupBy("text_key").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean"), F.max("ratio").alias("most"), F.log(F.sum("n").cast("double")).alias("length"))
+    """docs (text, ...) with mean, most and length as Held.features() has them, for a model of any size: n-grams of distinct units meet their counts, units their ratios."""
+    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    units = keyed.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(_units, "text_key string, word long, unit binary")
+    units = materialise(units.groupBy("text_key", "word", "unit").agg(F.count("*").alias("n")), "units")
+    grams = materialise(units.select("unit").distinct().mapInArrow(_spell, "unit binary, gram long"), "spelled")
+    ratios = materialise(_joined_ratios(grams.select("gram").distinct(), net), "ratios")
+    known = materialise(grams.join(ratios, "gram").groupBy("unit").agg(F.sum("ratio").alias("ratio"), F.count("*").alias("bytes")), "unit-ratios")
+    words = units.join(known, "unit").groupBy("text_key", "word").agg(F.sum(F.col("n") * F.col("ratio")).alias("ratio"), F.sum(F.col("n") * F.col("bytes")).alias("bytes"))
+    found = words.groupBy("text_key").agg((F.sum("ratio") / F.sum("bytes")).alias("mean"), F.max("ratio").alias("most"), F.log(F.count("*").cast("double")).alias("length"))
     return keyed.join(found, "text_key", "left").fillna(0.0, ["mean", "most", "length"])
 
 
-def _features(shared):
-    """Mean log ratio over the words, the strongest word's, and the logarithm of the number of words, for each text."""
-
-    def run(texts: list[str | None]) -> np.ndarray:
-        net = shared.value
-        if net.key not in _memory:
-            _memory.clear()
-        place, known = _memory.get(net.key, ({}, np.zeros(0)))
-        if len(place) > MEMORY:
-            place, known = {}, np.zeros(0)
-        docs, fresh = [], []
-        for text in texts:
-            ids = []
-            for w in words_of(text):
-                k = place.get(w)
-                if k is None:
-                    k = place[w] = len(place)
-                    fresh.append(w)
-                ids.append(k)
-            docs.append(ids)
-        known = np.concatenate([known, *(net.ratio(fresh[i : i + 50_000]) for i in range(0, len(fresh), 50_000))])
-        _memory[net.key] = place, known
-        out = np.zeros((len(docs), 3))
-        for i, ids in enumerate(docs):
-            if ids:
-                x = known[ids]
-                out[i] = x.mean(), x.max(), np.log(len(x))
-        return out
-
-    return run
-
-
 def _measure(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _features(shared)
-        for b in batches:
-            x = features(b.column("text").to_pylist())
+        for b in pieces(batches, "text"):
+            x = shared.value.features(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "mean", "most", "length"])
 
     return run
@@ -239,9 +232,8 @@ def _measure(shared):
 
 def _score(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _features(shared)
-        for b in batches:
-            z = np.column_stack([np.ones(b.num_rows), features(b.column("text").to_pylist())]) @ shared.value.weights
+        for b in pieces(batches, "text"):
+            z = np.column_stack([np.ones(b.num_rows), shared.value.features(b.column("text").to_pylist())]) @ shared.value.weights
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*names, "score"])
 
     return run
@@ -260,26 +252,39 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return w
 
 
+def _model(grams: DataFrame, n: int, parts: str, weights: np.ndarray) -> KneserNey:
+    """The model of some halves of the rows, from n-grams with their counts in each; a small form too, if there are HELD_GRAMS at most."""
+    sums = [sum((F.col(p + c) for p in parts[1:]), F.col(parts[0] + c)).alias("c" + c) for c in "01"]
+    own = grams.select("gram", *sums)
+    net = KneserNey(own.where("c0 + c1 > 0"), grams.select("gram"), weights)
+    if n <= HELD_GRAMS:
+        got = own.toArrow()
+        gram, c0, c1 = got.column("gram").to_numpy().view(_U), got.column("c0").to_numpy(), got.column("c1").to_numpy()
+        seen = c0 + c1 > 0
+        net.held = Held.of(gram[seen], c0[seen], c1[seen], gram, weights)
+    return net
+
+
 def fit(labelled: DataFrame) -> KneserNey | None:
     """Models of rows (doc_id, text, toxic 0 or 1); null unless both classes have a row.
 
-    Counts cover all rows: tasks count words, Spark sums them, then the n-grams of distinct words, then the shorter n-grams of distinct n-grams. Every n-gram
-    keeps its own counts, so the model grows with the input; see _tables and _joined_features for small and large ones. To weigh the three features of the score, models of half of the rows (by a
-    seeded hash of doc_id) measure at most CALIBRATION rows of the other half; then all rows make the tables.
+    Counts cover all rows, and every n-gram keeps its own, so the model grows with the input: tasks count n-grams, which cross word borders, and Spark sums
+    them. To weigh the features of the score, models of half of the rows (by a seeded hash of doc_id) measure a part of the other half, chosen by another
+    seeded hash so that it has CALIBRATION rows on average at most; then all rows make the model.
     """
-    rows = small_batches(labelled).select(F.when(seeded_bits(SEED, F.col("doc_id")) % 2 == 0, 0).otherwise(1).alias("part"), F.col("toxic").cast("int").alias("toxic"), "text", "doc_id")
-    kinds = {tuple(r) for r in rows.select("part", "toxic").distinct().collect()}
+    part = F.when(seeded_bits(SEED, F.col("doc_id")) % 2 == 0, 0).otherwise(1)
+    rows = labelled.select(part.alias("part"), F.col("toxic").cast("int").alias("toxic"), "text", (seeded_bits(SEED + 1, F.col("doc_id")) / F.lit(float(1 << 52))).alias("draw"))
+    kinds = {(r[0], r[1]): r[2] for r in rows.groupBy("part", "toxic").count().collect()}
     if {t for _, t in kinds} != {0, 1}:
         return None
-    counts = "a0 long, a1 long, b0 long, b1 long"
-    total = [F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]
-    words = rows.select("part", "toxic", "text").mapInArrow(_count_words, f"word binary, {counts}").groupBy("word").agg(*total)
-    grams = materialise(words.mapInArrow(_count_grams, f"gram long, {counts}").groupBy("gram").agg(*total), "grams")
-    shorter = materialise(grams.mapInArrow(_shorter, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "shorter")
+    counts = ("a0", "a1", "b0", "b1")
+    grams = rows.select("part", "toxic", "text").mapInArrow(_count, "gram long, " + ", ".join(f"{c} long" for c in counts)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in counts])
+    grams = materialise(grams, "grams")
+    n = grams.count()
     weights = np.array([-4.0, 1.0, 1.0, -0.5])
     if len(kinds) == 4:
-        half = _tables(grams, shorter, ("a",), weights)
-        chosen = rows.where("part = 1").orderBy(seeded_bits(SEED + 1, F.col("doc_id")), "text").limit(CALIBRATION).select("toxic", "text")
+        half = _model(grams, n, "a", weights)
+        chosen = rows.where((F.col("part") == 1) & (F.col("draw") < CALIBRATION / (kinds[1, 0] + kinds[1, 1]))).select("toxic", "text")
         if half.held:
             shared = rows.sparkSession.sparkContext.broadcast(half.held)
             got = chosen.mapInArrow(_measure(shared), "toxic int, mean double, most double, length double").toArrow()
@@ -287,16 +292,17 @@ def fit(labelled: DataFrame) -> KneserNey | None:
         else:
             got = _joined_features(materialise(chosen, "chosen"), half).select("toxic", "mean", "most", "length").toArrow()
         y, *x = (got.column(c).to_numpy() for c in ("toxic", "mean", "most", "length"))
-        weights = logistic(np.column_stack([np.ones(len(y)), *x]), y.astype(float))
-    return _tables(grams, shorter, ("a", "b"), weights)
+        if len(set(y.tolist())) == 2:
+            weights = logistic(np.column_stack([np.ones(len(y)), *x]), y.astype(float))
+    return _model(grams, n, "ab", weights)
 
 
 def score(docs: DataFrame, net: KneserNey | None, cut: float = CUT) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from `cut`).
 
-    A word's log-likelihood under the toxic model, less that under the ordinary one, is the sum over its bytes; the score weighs a document's mean over its
-    words with its strongest word, so that one expression counts in a long text too, and allows for the length that makes strong words likelier. A text without words, and a
-    null, has neither evidence and gets the score of that. Without a model all have 0. Repeated rows score alike; columns score and predicted are replaced.
+    A text's log-likelihood under the toxic model, less that under the ordinary one, divided by its bytes, is weighed with the same ratio of its strongest word, so
+    that one expression counts in a long text too, and with the text's length, which makes strong words likelier. Texts are scored whole, however long. A text
+    without words, and a null, has no evidence and gets the score of that. Without a model all have 0. Repeated rows score alike; columns score and predicted are replaced.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     if net is None:
@@ -309,7 +315,7 @@ def score(docs: DataFrame, net: KneserNey | None, cut: float = CUT) -> DataFrame
         return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(net.held)
-    return small_batches(docs).select(*names).mapInArrow(_score(shared, names), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return docs.select(*names).mapInArrow(_score(shared, names), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
