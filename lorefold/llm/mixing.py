@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, seeded_bits, table
+from .common import WORD, broadcast_if_small, materialise, seeded_bits, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 6
+#: Documents of one source and size that one task numbers.
+ROWS = 20_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -34,19 +36,44 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_
     return ranked.select("source", "source_size", F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
+def _meet(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of `small`, whose row of equal keys there is one; null equals null."""
+    named = small.select(*[F.col(c).alias(f"_key_{c}" if c in keys else c) for c in small.columns])
+    return rows.join(broadcast_if_small(named, small.count(), 96), [rows[k].eqNullSafe(named[f"_key_{k}"]) for k in keys]).drop(*[f"_key_{k}" for k in keys])
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """Add size (words), source_size, target, rate and copies to docs; copies is floor(rate), plus one with the probability of the fraction.
 
-    A document's draw depends on the seed and its doc_id only, so reruns agree; rows that repeat a doc_id draw alike. A null text has no words;
-    a source without words has rate 0; documents without words stay with copies by their source's rate. A null source is one source.
-    Two passes read the texts; between them only one row per source moves, which each task sums before the shuffle. Clashing columns are replaced.
+    The draw of the extra copy is seeded by the source and doc_ids, so reruns agree. Within a source the draws are spread evenly over the documents in the order
+    of size (from the largest), then of their seeded hash: document number r, from 0, has the extra copy if a multiple of 1 lies between u + r * fraction and
+    u + (r + 1) * fraction, where u is the source's seeded start. Each document's probability is the fraction, and what a source takes differs
+    from its target by less than its largest document. Rows that repeat a doc_id draw each for itself. A null text has no words; a source without words has rate 0;
+    documents without words stay, with copies by their source's rate. A null source is one source. Long texts are counted whole. Clashing columns are replaced.
+
+    Between the passes over the texts only counts move: a row for each source and size. The numbers r come from counts of strata, a stratum being
+    documents of one source and size, cut by hash where there are more than ROWS of them; so no task sorts a source.
     """
     sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "goal_source")
+    strata = materialise(sized.groupBy("source", "size").agg(F.count("*").alias("_n")), "strata").withColumn("_buckets", F.ceil(F.col("_n") / ROWS).cast("long"))
+    goal = materialise(targets(strata.groupBy("source").agg(F.sum(F.col("_n") * F.col("size")).alias("source_size")), weights, most), "targets").withColumnRenamed("source", "_goal_source")
+    bucket = F.shiftrightunsigned(F.shiftright("_hash", 20) * F.col("_buckets"), 32)
+    placed = _meet(sized.withColumn("_hash", seeded_bits(seed, F.col("doc_id"))), strata.drop("_n"), ["source", "size"]).withColumn("_bucket", bucket).drop("_buckets")
+    counts = strata.where("_buckets = 1").select("source", "size", F.lit(0).cast("long").alias("_bucket"), "_n")
+    if not strata.where("_buckets > 1").isEmpty():
+        crowded = placed.select("source", "size", "_bucket").join(broadcast_if_small(strata.where("_buckets > 1").select(F.col("source").alias("_s"), F.col("size").alias("_z")), strata.count(), 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left_semi")
+        counts = counts.unionByName(crowded.groupBy("source", "size", "_bucket").agg(F.count("*").alias("_n")))
+    before = Window.partitionBy("source").orderBy(F.desc("size"), "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(counts.select("source", "size", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "offsets")
+    tie = [F.xxhash64("text")] if "text" in docs.columns else []
+    inside = Window.partitionBy("source", "size", "_bucket").orderBy("_hash", "doc_id", *tie)
+    ranked = _meet(placed.withColumn("_place", F.row_number().over(inside) - 1), offsets, ["source", "size", "_bucket"]).withColumn("_place", F.col("_place") + F.col("_offset"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = seeded_bits(seed, F.col("doc_id")) / F.lit(float(1 << 52))
-    joined = sized.join(goal, sized["source"].eqNullSafe(F.col("goal_source"))).drop("goal_source").withColumn("rate", rate)
-    return joined.withColumn("copies", F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))
+    goal = goal.select("_goal_source", "source_size", "target", rate.alias("rate"), (seeded_bits(seed, F.col("_goal_source")) / F.lit(float(1 << 52))).alias("_start"))
+    joined = ranked.join(broadcast_if_small(goal, goal.count(), 96), ranked["source"].eqNullSafe(F.col("_goal_source"))).drop("_goal_source")
+    fraction = F.col("rate") - F.floor("rate")
+    extra = F.floor(F.col("_start") + (F.col("_place") + 1) * fraction) - F.floor(F.col("_start") + F.col("_place") * fraction)
+    return joined.withColumn("copies", F.floor("rate") + extra).drop("_bucket", "_hash", "_place", "_offset", "_start")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -67,8 +94,9 @@ levelled as (select *, (sum(source_size) over () - coalesce(sum(cap) over fill,
   from weighed window fill as (order by cap::double / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 goals as (select source, source_size, least((select max(step) from levelled) * weight, cap::double) as target from levelled),
 rated as (select s.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate,
-    ('0x' || substr(md5('6|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as draw
+    ('0x' || substr(md5('6|' || coalesce(s.source, '')), 1, 13))::bigint / 4503599627370496.0::double as start,
+    row_number() over (partition by s.source order by s.size desc, ('0x' || substr(md5('6|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint, doc_id) - 1 as place
   from sized s join goals g on s.source is not distinct from g.source),
-mixed as (select *, floor(rate)::bigint + (draw < rate - floor(rate))::bigint as copies from rated)
+mixed as (select *, (floor(rate) + floor(start + (place + 1) * (rate - floor(rate))) - floor(start + place * (rate - floor(rate))))::bigint as copies from rated)
 """
 SQL = {"op6_mixing": f"with docs as (select * from documents), {SIZED_SQL} select doc_id, size, source_size, target, size * copies as taken, copies from mixed"}
