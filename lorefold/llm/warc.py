@@ -11,8 +11,8 @@ from .common import table
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that name a campaign, not a page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
-#: Records of one span of time, on average; a URL with more records is spread over spans.
-SPAN_RECORDS = 20_000
+#: Records of one span of time, on average; a URL with more records is spread over spans, of which there are MOST_SPANS at most.
+SPAN_RECORDS, MOST_SPANS = 20_000, 1000
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
 
 
@@ -40,54 +40,72 @@ def merge_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
 
 
+def _entries(h: Column) -> Column:
+    """A header map as an ordered array, which can be compared."""
+    return F.array_sort(F.map_entries(h))
+
+
 def resolve_revisits(records: DataFrame, span_records: int = SPAN_RECORDS) -> DataFrame:
     """Records (record_id, warc_type response or revisit, url, ts long, status int, headers map) to one row for each revisit.
 
     Returns record_id, url_key (canonical URL), ts, outcome, response_id, response_ts, merged (headers). A full response is a response record of status 200.
-    outcome is `resolved` if the latest full response before the revisit (of equal times, the largest record_id) carries the validator that the
-    revisit shows: ETag by weak comparison, else Last-Modified; `mismatch` if it carries another; `no_validator` if the revisit shows none;
-    `no_response` without an earlier response, or with a null url or ts. Only resolved revisits have response_id and merged.
-    Repeated record_ids are records of their own; extra columns play no part; no records give no rows.
-
-    The as-of join deals records by (URL, span of time), so that one URL with a large part of all records is many tasks. In a span, a running
-    maximum finds the latest response; that of earlier spans is carried over from one row for each URL and span. Bodies take no part.
+    outcome is `resolved` if the latest full response before the revisit (of equal times, the largest record_id, then the largest validators and headers)
+    carries the validator that the revisit shows: ETag by weak comparison, else Last-Modified; `mismatch` if it carries another; `no_validator` if the
+    revisit shows none; `no_response` without an earlier response, or with a null url or ts. Only resolved revisits have response_id and merged.
+    Each record is one of its own, with its own headers, whatever ids and times it repeats; a null headers map is empty; extra columns play no part; no records give no rows.
+    URLs and headers may be long: they are compared whole.
+
+    The as-of join deals records by (URL, span of time), so that one URL with a large part of all records is many tasks. Spans hold about equally many records,
+    by quantiles of the times, so that a burst is cut too; one URL's records of one second stay together. In a span, a running maximum finds the latest
+    response with its headers; that of earlier spans is carried over from one row for each URL and span. Bodies take no part.
     """
     h = header_map(F.col("headers"))
-    base = records.select("record_id", "warc_type", "status", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), h.alias("h"))
+    base = records.where(F.col("warc_type").isin("response", "revisit")).select("record_id", "warc_type", "status", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), h.alias("h"))
     base = base.withColumns({"etag": F.regexp_replace(F.element_at("h", "etag"), "^W/", ""), "modified": F.element_at("h", "last-modified")})
-    first, last, n = base.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
-    width = max(1, ((last or 0) - (first or 0) + 1) * span_records // max(1, n))
+    spans = min(MOST_SPANS, -(-records.count() // span_records))
+    cuts = sorted({int(q) for q in records.select(F.col("ts").cast("long").alias("ts")).approxQuantile("ts", [k / spans for k in range(1, spans)], 0.25 / spans)}) if spans > 1 else []
+    span = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
-    stored = F.struct("ts", "record_id", "etag", "modified")
-    narrow = base.where("url_key is not null and ts is not null").where(full | (F.col("warc_type") == "revisit")).select("url_key", "ts", "record_id", "warc_type", "etag", "modified", F.expr(f"ts div {width}").alias("span"))
-    narrow = narrow.withColumn("stored", F.when(F.col("warc_type") == "response", stored))
+    stored = F.when(F.col("warc_type") == "response", F.struct("ts", "record_id", "etag", "modified", _entries(F.col("h")).alias("entries")))
+    placed = base.where("url_key is not null and ts is not null").where(full | (F.col("warc_type") == "revisit")).select("url_key", "ts", "record_id", "warc_type", "etag", "modified", stored.alias("stored"), F.when(F.col("warc_type") == "revisit", F.col("h")).alias("update"), span.alias("span"))
     inside = Window.partitionBy("url_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    latest = narrow.withColumn("here", F.max("stored").over(inside)).where("warc_type = 'revisit'")
-    spans = narrow.groupBy("url_key", "span").agg(F.max("stored").alias("top"))
-    carried = spans.withColumn("before", F.max("top").over(Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
-    found = latest.join(carried, ["url_key", "span"]).withColumn("r", F.coalesce("here", "before"))
+    latest = placed.withColumn("here", F.max("stored").over(inside)).where("warc_type = 'revisit'").drop("stored")
+    tops = placed.groupBy("url_key", "span").agg(F.max("stored").alias("top"))
+    carried = tops.withColumn("before", F.max("top").over(Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).where("before is not null").drop("top")
+    found = (latest.join(carried, ["url_key", "span"], "left") if cuts else latest.withColumn("before", F.lit(None).cast(latest.schema["here"].dataType))).withColumn("r", F.coalesce("here", "before"))
     same = F.when(F.col("etag").isNotNull(), F.col("r.etag").eqNullSafe(F.col("etag"))).otherwise(F.col("r.modified").eqNullSafe(F.col("modified")))
     outcome = F.when(F.col("r").isNull(), "no_response").when(F.col("etag").isNull() & F.col("modified").isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
-    found = found.select("record_id", "url_key", "ts", outcome.alias("outcome"), F.when(outcome == "resolved", F.col("r.record_id")).alias("response_id"), F.when(outcome == "resolved", F.col("r.ts")).alias("response_ts"))
-    lost = base.where("warc_type = 'revisit' and (url_key is null or ts is null)").select("record_id", "url_key", "ts", F.lit("no_response").alias("outcome"), F.lit(None).cast(records.schema["record_id"].dataType).alias("response_id"), F.lit(None).cast("long").alias("response_ts"))
-    update = base.where("warc_type = 'revisit'").groupBy(F.col("record_id").alias("u_id"), F.col("ts").alias("u_ts")).agg(F.max_by("h", "ts").alias("update"))
-    kept = base.where(full).groupBy(F.col("record_id").alias("s_id"), F.col("ts").alias("s_ts")).agg(F.max_by("h", "ts").alias("kept"))
-    joined = found.unionByName(lost).join(kept, (F.col("response_id") == F.col("s_id")) & (F.col("response_ts") == F.col("s_ts")), "left").join(update, (F.col("record_id") == F.col("u_id")) & (F.col("ts") == F.col("u_ts")), "left")
-    return joined.select("record_id", "url_key", "ts", "outcome", "response_id", "response_ts", F.when(F.col("outcome") == "resolved", merge_headers(F.col("kept"), F.col("update"))).alias("merged"))
-
-
-def page_records(pages: DataFrame, delay: int = 3600) -> DataFrame:
-    """Records of a crawl that stored each page (page_id, url, html) at second page_id, and met it unchanged `delay` seconds later."""
-    tag, size = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"')), F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
-    heads = {
-        "response": F.create_map(*[F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), size, F.lit("ETag"), tag, F.lit("Cache-Control"), F.lit("no-cache")]),
-        "revisit": F.create_map(*[F.lit("Content-Length"), F.lit("0"), F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Age"), (F.col("page_id") % 60).cast("string")]),
-    }
+    found = found.withColumn("outcome", outcome)
+    hit = lambda c: F.when(F.col("outcome") == "resolved", c)
+    merged = hit(merge_headers(F.map_from_entries("r.entries"), F.col("update")))
+    found = found.select("record_id", "url_key", "ts", "outcome", hit(F.col("r.record_id")).alias("response_id"), hit(F.col("r.ts")).alias("response_ts"), merged.alias("merged"))
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("response_id", "response_ts", "merged")]
+    lost = base.where("warc_type = 'revisit' and (url_key is null or ts is null)").select("record_id", "url_key", "ts", F.lit("no_response").alias("outcome"), *nothing)
+    return found.unionByName(lost)
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Records of a crawl of pages (page_id, url, html), four a page: its response at second 10 * page_id with both validators; an hour later a revisit, which shows by
+    page_id mod 4 the ETag, the Last-Modified date, neither, or another ETag; a revisit five seconds before the response; and a visit of the host's front page, which changes
+    with every 50th page_id: a response for every fourth page, a revisit for the others.
+    """
+    p, text = F.col("page_id"), lambda s: F.lit(s)
+    tag = F.concat(text('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), text('"'))
+    day = F.concat(text("day "), (p % 365).cast("string"))
+    front = F.concat(text('"front-'), F.floor(p / 50).cast("string"), text('"'))
+    heads = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k.replace("_", "-")), v)])
+    again = F.when(p % 4 == 0, heads(ETag=F.concat(text("W/"), tag), Content_Length=text("0"), Cache_Control=text("max-age=60"))).when(p % 4 == 1, heads(Last_Modified=day, Age=(p % 60).cast("string"))).when(p % 4 == 2, heads(Age=text("1"))).otherwise(heads(ETag=text('"other"'), Last_Modified=day))
+    record = lambda k, kind, url, ts, status, headers: F.struct((4 * p + k).alias("record_id"), F.lit(kind).alias("warc_type") if isinstance(kind, str) else kind.alias("warc_type"), url.alias("url"), ts.alias("ts"), F.lit(status).alias("status") if isinstance(status, int) else status.alias("status"), headers.alias("headers"))
+    home = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    answers = p % 4 == 0
     rows = F.array(
-        F.struct((2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("warc_type"), F.col("page_id").alias("ts"), F.lit(200).alias("status"), heads["response"].alias("headers")),
-        F.struct((2 * F.col("page_id") + 1).alias("record_id"), F.lit("revisit").alias("warc_type"), (F.col("page_id") + delay).alias("ts"), F.lit(304).alias("status"), heads["revisit"].alias("headers")),
+        record(0, "response", F.col("url"), 10 * p, 200, heads(Content_Type=text("text/html"), Content_Length=size, ETag=tag, Last_Modified=day, Cache_Control=text("no-cache"))),
+        record(1, "revisit", F.col("url"), 10 * p + 3600, 304, again),
+        record(2, "revisit", F.col("url"), 10 * p - 5, 304, heads(ETag=tag)),
+        record(3, F.when(answers, "response").otherwise("revisit"), home, 10 * p + 1, F.when(answers, 200).otherwise(304), F.when(answers, heads(ETag=front, Server=text("s"), Content_Length=text("9"))).otherwise(heads(ETag=front, Date=day, Content_Length=text("0")))),
     )
-    return pages.select("url", F.explode(rows).alias("r")).select("url", "r.*")
+    return pages.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +114,28 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "url_key", "outcome", "response_id", text.alias("headers"))
 
 
+_KEY = r"""case when regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.\-]*://') then
+  regexp_replace(regexp_replace(lower(regexp_extract({0}, '://([^/?#]*)', 1)), ':(80|443)?$', ''), '^www\.', '') || regexp_replace(regexp_extract({0}, '://[^/?#]*([^?#]*)', 1), '/+$', '')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract({0}, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') else {0} end"""
 SQL = {
-    "op1_warc_revisits": r"""
-with parts as (select page_id, url, html, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)', ['scheme', 'host', 'path']) as u, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\-]*://') as absolute,
-    list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) as params from pages),
-keyed as (select page_id, html, case when absolute then regexp_replace(regexp_replace(lower(u.host), ':(80|443)?$', ''), '^www\.', '') || regexp_replace(u.path, '/+$', '') || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end else url end as url_key from parts),
-latest as (select v.page_id, v.url_key, v.html, max(r.page_id) as response from keyed v join keyed r on r.url_key = v.url_key and r.page_id < v.page_id + 3600 group by v.page_id, v.url_key, v.html)
-select 2 * l.page_id + 1 as record_id, l.url_key, case when md5(l.html) = md5(r.html) then 'resolved' else 'mismatch' end as outcome,
-    case when md5(l.html) = md5(r.html) then 2 * r.page_id end as response_id,
-    case when md5(l.html) = md5(r.html) then 'age: ' || (l.page_id % 60) || chr(10) || 'cache-control: max-age=60' || chr(10) || 'content-length: ' || strlen(r.html) || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/"' || md5(l.html) || '"' end as headers
-from latest l join keyed r on r.page_id = l.response
+    "op1_warc_revisits": rf"""
+with p as (select page_id as p, {_KEY.format('url')} as url_key, {_KEY.format("regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)")} as home_key, '"' || md5(html) || '"' as tag, strlen(html) as size,
+    'day ' || (page_id % 365) as day, '"front-' || (page_id // 50) || '"' as front from pages),
+responses as (
+  select 4 * p as id, url_key, 10 * p as ts, tag as etag, day as modified, ['cache-control: no-cache', 'content-length: ' || size, 'content-type: text/html', 'etag: ' || tag, 'last-modified: ' || day] as h from p
+  union all select 4 * p + 3, home_key, 10 * p + 1, front, null, ['content-length: 9', 'etag: ' || front, 'server: s'] from p where p % 4 = 0),
+revisits as (
+  select 4 * p + 1 as id, url_key, 10 * p + 3600 as ts, case p % 4 when 0 then tag when 3 then '"other"' end as etag, case when p % 4 in (1, 3) then day end as modified,
+    case p % 4 when 0 then ['cache-control: max-age=60', 'etag: W/' || tag] when 1 then ['age: ' || (p % 60), 'last-modified: ' || day] end as h from p
+  union all select 4 * p + 2, url_key, 10 * p - 5, tag, null, ['etag: ' || tag] from p
+  union all select 4 * p + 3, home_key, 10 * p + 1, front, null, ['date: ' || day, 'etag: ' || front] from p where p % 4 <> 0),
+latest as (select v.id, any_value(v.url_key) as url_key, any_value(v.etag) as etag, any_value(v.modified) as modified, any_value(v.h) as h, max({{'ts': r.ts, 'id': r.id}}) as top
+  from revisits v left join responses r on r.url_key = v.url_key and r.ts < v.ts group by v.id),
+judged as (select l.*, r.id as response, r.h as stored, case when r.id is null then 'no_response' when l.etag is null and l.modified is null then 'no_validator'
+  when case when l.etag is not null then r.etag is not distinct from l.etag else r.modified is not distinct from l.modified end then 'resolved' else 'mismatch' end as outcome
+  from latest l left join responses r on r.id = l.top.id)
+select id as record_id, url_key, outcome, case when outcome = 'resolved' then response end as response_id,
+  case when outcome = 'resolved' then array_to_string(list_sort(list_concat(h, list_filter(stored, lambda x: len(list_filter(h, lambda y: string_split(y, ': ')[1] = string_split(x, ': ')[1])) = 0))), chr(10)) end as headers
+from judged
 """
 }
