@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, materialise, table
+from .common import BROADCAST_BYTES, ascii_lower, broadcast_if_small, hot_split, materialise, table
 
 WINDOW, GRAM = 13, 4
+#: Bounds on the bytes of a broadcast row: a prefix (token, offset, length, window), and a window with its words and items.
+PREFIX_BYTES, WINDOW_BYTES = 64, 2048
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -31,44 +35,69 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("w").agg(F.sort_array(F.collect_set("item_id")).alias("items")).select(F.xxhash64("w").alias("wid"), "w", F.size("w").alias("len"), "items")
 
 
+def _tokens(df: DataFrame, keep: list[str], k: int) -> DataFrame:
+    return df.select(*keep, F.posexplode(_grams(F.col("w"), k)).alias("at", "gram"))
+
+
+def _prefixes(win: DataFrame, text: DataFrame, k: int) -> DataFrame:
+    """The rarest token of each window (gram, offset, len, wid, df), rarity being counted over all texts; windows with an absent token are out."""
+    own = materialise(_tokens(win, ["wid", "len"], k), "tokens")
+    known = own.select("gram").distinct()
+    counts = materialise(_tokens(text, [], k).join(broadcast_if_small(known, own.count(), 24), "gram").groupBy("gram").agg(F.count("*").alias("df")), "rarity")
+    first = own.join(counts, "gram", "left").groupBy("wid", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "at", "gram")).alias("first")).where("first.df > 0")
+    return materialise(first.select(F.col("first.gram").alias("gram"), F.col("first.at").alias("offset"), "len", "wid", F.col("first.df").alias("df")), "prefix")
+
+
+def _candidates(text: DataFrame, prefix: DataFrame, k: int) -> DataFrame:
+    """Places (doc_id, text_key, start, wid, slice) where the positional bound leaves room for a window and the words there have its hash.
+
+    While the counted prefixes stay under the broadcast bound, one pass over the words finds them. Otherwise narrow rows of positions are shuffled by token, those of hot
+    tokens against a broadcast of their prefixes, and what the positions leave meets the words again by document.
+    """
+    row = ["doc_id", "text_key"]
+    start = (F.col("at") - F.col("offset")).alias("start")
+    room = (F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("len") <= F.col("n_words"))
+    piece = F.slice("w", F.greatest("start", F.lit(0)) + 1, F.col("len"))
+    n = prefix.count()
+    narrow = prefix.select("gram", "offset", "len", "wid")
+    if n * PREFIX_BYTES <= BROADCAST_BYTES:
+        met = _tokens(text, [*row, "n_words", "w"], k).join(F.broadcast(narrow), "gram").where(room).select(*row, "w", start, "len", "wid")
+    else:
+        hot, rest = hot_split(prefix, text.agg(F.sum("n_words")).first()[0] or 0, "df")
+        hot = hot.select(*narrow.columns)
+        places = _tokens(text, [*row, "n_words"], k)
+        cold = places.join(broadcast_if_small(hot.select("gram").distinct(), hot.count(), 24), "gram", "left_anti")
+        met = places.join(broadcast_if_small(hot, hot.count(), PREFIX_BYTES), "gram").unionByName(cold.join(rest.select(*narrow.columns), "gram")).where(room).select(*row, start, "len", "wid").distinct()
+        words = text.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "w").dropDuplicates(["_id", "_key"])
+        met = materialise(met, "places").join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("_id", "_key")
+    return met.where(F.xxhash64(piece) == F.col("wid")).select(*row, "start", "wid", piece.alias("slice"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """Documents (doc_id, text) against benchmark items (item_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, a row for each row of docs.
 
     A word inside any occurrence of a window is hit; share * n_hit >= n_words > 0 with n_hit > 0 is contamination. Null and wordless texts of either
     side have no words and no windows. Rows that repeat a doc_id are judged by their own text; a null doc_id is a value like others; a null item_id
-    isn't listed. Windows that several items share are matched once. Extra columns play no part.
+    isn't listed. Windows that several items share are matched once. Ids may have any type; texts are read whole, however long. Extra columns play no part.
 
     Texts are cut into words once, and the words written to the shared folder for the passes.
     The tokens of the set join are runs of GRAM words (or of the whole window where it is shorter). A window can only occur where all its tokens do,
     so its prefix is one token. Pass 1 counts, over all documents, those tokens that windows have; a window with an absent token is out.
     The rarest of each remaining window joins in pass 2, where the position in the text, less the token's place in the window, must leave room
-    for the whole window, whose words are then compared one by one. The benchmark's tokens are broadcast if their count allows, else shuffled.
+    for the whole window (see _candidates); what has the window's hash there is compared with its words.
     """
     win = materialise(windows(items.select("item_id", "text"), window), "windows")
-    sizes = [r[0] for r in win.select(F.least("len", F.lit(GRAM))).distinct().limit(GRAM).collect()]
+    sizes = sorted(r[0] for r in win.select(F.least("len", F.lit(GRAM))).distinct().limit(GRAM).collect())
     text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     text = materialise(text.withColumn("n_words", F.size("w").cast("long")), "words")
-
-    def tokens(df: DataFrame, keep: list[str], k: int) -> DataFrame:
-        return df.select(*keep, F.posexplode(_grams(F.col("w"), k)).alias("at", "gram"))
-
-    empty = win.sparkSession.createDataFrame([], "doc_id long, text_key long, start int, len int, items array<bigint>").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text_key", "start", "len", F.col("items").cast(win.schema["items"].dataType))
-    found = empty
-    for k in sorted(sizes):
-        own = materialise(tokens(win.where(F.least("len", F.lit(GRAM)) == k), ["wid", "len", "w", "items"], k), "tokens")
-        n = own.count()
-        known = own.select("gram").distinct()
-        counts = tokens(text, [], k).join(broadcast_if_small(known, n, 24), "gram").groupBy("gram").agg(F.count("*").alias("df"))
-        counts = materialise(counts, "rarity")
-        ranked = own.join(counts, "gram", "left").groupBy("wid", "w", "len", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "gram")).alias("first"))
-        prefix = ranked.where("first.df > 0").select(F.col("first.gram").alias("gram"), F.col("first.at").alias("offset"), F.col("len").alias("n"), F.col("w").alias("ww"), "items")
-        prefix = materialise(prefix, "prefix")
-        right = broadcast_if_small(prefix, prefix.count(), 2048).alias("p")
-        left = tokens(text, ["doc_id", "text_key", "w"], k).alias("t")
-        start = F.col("t.at") - F.col("p.offset")
-        holds = (F.col("t.gram") == F.col("p.gram")) & (start >= 0) & (start + F.col("p.n") <= F.size("t.w"))
-        same = F.when(start >= 0, F.slice("t.w", F.greatest(start, F.lit(0)) + 1, F.col("p.n"))) == F.col("p.ww")
-        found = found.unionByName(left.join(right, holds & same).select("doc_id", "text_key", start.alias("start"), F.col("p.n").alias("len"), F.col("p.items").alias("items")))
+    n = win.count()
+    parts = []
+    for k in sizes or [GRAM]:
+        mine = win.where(F.least("len", F.lit(GRAM)) == k)
+        near = _candidates(text, _prefixes(mine.select("wid", "len", "w"), text, k), k)
+        known = mine.select(F.col("wid").alias("_wid"), F.col("w").alias("_w"), "len", "items")
+        parts.append(near.join(broadcast_if_small(known, n, WINDOW_BYTES), (F.col("wid") == F.col("_wid")) & (F.col("slice") == F.col("_w"))).select("doc_id", "text_key", F.col("start").alias("start"), "len", "items"))
+    found = reduce(DataFrame.unionByName, parts)
     spans = F.array_sort(F.collect_set(F.struct("start", "len")))
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(x["start"], s["end"]))).alias("n"), F.greatest(s["end"], x["start"] + x["len"]).alias("end")))["n"]
     names = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda i: i.cast("string")))
