@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,20 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, seeded_bits, table
+from .common import crc_mod, pieces, seeded_bits, table
 
-#: Training sample: documents of each language, and the longest text in bytes among them.
-SAMPLE, SAMPLE_BYTES = 150, 32_768
-HIDDEN, STEPS, BATCH, RATE, SEED = 16, 300, 384, 0.02, 2
-#: Bytes that the network sees at once; a longer run without white space goes through in cuts of this length.
-SPAN = 24
-#: Distinct spans whose labels a Python worker remembers, in whatever tasks of the same network it runs; and rows that it cuts at once.
-MEMORY, ROWS = 300_000, 1000
-_memory: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
+#: Training sample: documents of each language, the longest text in bytes among them, and languages (the first by name) beyond which training is refused.
+SAMPLE, SAMPLE_BYTES, LANGUAGES = 150, 32_768, 500
+HIDDEN, STEPS, BATCH, RATE, SEED = 16, 220, 96, 0.02, 2
+#: A text goes through the network in windows of CORE bytes, whose labels count, after and before MARGIN bytes of context, whose labels are those of other windows' cores.
+CORE, MARGIN = 448, 32
+#: Windows that go through at once, and bytes of a training window.
+AT_ONCE, SHORT = 768, 96
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): the squashing function of the layer, much cheaper than tanh; gates are half of it plus a half."""
+    return x / (1 + np.abs(x))
+
+
+def _squash(x: np.ndarray, room: np.ndarray) -> None:
+    """_soft() in place, with room for the divisors."""
+    np.abs(x, out=room)
+    room += 1
+    x /= room
 
 
 @dataclass
@@ -45,33 +51,70 @@ class Gated:
         n, states, cache = len(self.b), [], []
         for t in range(len(ids)):
             x, a = self.table[ids[t]], h @ self.u
-            zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
+            soft = _soft(x[:, : 2 * n] + a[:, : 2 * n])
+            zr = 0.5 + 0.5 * soft
             z, r = zr[:, :n], zr[:, n:]
             inner = a[:, 2 * n :] + self.b
-            c = np.tanh(x[:, 2 * n :] + r * inner)
+            c = _soft(x[:, 2 * n :] + r * inner)
             m = mask[t][:, None]
             new = h + m * (1 - z) * (c - h)
-            cache.append((h, z, r, inner, c, m))
+            cache.append((h, z, r, inner, c, m, 0.5 * (1 - np.abs(soft)) ** 2))
             states.append(new)
             h = new
         return np.stack(states), cache
 
+    def states(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The states of forward() alone, in buffers that are used again."""
+        steps, batch = ids.shape
+        n = len(self.b)
+        out = np.empty((steps, batch, n), dtype="f4")
+        in_gates, in_candidate = np.ascontiguousarray(self.table[:, : 2 * n]), np.ascontiguousarray(self.table[:, 2 * n :])
+        u_gates, u_candidate = np.ascontiguousarray(self.u[:, : 2 * n]), np.ascontiguousarray(self.u[:, 2 * n :])
+        h = np.zeros((batch, n), dtype="f4")
+        x, gates, wide = (np.empty((batch, 2 * n), dtype="f4") for _ in range(3))
+        y, c, narrow = (np.empty((batch, n), dtype="f4") for _ in range(3))
+        whole = mask.all(axis=1)
+        for t in range(steps):
+            np.take(in_gates, ids[t], axis=0, out=x, mode="clip")
+            np.matmul(h, u_gates, out=gates)
+            gates += x
+            _squash(gates, wide)
+            gates *= 0.5
+            np.take(in_candidate, ids[t], axis=0, out=y, mode="clip")
+            np.matmul(h, u_candidate, out=c)
+            c += self.b
+            np.add(gates[:, n:], 0.5, out=narrow)
+            c *= narrow
+            c += y
+            _squash(c, narrow)
+            c -= h
+            np.subtract(0.5, gates[:, :n], out=narrow)
+            c *= narrow
+            if not whole[t]:
+                c *= mask[t][:, None]
+            np.add(h, c, out=out[t])
+            h = out[t]
+        return out
+
     def backward(self, ids: np.ndarray, cache: list, grad: np.ndarray) -> Gated:
         """Gradients, given those of the states, by backpropagation through time."""
         n = len(self.b)
         g = Gated(np.zeros_like(self.table), np.zeros_like(self.u), np.zeros_like(self.b))
         dh = np.zeros_like(grad[0])
+        inputs = np.empty((*ids.shape, 3 * n), dtype="f4")
         for t in reversed(range(len(ids))):
-            h, z, r, inner, c, m = cache[t]
+            h, z, r, inner, c, m, slope = cache[t]
             dh = dh + grad[t]
-            dc = dh * m * (1 - z) * (1 - c * c)
-            dz = dh * m * (h - c) * z * (1 - z)
-            dr = dc * inner * r * (1 - r)
-            da = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(g.table, ids[t], np.concatenate([dz, dr, dc], axis=1))
+            dc = dh * m * (1 - z) * (1 - np.abs(c)) ** 2
+            dzr = np.concatenate([dh * m * (h - c), dc * inner], axis=1) * slope
+            inputs[t, :, : 2 * n], inputs[t, :, 2 * n :] = dzr, dc
+            da = np.concatenate([dzr, dc * r], axis=1)
             g.u += h.T @ da
             g.b += (dc * r).sum(axis=0)
             dh = dh * (1 - m * (1 - z)) + da @ self.u.T
+        order = np.argsort(ids, axis=None, kind="stable")
+        seen, first = np.unique(ids.ravel()[order], return_index=True)
+        g.table[seen] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first, axis=0)
         return g
 
 
@@ -102,19 +145,30 @@ class Labeller:
         p = np.exp(y - y.max(axis=2, keepdims=True))
         return p / p.sum(axis=2, keepdims=True), both, left, right
 
-    def spans(self, spans: Sequence[bytes]) -> np.ndarray:
-        """Sums of the positions' probabilities for each span."""
-        out = np.zeros((len(spans), len(self.languages)))
-        order = sorted(range(len(spans)), key=lambda i: len(spans[i]))
-        for at in range(0, len(order), 2048):
-            part = order[at : at + 2048]
-            ids, mask = pad([spans[i] for i in part])
-            out[part] = (self.positions(ids, mask)[0] * mask[:, :, None]).sum(axis=0)
+    def sums(self, parts: Sequence[tuple[bytes, int, int]]) -> np.ndarray:
+        """For each (window, first, end), the sums of the probabilities of the positions from `first` to before `end`."""
+        out = np.zeros((len(parts), len(self.languages)))
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i][0]))
+        n = len(self.left.b)
+        for at in range(0, len(order), AT_ONCE):
+            some = order[at : at + AT_ONCE]
+            ids, mask = pad([parts[i][0] for i in some])
+            a, b = self.left.states(ids, mask), self.right.states(ids[::-1], mask[::-1])[::-1]
+            first, end = (np.array([parts[i][k] for i in some]) for k in (1, 2))
+            for t in range(int(first.min()), int(end.max()), 32):
+                u = min(t + 32, len(ids))
+                y = a[t:u].reshape(-1, n) @ self.out[:n] + b[t:u].reshape(-1, n) @ self.out[n:] + self.bias
+                p = np.exp(np.minimum(y, 80, out=y), out=y)
+                at_t = np.arange(t, u)[:, None]
+                inside = ((first <= at_t) & (at_t < end)).astype("f4").ravel()
+                p *= (inside / (p @ np.ones(len(self.languages), dtype="f4")))[:, None]
+                out[some] += p.reshape(u - t, len(some), -1).sum(axis=0)
         return out
 
 
 def train(samples: Sequence[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Labeller:
-    """Fit to (span, language) samples: every position of a span is to carry its language. Adam on the mean cross-entropy; languages are drawn evenly."""
+    """Fit to (text, language) samples: every position of a window of SHORT bytes is to carry its text's language. Adam on the mean cross-entropy; languages, their texts and
+    the places of windows are drawn evenly."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in samples})
     of = [[s for s, lang in samples if lang == one] for one in languages]
@@ -123,7 +177,8 @@ def train(samples: Sequence[tuple[bytes, str]], hidden: int = HIDDEN, steps: int
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, steps + 1):
         y = rng.integers(0, len(languages), batch)
-        ids, mask = pad([of[k][rng.integers(0, len(of[k]))] for k in y])
+        texts = [of[k][rng.integers(0, len(of[k]))] for k in y]
+        ids, mask = pad([t[(at := int(rng.integers(0, max(1, len(t) - SHORT)))) : at + SHORT] for t in texts])
         p, both, left, right = net.positions(ids, mask)
         p[:, np.arange(batch), y] -= 1
         p *= (mask / mask.sum())[:, :, None]
@@ -138,69 +193,53 @@ def train(samples: Sequence[tuple[bytes, str]], hidden: int = HIDDEN, steps: int
     return net
 
 
-def spans_of(data: bytes) -> list[bytes]:
-    """A text's bytes as spans: words with one white-space byte after them, cut to SPAN bytes. Other white space carries nothing."""
+def windows_of(data: bytes) -> list[tuple[bytes, int, int]]:
+    """A text's bytes as overlapping windows (bytes, first, end): each byte lies in [first, end) of one window, with up to MARGIN bytes around that."""
     out = []
-    for w in data.split():
-        if len(w) < SPAN:
-            out.append(w + b" ")
-        else:
-            out += [(w + b" ")[i : i + SPAN] for i in range(0, len(w) + 1, SPAN)]
+    for at in range(0, len(data), CORE):
+        low = max(0, at - MARGIN)
+        out.append((data[low : at + CORE + MARGIN], at - low, min(at + CORE, len(data)) - low))
     return out
 
 
 def _predict(net: Labeller):
-    key = hashlib.sha256(net.out.tobytes() + net.left.table.tobytes()).hexdigest()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _memory:
-            _memory.clear()
-        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            place, sums = _memory.get(key, ({}, np.zeros((0, len(net.languages)))))
-            if len(place) > MEMORY:
-                place, sums = {}, np.zeros((0, len(net.languages)))
-            docs, fresh = [], []
-            for text in b.column("text").to_pylist():
-                ids = []
-                for s in spans_of((text or "").encode("utf-8", "surrogatepass")):
-                    k = place.get(s)
-                    if k is None:
-                        k = place[s] = len(place)
-                        fresh.append(s)
-                    ids.append(k)
-                docs.append(np.array(ids, dtype=np.int64))
-            if fresh:
-                sums = np.concatenate([sums, net.spans(fresh)])
-            _memory[key] = place, sums
+        for b in pieces(batches, "text"):
+            parts: list[tuple[bytes, int, int]] = []
+            ends = []
+            for text, letters in zip(b.column("text").to_pylist(), b.column("letters").to_pylist(), strict=True):
+                parts += windows_of(text.encode("utf-8", "surrogatepass")) if letters else []
+                ends.append(len(parts))
+            total = np.concatenate([np.zeros((1, len(net.languages))), np.cumsum(net.sums(parts), axis=0)])
             lang, score = [], []
-            for ids, letters in zip(docs, b.column("letters").to_pylist(), strict=True):
-                if not letters or not len(ids):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                p = sums[ids].sum(axis=0)
-                p /= p.sum()
-                lang.append(net.languages[int(p.argmax())])
-                score.append(float(min(1.0, p.max())))
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                p = total[end] - total[start]
+                lang.append(net.languages[int(p.argmax())] if end > start else "und")
+                score.append(float(min(1.0, max(0.0, p.max() / p.sum()))) if end > start else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Labeller | None:
-    """Train on at most `sample` documents (text, lang) of each language, the first by a seeded hash of doc_id among those of at most sample_bytes; null without any."""
-    known = docs.where((F.col("lang").isNotNull()) & (F.octet_length("text") <= sample_bytes)).select("text", "lang", seeded_bits(SEED, F.col("doc_id")).alias("h"))
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Labeller | None:
+    """Train on at most `sample` documents (text, lang) of each language, the first by a seeded hash of doc_id among those of at most sample_bytes; null without any.
+
+    More than `languages` languages are an error. So the driver holds sample * sample_bytes * languages bytes at most, at any size of docs.
+    """
+    known = docs.where((F.col("lang").isNotNull()) & (F.octet_length("text").between(1, sample_bytes))).select("text", "lang", seeded_bits(SEED, F.col("doc_id")).alias("h"))
+    if known.select("lang").distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"more than {languages} languages")
     chosen = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= sample)
     rows = sorted(chosen.select("lang", "h", "text").collect())
-    samples = [(s, r["lang"]) for r in rows for s in spans_of(r["text"].encode("utf-8", "surrogatepass"))]
+    samples = [(r["text"].encode("utf-8", "surrogatepass"), r["lang"]) for r in rows]
     return train(samples) if samples else None
 
 
 def identify(docs: DataFrame, net: Labeller | None, held_out) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs (doc_id, text).
 
-    The network labels every byte of every span; a document's probabilities are the mean over its positions, the score is the largest. Equal spans get
-    equal labels, so a Python worker runs the network once for each distinct span it meets (it forgets beyond MEMORY spans) and adds the sums up.
+    The network labels every byte of the whole text, with its state crossing white space (see windows_of); a document's probabilities are the mean over its
+    positions, the score is the largest. A task works on a few megabytes of texts at a time, and the windows of a long text go through in turn.
     A text that is null or has no letter is `und` with score 0, and so is all without a trained language. Repeated rows are predicted alike;
     a null doc_id isn't held out. Extra columns play no part.
     """
