@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix, set_key, shingle_set, word_hashes
@@ -205,9 +205,10 @@ def _large_families(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, Dat
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Link documents (doc_id, text) whose k-word shingle sets have a Jaccard similarity of num / den or more; a row (doc_id, n_shingles, component_id) for each.
 
-    component_id is the smallest doc_id that links reach. Words are split at ASCII white space with A-Z in lower case; a text of fewer than k words
-    is one shingle; a null or empty text has none, links with nothing and is its own component. Rows that repeat a doc_id count as one document
-    with several texts. A row with a null doc_id links with nothing and has a null component_id. Other columns of docs play no part.
+    component_id is the smallest doc_id that links reach; a doc_id may have any type that has an order (others than integers go by their 64-bit hashes inside). Words are split at
+    ASCII white space with A-Z in lower case; a text of fewer than k words is one shingle; a null or empty text has none, links with nothing and is its own component. Long texts
+    are read whole. Rows that repeat a doc_id count as one document with several texts. A row with a null doc_id links with nothing and has a null component_id.
+    Other columns of docs play no part.
 
     1. One pass makes for each text its set's size and 128-bit key, and block signatures (see block_signatures) of sets that the task hasn't seen.
     2. Equal sets link by their key, whatever their number: the rows of a group of copies aren't compared.
@@ -216,6 +217,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
        overlaps over strips of columns and returns only a spanning forest of the pairs that pass the exact test; see _large_families for those of several blocks.
     Shingles are 64-bit hashes; a collision can change an overlap by one.
     """
+    kind = docs.schema["doc_id"].dataType
+    if kind.typeName() not in ("byte", "short", "integer", "long"):
+        node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("node")
+        names = docs.select(node, "doc_id").where("node is not null").distinct()
+        out = jaccard_components(docs.select(node.alias("doc_id"), "text"), k, num, den).withColumnRenamed("doc_id", "node")
+        least = out.select("node", "component_id").distinct().join(names, "node").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        return out.join(names, "node", "left").join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     clean = docs.select(F.col("doc_id").cast("long"), "text")
     seen = materialise(clean.mapInArrow(_incidence(k, num, den), "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>"), "incidence")
     sets = seen.select("doc_id", "n_shingles", "k1", "k2").where("k1 is not null and doc_id is not null")
@@ -243,14 +251,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = pairs.mapInArrow(_products(num, den), "a long, b long").unionByName(near)
     joined = connected_components(links.unionByName(copies))
     out = seen.select("doc_id", "n_shingles").join(joined, seen["doc_id"] == joined["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.coalesce("component", "doc_id").cast(kind).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, one row for each; rows with a null doc_id stay."""
+    """The rows of docs whose doc_id is their component's, one row for each: of rows that repeat a doc_id, the first by text. Rows with a null doc_id stay."""
     ids = components.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["_id"])
-    spare = kept.where("_rows > 1").drop("_id", "_rows").dropDuplicates(["doc_id"])
+    kept = docs.join(ids, docs["doc_id"] == ids["_id"])
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"), F.xxhash64(*[F.col(c) for c in docs.columns]))
+    spare = kept.where("_rows > 1").drop("_id", "_rows").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
     return kept.where("_rows = 1").drop("_id", "_rows").unionByName(spare).unionByName(docs.where("doc_id is null"))
 
 
