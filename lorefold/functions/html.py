@@ -66,10 +66,16 @@ class _Tree(HTMLParser):
 
 
 def _walk(node: Node):
-    for c in node.children:
-        if isinstance(c, Node):
-            yield c
-            yield from _walk(c)
+    """The nodes below, in document order, however deep."""
+    todo = [iter(node.children)]
+    while todo:
+        for c in todo[-1]:
+            if isinstance(c, Node):
+                yield c
+                todo.append(iter(c.children))
+                break
+        else:
+            todo.pop()
 
 
 def _first(node: Node, fits) -> Node | None:
@@ -80,32 +86,42 @@ def main_root(body: Node) -> Node:
     """An article in the main part, else an article, else the main part, else the body."""
     is_main, has_role, article = (lambda n: n.tag == "main"), (lambda n: n.role == "main"), (lambda n: n.tag == "article")
     for outer in (is_main, has_role):
-        for n in _walk(body):
-            if outer(n) and (found := _first(n, article)):
-                return found
+        if found := _first_inside(body, outer, article):
+            return found
     return _first(body, article) or _first(body, is_main) or _first(body, has_role) or body
 
 
+def _first_inside(body: Node, outer, inner) -> Node | None:
+    """The first node that fits `inner` and stands below one that fits `outer`."""
+    todo = [(c, False) for c in reversed(body.children) if isinstance(c, Node)]
+    while todo:
+        node, inside = todo.pop()
+        if inside and inner(node):
+            return node
+        inside = inside or outer(node)
+        todo += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
+    return None
+
+
 def _drop(node: Node, tags: set[str]) -> None:
-    node.children = [c for c in node.children if not (isinstance(c, Node) and c.tag in tags)]
-    for c in node.children:
-        if isinstance(c, Node):
-            _drop(c, tags)
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in tags)]
+        todo += [c for c in n.children if isinstance(c, Node)]
 
 
 def _text(node: Node, without: set[str] = frozenset()) -> str:
     out: list[str] = []
-
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag not in without:
-                walk(c)
-                if c.tag in BLOCKS or c.tag == "div":
-                    out.append(" ")
-
-    walk(node)
+    todo: list[Node | str] = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag not in without:
+            if c.tag in BLOCKS or c.tag == "div":
+                todo.append(" ")
+            todo += reversed(c.children)
     return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
@@ -122,22 +138,19 @@ def html_blocks(html: str | None) -> tuple[str, list[str]]:
         if text and (not out or out[-1] != before + text):
             out.append(before + text)
 
-    def walk(node: Node, in_table: bool, in_item: bool) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                continue
-            if c.tag == "tr":
-                emit(" | ".join(x for x in (_text(cell) for cell in c.children if isinstance(cell, Node) and cell.tag in ("td", "th")) if x))
-            elif c.tag in BLOCKS and not in_table and not (c.tag == "p" and in_item):
-                if c.tag[0] == "h":
-                    emit(_text(c), "# ")
-                elif c.tag == "li":
-                    emit(_text(c, {"ul", "ol"}), "- ")
-                else:
-                    emit(_text(c))
-            walk(c, in_table or c.tag == "table", in_item or c.tag == "li")
-
-    walk(root, False, False)
+    todo = [(c, False, False) for c in reversed(root.children) if isinstance(c, Node)]
+    while todo:
+        c, in_table, in_item = todo.pop()
+        if c.tag == "tr":
+            emit(" | ".join(x for x in (_text(cell) for cell in c.children if isinstance(cell, Node) and cell.tag in ("td", "th")) if x))
+        elif c.tag in BLOCKS and not in_table and not (c.tag == "p" and in_item):
+            if c.tag[0] == "h":
+                emit(_text(c), "# ")
+            elif c.tag == "li":
+                emit(_text(c, {"ul", "ol"}), "- ")
+            else:
+                emit(_text(c))
+        todo += [(x, in_table or c.tag == "table", in_item or c.tag == "li") for x in reversed(c.children) if isinstance(x, Node)]
     if not out and (rest := _text(root)):
         out = [rest]
     return re.sub(r"\s+", " ", "".join(tree.title)).strip(), out

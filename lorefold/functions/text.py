@@ -16,15 +16,18 @@ MEDIA_TYPES = {
     "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "ogg": "audio/ogg", "flac": "audio/flac",
     "txt": "text/plain", "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 }
-OFFICE = "application/vnd.openxmlformats-officedocument."
-DOCUMENT_TYPES = ("text/plain", "application/pdf", "application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", OFFICE + "wordprocessingml.document", OFFICE + "spreadsheetml.sheet", OFFICE + "presentationml.presentation")
+DOCUMENT_TYPES = (
+    "text/plain", "application/pdf", "application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+)
 SIZE_LIMITS = {"image": 10 << 20, "video": 20 << 20, "audio": 25 << 20}
 
-#: Headings of plain text: a line of roman numerals, # marks, chapter words, a roman numeral with a title in capitals.
-ROMAN_LINE = r"^[IVXLCDM]+\.?$"
-MARKED = r"^#{1,6}\s+\S[\s\S]*$"
-CHAPTER = r"(?i)^(chapter|section|part)\s+[\p{L}\p{N}][\s\S]*$"
-ROMAN_TITLE = r"^[IVXLCDM]+\.\s+[\p{Lu}\p{N}][\p{Lu}\p{N}\s,'’:;\-]*$"
+#: The headings of plain text: a roman numeral with its dot, # marks before one line, chapter words, a roman numeral with a title in capitals; and a section line.
+ROMAN_LINE = r"^[IVXLCDM]+\.$"
+MARKED = r"(?s)^#{1,6}\s+[^\r\n]+$"
+CHAPTER = r"(?iu)^(chapter|section|part)\s+[\p{L}\d]+(?:[.: —-].*)?$"
+ROMAN_TITLE = r"^[IVXLCDM]+\. [A-Z][A-Z ’'—-]+$"
+SECTION_LINE = r"(?i)^section\s+.*$"
 
 
 def java_trim(c: Column) -> Column:
@@ -62,28 +65,25 @@ def normalise_plain(c: Column) -> Column:
 
 
 def is_html(content_type: Column, body: Column) -> Column:
-    """The declared type decides; without one, the first 512 characters are searched for a marker."""
+    """The declared type decides, even a blank one; where it is null, the first 512 characters are searched for a marker."""
     start = F.lower(F.ltrim(F.substring(body, 1, 512)))
     sniffed = F.lit(False)
     for m in HTML_MARKERS:
         sniffed = sniffed | F.contains(start, F.lit(m))
-    declared = F.lower(content_type)
-    return F.when(is_blank(content_type), F.coalesce(sniffed, F.lit(False))).otherwise(declared.startswith("text/html") | declared.startswith("application/xhtml"))
+    return F.when(content_type.isNull(), F.coalesce(sniffed, F.lit(False))).otherwise(F.lower(content_type).isin("text/html", "application/xhtml+xml"))
 
 
 def decode_bytes(body: Column, charset: Column) -> Column:
-    """Decode by the byte order mark, else by the charset, else as UTF-8; the mark goes."""
+    """Decode by the charset, else by the byte order mark, else as UTF-8; a mark that fits the charset goes."""
     lead = F.hex(F.substring(body, 1, 3))
-    rest = lambda n: F.substring(body, n + 1, 1 << 30)
-    named = F.upper(charset)
-    return (
-        F.when(lead.startswith("EFBBBF"), F.decode(rest(3), "UTF-8"))
-        .when(lead.startswith("FFFE"), F.decode(rest(2), "UTF-16LE"))
-        .when(lead.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
-        .when(named == "ISO-8859-1", F.decode(body, "ISO-8859-1"))
-        .when(named == "US-ASCII", F.decode(body, "US-ASCII"))
-        .otherwise(F.decode(body, "UTF-8"))
-    )
+    wide = lead.startswith("FFFE") | lead.startswith("FEFF")
+    name = F.coalesce(F.upper(charset), F.when(lead.startswith("FFFE"), "UTF-16LE").when(lead.startswith("FEFF"), "UTF-16BE").otherwise("UTF-8"))
+    skip = F.when((name == "UTF-8") & lead.startswith("EFBBBF"), 3).when(name.isin("UTF-16LE", "UTF-16BE") & wide, 2).otherwise(0)
+    rest = F.substring(body, skip + 1, F.octet_length(body))
+    out = F.decode(rest, "UTF-8")
+    for known in ("US-ASCII", "ISO-8859-1", "UTF-16LE", "UTF-16BE"):
+        out = F.when(name == known, F.decode(rest, known)).otherwise(out)
+    return out
 
 
 def paragraphs(c: Column) -> Column:
@@ -97,14 +97,14 @@ def is_heading(c: Column) -> Column:
 
 def heading_level(c: Column) -> Column:
     marks = F.length(F.regexp_extract(c, "^(#+)", 1))
-    return F.when(marks > 0, F.least(marks, F.lit(6))).when(c.rlike(ROMAN_LINE) | c.rlike(r"(?i)^section\s"), 2).otherwise(1)
+    return F.when(marks > 0, F.least(marks, F.lit(6))).when(c.rlike(ROMAN_LINE) | c.rlike(SECTION_LINE), 2).otherwise(1)
 
 
 def time_text(ms: Column) -> Column:
-    """HH:mm:ss.SSS of milliseconds; hours may exceed two digits."""
+    """HH:mm:ss.SSS of milliseconds; hours may exceed two digits; null stays null."""
     ms = ms.cast("long")
     part = lambda by, mod=None: F.floor(ms / by) if mod is None else F.floor(ms / by) % mod
-    return F.format_string("%02d:%02d:%02d.%03d", part(3_600_000), part(60_000, 60), part(1000, 60), ms % 1000)
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d.%03d", part(3_600_000), part(60_000, 60), part(1000, 60), ms % 1000))
 
 
 def extension(name: Column) -> Column:
@@ -140,11 +140,12 @@ def youtube_url(url: Column) -> Column:
 
 
 def url_error(url: Column) -> Column:
-    """Why an address must not be fetched; null if it may be. Literal IPv4 addresses of non-public ranges are refused, names aren't looked up."""
+    """Why an address must not be fetched; null if it may be. Literal addresses of non-public ranges are refused, IPv6 ones that hold an IPv4 one too; names aren't looked up."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r":\d*$", ""))
-    octet = lambda k: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
+    octet = lambda k: F.regexp_extract(host, r"^(?:\[(?:::|(?:0{1,4}:){5})ffff:)?(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\]?$", k).try_cast("int")
+    wide = host.rlike(r"^\[(f[cdf][0-9a-f]{2}|fe[89a-f][0-9a-f]|2001:0?db8):|^\[[0:]*:0{0,3}[01]?\]$")  # local, link, site, many, written about; the loopback and none
     a, b, c = octet(1), octet(2), octet(3)
     private = (
         (a == 0) | (a == 10) | (a == 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
@@ -155,13 +156,17 @@ def url_error(url: Column) -> Column:
         .when(~scheme.isin("http", "https"), "unsupported scheme")
         .when(authority == "", "host is required")
         .when(F.contains(authority, F.lit("@")), "user info is not allowed")
-        .when((host == "localhost") | host.endswith(".localhost") | F.coalesce(private, F.lit(False)) | host.isin("[::1]", "[::]"), "address is not public")
+        .when((host == "localhost") | host.endswith(".localhost") | F.coalesce(private, F.lit(False)) | wide, "address is not public")
     )
 
 
 def email_error(c: Column) -> Column:
     e = F.lower(java_trim(c))
-    return F.when(is_blank(c), "email is required").when(F.length(e) > 320, "email is too long").when(~e.rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"), "email is invalid")
+    return F.when(is_blank(c), "email is required").when(F.length(e) > 320, "email is too long").when(~e.rlike(r"^[^@\s]+@[^@\s]+$"), "email is invalid")
+
+
+def password_error(c: Column) -> Column:
+    return F.when(is_blank(c), "password is required").when(F.length(c) < 12, "password is too short").when(F.octet_length(c) > 72, "password is too long")
 
 
 def question_error(c: Column) -> Column:
@@ -197,7 +202,7 @@ def sniffed_type(content: Column) -> Column:
     """Media type of a file's bytes by their first ones and, in archives and compound files, by the names inside; text if no byte is zero; null for the rest."""
     head = F.hex(F.substring(content, 1, 8))
     has = lambda name: F.contains(content, F.lit(name))
-    office = F.when(has(b"word/"), OFFICE + "wordprocessingml.document").when(has(b"xl/"), OFFICE + "spreadsheetml.sheet").when(has(b"ppt/"), OFFICE + "presentationml.presentation").otherwise("application/zip")
+    office = F.when(has(b"word/"), "application/vnd.openxmlformats-officedocument.wordprocessingml.document").when(has(b"xl/"), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(has(b"ppt/"), "application/vnd.openxmlformats-officedocument.presentationml.presentation").otherwise("application/zip")
     wide = lambda name: has(name.encode("utf-16-le"))
     compound = F.when(wide("WordDocument"), "application/msword").when(wide("Workbook"), "application/vnd.ms-excel").when(wide("PowerPoint Document"), "application/vnd.ms-powerpoint").otherwise("application/x-ole-storage")
     return (

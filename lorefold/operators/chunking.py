@@ -39,10 +39,18 @@ def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(split_sentences)
 
 
-def _heading_path(headings: Column) -> Column:
-    """The stack of headings after each of (level, text): one of level n leaves at most n - 1 above it."""
-    step = lambda stack, h: F.concat(F.slice(stack, F.lit(1), F.least(F.size(stack), h["level"] - 1)), F.array(h["text"]))
-    return F.array_join(F.aggregate(headings, F.array().cast("array<string>"), step), " > ")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _heading_paths(headings: pd.Series) -> pd.Series:
+    """The stack of headings after each of a document's (level, text): one of level n leaves at most n - 1 above it."""
+
+    def paths(rows) -> list[str]:
+        out, stack = [], []
+        for h in rows:
+            stack = [*stack[: h["level"] - 1], h["text"]]
+            out.append(" > ".join(stack))
+        return out
+
+    return headings.map(paths)
 
 
 def chunk_blocks(blocks: DataFrame, max_sentences: int = 5) -> DataFrame:
@@ -65,9 +73,10 @@ def chunk_blocks(blocks: DataFrame, max_sentences: int = 5) -> DataFrame:
     parts = parts.withColumns({
         "section": F.sum(F.col("head").cast("int")).over(so_far),
         "run": F.sum((F.col("head") | F.col("moved")).cast("int")).over(so_far),
-        "trail": F.collect_list(F.when(F.col("head"), F.struct(heading_level(F.col("paragraph")).alias("level"), F.regexp_replace("paragraph", r"^#+\s*", "").alias("text")))).over(so_far),
-    })
-    parts = parts.withColumn("heading", F.when(F.size("trail") > 0, _heading_path(F.col("trail")))).drop("trail")
+    })
+    trail = F.array_sort(F.collect_list(F.struct("section", heading_level(F.col("paragraph")).alias("level"), F.col("paragraph").alias("text"))))
+    paths = parts.where("head").groupBy("doc_id").agg(trail.alias("trail")).select("doc_id", F.posexplode(_heading_paths("trail")).alias("pos", "heading"))
+    parts = parts.join(paths.select("doc_id", (F.col("pos") + 1).cast("long").alias("section"), "heading"), ["doc_id", "section"], "left")
     where = ["page_number", "slide_number", "sheet_name"]
     body = parts.where("not head").select("doc_id", "run", "section", "heading", "sequence", "part", *where, F.posexplode(sentences("paragraph")).alias("at", "sentence"))
     order = Window.partitionBy("doc_id", "run").orderBy("sequence", "part", "at")

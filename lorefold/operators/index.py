@@ -127,11 +127,45 @@ def scan(items: DataFrame, limit: int | None = 1000) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def workspace_knowledge(items: DataFrame) -> DataFrame:
-    """Contents of each workspace by kind of source, in item order, joined by empty lines; null for a kind without content."""
+def workspace_knowledge(items: DataFrame, span_seconds: int | None = None) -> DataFrame:
+    """Contents of each workspace by kind of source, in item order, joined by empty lines; null for a kind without content.
+
+    A text is one row of one task, so for large workspaces give span_seconds: then each workspace has a row (workspace_id, span, ...) for each span of created_at with
+    items, and its text is that of its spans in their order.
+    """
     rows = items.where(~is_blank(F.col("content"))).withColumn("row", F.struct("created_at", F.col("source_id").isNull().alias("n1"), "source_id", F.col("chunk_sequence").isNull().alias("n2"), "chunk_sequence", "id", "content"))
     part = lambda kind: F.when(F.count_if(F.col("source_type") == kind) > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("source_type") == kind, F.col("row")))), lambda r: r["content"]), "\n\n"))
-    return rows.groupBy("workspace_id").agg(*[part(k).alias(k) for k in SOURCE_TYPES.values()])
+    keys = ["workspace_id"] if span_seconds is None else ["workspace_id", F.floor(F.unix_timestamp("created_at") / span_seconds).alias("span")]
+    return rows.groupBy(*keys).agg(*[part(k).alias(k) for k in SOURCE_TYPES.values()])
+
+
+def has_knowledge(sources: DataFrame, items: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Whether each source (workspace_id, source_id) is indexed whole: its manifest is the workspace's and counts its items; without a manifest, any item will do."""
+    done = completeness(items, manifests).join(manifests.select("source_id", F.col("workspace_id").alias("_owner")), "source_id").select("source_id", "complete", "_owner")
+    some = items.select("workspace_id", "source_id").distinct().withColumn("_some", F.lit(True))
+    out = sources.join(done, "source_id", "left").join(some, ["workspace_id", "source_id"], "left")
+    managed = F.col("_owner").isNotNull()
+    return out.select("workspace_id", "source_id", F.when(managed, F.col("complete") & (F.col("_owner") == F.col("workspace_id"))).otherwise(F.coalesce("_some", F.lit(False))).alias("has_knowledge"))
+
+
+def whole_items(texts: DataFrame, generation: str | None = None) -> DataFrame:
+    """Items of whole texts (workspace_id, source_id, content, ...): one a source, of sequence 0, without a place in it."""
+    nothing = {c: F.lit(None).cast("string") for c in ("heading", "speaker") if c not in texts.columns}
+    return items_of_chunks(texts.withColumns({**nothing, "sequence": F.lit(0)}), generation).withColumn("sequence", F.lit(None).cast("int"))
+
+
+def append_fields(items: DataFrame, updates: DataFrame, generation: str | None = None) -> DataFrame:
+    """Items with updates of fields (workspace_id, source_id, content) as items of their own; nothing is overwritten."""
+    return items.unionByName(whole_items(updates, generation).select(*items.columns))
+
+
+def embedded(items: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """Items with the vectors (id, embedding) of their ids, all or none: a missing, second or wrong vector is an error, found when the result is computed."""
+    one = vectors.groupBy("id").agg(F.count("*").alias("_n"), F.first("embedding").alias("embedding"))
+    joined = items.drop("embedding").join(one, "id", "left")
+    good = (F.col("_n") == 1) & (F.size("embedding") == dim)
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("no single vector of the right length for "), F.col("id").cast("string"))))
+    return joined.withColumn("embedding", checked).drop("_n")
 
 
 def audit_key(c: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 CONTENT_TYPES = ("documents", "audio", "images", "videos")
 CONTENT_OF_SOURCE = {"DOCUMENT": "documents", "AUDIO": "audio", "IMAGE": "images", "VIDEO": "videos", "WEB_PAGE": "documents", "YOUTUBE": "videos"}
-#: Errors that are worth another attempt.
-RETRYABLE = ("IO", "TIMEOUT", "UPSTREAM", "QUEUE_FULL")
+#: Kinds of errors that end a task for good, and kinds that are worth another attempt.
+FINAL_CAUSES = ("DocumentProcessingException", "IllegalArgumentException", "NoSuchElementException", "FileNotFoundException", "NoSuchFileException")
+RETRYABLE_CAUSES = ("UpstreamServiceException", "IOException", "InterruptedException")
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,9 @@ def backoff(attempt: Column, policy: RetryPolicy = RetryPolicy()) -> Column:
 
 
 def retry_decision(tasks: DataFrame, policy: RetryPolicy = RetryPolicy()) -> DataFrame:
-    """tasks with retryable, delay_s and outcome RETRY or DEAD."""
-    again = F.coalesce(F.col("error_code").isin(*RETRYABLE), F.lit(False))
+    """tasks (causes, attempt_count) with retryable, delay_s and outcome RETRY or DEAD. causes holds the kinds of an error and of what caused it, outermost first: the first known one decides."""
+    known = F.filter("causes", lambda c: c.isin(*FINAL_CAUSES, *RETRYABLE_CAUSES))
+    again = F.coalesce(F.get(known, F.lit(0)).isin(*RETRYABLE_CAUSES), F.lit(False))
     retry = again & (F.col("attempt_count") < policy.attempts)
     return tasks.withColumns({"retryable": again, "delay_s": F.when(retry, backoff(F.col("attempt_count"), policy)), "outcome": F.when(retry, "RETRY").otherwise("DEAD")})
 
@@ -109,6 +111,44 @@ def backfill_tasks(sources: DataFrame) -> DataFrame:
     return sources.where("deleted_at is null").select(F.col("id").alias("source_id"), "workspace_id", F.lit("PROCESS").alias("operation_type"), status.alias("status"), F.lit(0).alias("attempt_count"))
 
 
+def source_of(sources: DataFrame, workspace: str, source: str) -> DataFrame:
+    """One source of a workspace, unless it is deleted."""
+    return sources.where((F.col("workspace_id") == workspace) & (F.col("id") == source) & F.col("deleted_at").isNull())
+
+
+def reset_leases(tasks: DataFrame) -> DataFrame:
+    """Running tasks lose their lease and token, so that they are claimed anew."""
+    running = F.col("status") == "RUNNING"
+    return tasks.withColumns({"lease_expires_at": F.when(running, F.lit(None).cast(tasks.schema["lease_expires_at"].dataType)).otherwise(F.col("lease_expires_at")), "claim_token": F.when(running, F.lit(None).cast("string")).otherwise(F.col("claim_token"))})
+
+
+def split_request(sources: DataFrame, requested: DataFrame) -> DataFrame:
+    """Each requested source (job_id, source_id), submitted if it is there and not being processed, else skipped, with its content type."""
+    s = sources.where("deleted_at is null").select(F.col("id").alias("source_id"), "source_type", "status")
+    good = F.col("status").isNotNull() & (F.col("status") != "PROCESSING")
+    return requested.join(s, "source_id", "left").select("job_id", "source_id", content_type(F.col("source_type")).alias("content_type"), F.when(good, "SUBMITTED").otherwise("SKIPPED").alias("decision"))
+
+
+def source_ids(split: DataFrame) -> DataFrame:
+    """Submitted sources of each job by content type, the smallest of several."""
+    one = split.where("decision = 'SUBMITTED' and content_type is not null").groupBy("job_id", "content_type").agg(F.min("source_id").alias("source_id"))
+    return one.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("content_type", "source_id")))).alias("source_ids"))
+
+
+def pending_jobs(tasks: DataFrame, steps: DataFrame, now: Column) -> DataFrame:
+    """What a task (source_id, job_id, status, lease_expires_at) does with its job's step (job_id, content_type, status): REUSE a pending one, FAIL_STALE one that runs without a live lease, KEEP one that runs, NEW without either."""
+    joined = tasks.join(steps.select("job_id", F.col("status").alias("step_status")), "job_id", "left")
+    live = F.coalesce(F.col("lease_expires_at") > now, F.lit(False))
+    action = F.when(F.col("step_status") == "PENDING", "REUSE").when((F.col("step_status") == "RUNNING") & live, "KEEP").when(F.col("step_status") == "RUNNING", "FAIL_STALE").otherwise("NEW")
+    return joined.select("source_id", "job_id", action.alias("action"))
+
+
+def delete_plan(sources: DataFrame) -> DataFrame:
+    """Steps of deleting each source, in order: refused while it is processed, else its knowledge, its lease's check, its bytes and its row."""
+    steps = F.when(F.col("status") == "PROCESSING", F.array(F.lit("REFUSE"))).otherwise(F.array(*[F.lit(x) for x in ("KNOWLEDGE", "ASSERT_LEASE", "BYTES", "METADATA")]))
+    return sources.where("deleted_at is null").select(F.col("id").alias("source_id"), F.posexplode(steps).alias("position", "step"))
+
+
 def surviving(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent is still there."""
     return children.join(parents.select(key).distinct(), key, "left_semi")

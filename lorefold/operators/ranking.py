@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Terms of all questions, and cells of distinct terms by questions, up to which matrices score them; items that a task scores at once; bytes of query vectors that are sent at once.
+MATRIX_TERMS, MATRIX_CELLS, ROWS, QUERY_BYTES = 20_000, 4_000_000, 256, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -68,15 +76,121 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
+class Best:
+    """The best `limit` scores of each query that a task has seen; equal ones go by the smaller id."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.held: pd.DataFrame | None = None
+        self.least: np.ndarray | None = None
+
+    def add(self, ids: list, scores: np.ndarray) -> None:
+        """Scores of rows (ids) by columns (queries); minus infinity is none."""
+        if self.least is None:
+            self.least = np.full(scores.shape[1], -np.inf)
+        row, query = np.nonzero((scores >= self.least) & (scores > -np.inf))
+        new = pd.DataFrame({"query": query, "score": scores[row, query], "id": [ids[i] for i in row]})
+        self.held = new if self.held is None else pd.concat([self.held, new])
+        self.held = self.held.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query", sort=False).head(self.limit)
+        full = self.held.groupby("query")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.limit]
+        self.least[full.index.to_numpy()] = full["min"].to_numpy()
+
+    def rows(self, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.held is not None and len(self.held):
+            yield pa.RecordBatch.from_arrays([pa.array(queries[self.held["query"].to_numpy()].tolist()), pa.array(self.held["id"].tolist()), pa.array(self.held["score"].to_numpy())], names=["qid", "id", "score"])
+
+
+def _incidence(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the vocabulary's terms in each row of tokens, rows by terms, and the rows' lengths."""
+    length = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    place = pc.index_in(column.flatten(), vocabulary).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), length)
+    known = ~np.isnan(place) if place.dtype.kind == "f" else np.ones(len(place), dtype=bool)
+    flat = row[known] * len(vocabulary) + place[known].astype(np.int64)
+    return np.bincount(flat, minlength=len(column) * len(vocabulary)).reshape(len(column), -1), length
+
+
+def _count_terms(vocabulary, fields: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = vocabulary.value
+        df, n, total = np.zeros((len(fields), len(terms)), dtype=np.int64), np.zeros(len(fields), dtype=np.int64), np.zeros(len(fields), dtype=np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                for k, f in enumerate(fields):
+                    tf, dl = _incidence(b.column(f).slice(at, ROWS), terms)
+                    df[k] += (tf > 0).sum(axis=0)
+                    n[k] += (dl > 0).sum()
+                    total[k] += dl.sum()
+        for k, f in enumerate(fields):
+            seen = np.flatnonzero(df[k])
+            yield pa.RecordBatch.from_arrays([pa.array([f] * (len(seen) + 1)), pa.array([-1, *seen.tolist()], pa.int64()), pa.array([n[k], *df[k][seen]], pa.int64()), pa.array([total[k], *[0] * len(seen)], pa.int64())], names=["field", "term", "n", "total"])
+
+    return run
+
+
+def _best_scores(model, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, fields, ids = model.value
+        best = Best(limit)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                scores = None
+                for f, weight, weights, average in fields:
+                    tf, dl = _incidence(b.column(f).slice(at, ROWS), terms)
+                    gain = tf / (tf + K1 * (1 - B + B * dl / average)[:, None])
+                    mine = gain @ weights * weight
+                    scores = mine if scores is None else np.maximum(scores, mine)
+                best.add(b.column("id").slice(at, ROWS).to_pylist(), np.where(scores > 0, np.round(scores, 6), -np.inf))
+        yield from best.rows(ids)
+
+    return run
+
+
+def bm25_by_matrix(items: DataFrame, terms: DataFrame, fields: dict[str, float], limit: int) -> DataFrame:
+    """(qid, id, score): at least the top `limit` items of each question by its best field, for a bounded set of questions.
+
+    Tasks multiply the matrix of their items by the questions' terms with that of term by question weights and hand on their best items only, so the pairs of questions
+    and matching items are never rows. The terms (qid, term) come to the driver and the tasks; the caller bounds their number.
+    """
+    spark = items.sparkSession
+    rows = terms.toArrow()
+    vocabulary = pc.unique(rows.column("term").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    place = {t: k for k, t in enumerate(vocabulary.to_pylist())}
+    ids = sorted(set(rows.column("qid").to_pylist()))
+    of = {q: k for k, q in enumerate(ids)}
+    asked = np.zeros((len(place), len(ids)))
+    for q, t in zip(rows.column("qid").to_pylist(), rows.column("term").to_pylist(), strict=True):
+        asked[place[t], of[q]] = 1
+    text = items.select("id", *[tokens(F.col(f)).alias(f) for f in fields])
+    counts = text.select(*fields).mapInArrow(_count_terms(spark.sparkContext.broadcast(vocabulary), list(fields)), "field string, term long, n long, total long").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    model = []
+    for f, weight in fields.items():
+        whole = next((r for r in counts if r.field == f and r.term == -1), None)
+        n, total = (whole.n, whole.total) if whole else (0, 0)
+        df = np.zeros(len(place))
+        for r in counts:
+            if r.field == f and r.term >= 0:
+                df[r.term] = r.n
+        model.append((f, weight, asked * np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None], total / max(1, n) or 1.0))
+    kind = {x.name: x.dataType.simpleString() for x in (*items.schema, *terms.schema)}
+    return text.mapInArrow(_best_scores(spark.sparkContext.broadcast((vocabulary, model, np.array(ids))), limit), f"qid {kind['qid']}, id {kind['id']}, score double")
+
+
 def bm25(items: DataFrame, questions: DataFrame, limit: int = 12, heading_weight: float | None = None, speaker_weight: float | None = None) -> DataFrame:
     """Top `limit` items (qid, id, score, rank) of each question by the best of the fields content, heading and speaker. Scores are rounded, ties go to the smaller id.
 
-    heading and speaker count only with a weight; speaker is one keyword that must equal the whole question.
+    heading and speaker count only with a weight; speaker is one keyword that must equal the whole question. Question sets of a bounded size (see MATRIX_CELLS) are scored by
+    matrices in the tasks, larger ones by joins of postings; both give the same.
     """
     terms = query_terms(questions)
-    scored = bm25_field(items, terms, "content")
-    if heading_weight:
-        scored = scored.unionByName(bm25_field(items, terms, "heading").withColumn("score", F.col("score") * heading_weight))
+    size = terms.agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"), F.count_distinct("qid").alias("questions")).first()
+    if size.n <= MATRIX_TERMS and size.terms * size.questions <= MATRIX_CELLS:
+        scored = bm25_by_matrix(items, terms, {"content": 1.0, **({"heading": heading_weight} if heading_weight else {})}, limit)
+    else:
+        scored = bm25_field(items, terms, "content")
+        if heading_weight:
+            scored = scored.unionByName(bm25_field(items, terms, "heading").withColumn("score", F.col("score") * heading_weight))
     if speaker_weight:
         stats = items.where("speaker is not null").groupBy("speaker").agg(F.count("*").alias("df")).crossJoin(items.agg(F.count("speaker").alias("n")))
         value = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / (1 + K1) * speaker_weight
@@ -97,18 +211,51 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def checked_vector(v: Column, dim: int) -> Column:
+    """A query vector, refused if it isn't of dim numbers."""
+    return F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit(f"a query vector needs {dim} dimensions, not "), F.size(v).cast("string"))))
+
+
+def _best_products(matrix, ids: np.ndarray, limit: int):
+    """Arrow rows (id, x) to the best `limit` products of each query in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = matrix.value
+        best = Best(limit)
+        for b in batches:
+            x = np.stack(b.column("x").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, q.shape[1]))
+            best.add(b.column("id").to_pylist(), np.round(x @ q.T, 6))
+        yield from best.rows(ids)
+
+    return run
+
+
 def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int = 100, dim: int | None = None) -> DataFrame:
     """Exact cosine top list (qid, id, score, rank) of items (id, embedding) for queries (qid, embedding).
 
-    Queries are a stated set that every item is compared with once; each task keeps its best before the shuffle. Filter items first, so
-    the limit counts visible ones. With dim, vectors of another length are left out.
+    Queries are a stated set that every item is compared with once, in blocks of at most QUERY_BYTES that are sent to the tasks; a task multiplies matrices and hands on
+    only its best items for each query. Filter items first, so the limit counts visible ones. Null and zero vectors have no place. With dim, a query
+    vector of another length is an error; an item's is left out. limit must not exceed candidates.
     """
+    if not 1 <= limit <= candidates:
+        raise ValueError("limit must be positive and not above candidates")
     x = items.select("id", unit(F.col("embedding")).alias("x")).where("x is not null")
-    q = queries.select("qid", unit(F.col("embedding")).alias("q")).where("q is not null")
-    if dim:
-        x, q = x.where(F.size("x") == dim), q.where(F.size("q") == dim)
-    scored = x.crossJoin(F.broadcast(q)).where(F.size("x") == F.size("q")).select("qid", "id", F.round(dot(F.col("x"), F.col("q")), 6).alias("score"))
-    return top_k(scored, min(limit, max(limit, candidates)), "qid", [F.desc("score"), F.asc("id")])
+    embedding = F.col("embedding") if dim is None else checked_vector(F.col("embedding"), dim)
+    q = queries.select("qid", unit(embedding).alias("q"), F.size(embedding).alias("size")).where("q is not null")
+    kind, context = {f.name: f.dataType.simpleString() for f in (*x.schema, *q.schema)}, items.sparkSession.sparkContext
+    parts = []
+    for r in q.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect():
+        blocks = -(-r.n * r["size"] * 8 // QUERY_BYTES)
+        for k in range(blocks):
+            some = q.where((F.col("size") == r["size"]) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)).select("qid", "q").toArrow()
+            if not some.num_rows:
+                continue
+            matrix = context.broadcast(np.stack(some.column("q").to_numpy(zero_copy_only=False)))
+            ids = np.array(some.column("qid").to_pylist())
+            parts.append(x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {kind['qid']}, id {kind['id']}, score double"))
+    if not parts:
+        return x.limit(0).select(F.lit(None).cast(kind["qid"]).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return top_k(reduce(DataFrame.unionByName, parts), limit, "qid", [F.desc("score"), F.asc("id")])
 
 
 def fuse(lists: DataFrame, limit: int, k: int) -> DataFrame:
@@ -160,9 +307,61 @@ def rerank(ranked: DataFrame, questions: DataFrame, items: DataFrame, limit: int
 def expand_following(seeds: DataFrame, items: DataFrame, most_seeds: int = 12, limit: int = 24) -> DataFrame:
     """Seeds (qid, id, rank) with the chunk that follows each in its workspace, source and section, in the order seed, follower, seed, ...; an id stays at its first place.
 
-    items: id, workspace_id, source_id, section_id, sequence. More than most_seeds seeds of a question are an error (null position rows are never made).
+    items: id, workspace_id, source_id, section_id, sequence. More than most_seeds seeds of a question are an error, found by Spark when the result is computed.
     """
-    place = seeds.join(items, "id").where(F.col("rank") <= most_seeds)
+    fits = F.when(F.col("rank") > most_seeds, F.raise_error(F.lit(f"a question has more than {most_seeds} seeds"))).otherwise(F.col("rank"))
+    seeds = seeds.withColumn("rank", fits.cast(seeds.schema["rank"].dataType))
+    place = seeds.join(items, "id")
     following = place.select("qid", "rank", "workspace_id", "source_id", "section_id", (F.col("sequence") + 1).alias("sequence")).join(items, ["workspace_id", "source_id", "section_id", "sequence"])
-    both = seeds.where(F.col("rank") <= most_seeds).select("qid", "id", (2 * F.col("rank")).alias("at")).unionByName(following.select("qid", "id", (2 * F.col("rank") + 1).alias("at")))
+    both = seeds.select("qid", "id", (2 * F.col("rank")).alias("at")).unionByName(following.select("qid", "id", (2 * F.col("rank") + 1).alias("at")))
     return top_k(both.groupBy("qid", "id").agg(F.min("at").alias("at")), limit, "qid", [F.asc("at")], "position").select("qid", "position", "id")
+
+
+def first_hits(ranked: DataFrame) -> DataFrame:
+    """Each id of a question once, at its first rank."""
+    return ranked.groupBy("qid", "id").agg(F.min("rank").alias("rank"))
+
+
+def retrieve(items: DataFrame, questions: DataFrame, embed=None, expansions: DataFrame | None = None, scorer=None, config: SearchConfig = SearchConfig(), vector_only: bool = False, on_fallback=lambda stage: None) -> DataFrame:
+    """The whole plan of many questions (qid, text) at once over items (id, content, heading, speaker, embedding, and their place): (qid, position, id), with following chunks.
+
+    Without `embed` (text column to vectors) BM25 answers. A question without expansions is answered by BM25 and vectors, in this order; one with
+    expansions by vectors and BM25 for each variant. `scorer` reranks. A step that fails gives way: expansions to the question alone, a search to BM25 of the question,
+    a reranking to the order before it; on_fallback hears the step's name. Each step is computed once, to find its failure, and kept for the next.
+    """
+
+    def done(df: DataFrame) -> DataFrame:
+        kept = df.persist()
+        kept.count()
+        return kept
+
+    def attempt(stage: str, build, otherwise) -> DataFrame:
+        try:
+            return done(build())
+        except Exception:  # noqa: BLE001  any failure of a provider or a search gives way to the plainer plan
+            on_fallback(stage)
+            return otherwise()
+
+    plain = lambda: bm25(items, questions, config.seeds, config.heading_weight, config.speaker_weight).select("qid", "id", "rank")
+    follow = lambda ranked: expand_following(ranked.where(F.col("rank") <= config.seeds), items.select("id", "workspace_id", "source_id", "section_id", "sequence"), config.seeds, config.expanded)
+    if embed is None:
+        on_fallback("unconfigured")
+        return follow(plain())
+    alone = lambda: questions.select("qid", F.lit(0).alias("variant"), "text")
+    variants = alone() if expansions is None else attempt("query_expansion", lambda: search_queries(questions, expansions, config.expansions), alone)
+    budget = config.candidate_limit(scorer is not None)
+
+    def search() -> DataFrame:
+        asked = variants.select("qid", "variant", F.concat_ws("/", F.col("qid").cast("string"), F.col("variant").cast("string")).alias("key"), "text")
+        number = asked.groupBy(F.col("qid").alias("_qid")).agg(F.count("*").alias("_n"))
+        searches = [(0, knn(items.select("id", "embedding"), asked.select(F.col("key").alias("qid"), embed(F.col("text")).alias("embedding")), budget, budget))]
+        if not vector_only:
+            searches.append((1, bm25(items, asked.select(F.col("key").alias("qid"), "text"), budget, config.heading_weight, config.speaker_weight)))
+        place = lambda k: F.when(F.col("_n") == 1, 1 - k).otherwise(2 * F.col("variant") + k)
+        lists = [found.select(F.col("qid").alias("key"), "id", "rank").join(asked.select("qid", "variant", "key"), "key").join(number, F.col("qid") == F.col("_qid")).select("qid", place(k).cast("int").alias("list_id"), "rank", "id") for k, found in searches]
+        return fuse(reduce(DataFrame.unionByName, lists), budget if scorer is not None else config.seeds, config.rrf_k).select("qid", "id", F.col("position").alias("rank"))
+
+    ranked = attempt("search", search, plain)
+    if scorer is not None:
+        ranked = attempt("reranking", lambda: rerank(ranked.where(F.col("rank") <= config.rerank_candidates), questions, items, config.rerank_limit, scorer).select("qid", "id", "rank"), lambda: ranked)
+    return follow(ranked)

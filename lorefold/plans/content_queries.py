@@ -30,13 +30,14 @@ NORMALIZE_SQL = (
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents made paragraphs."""
     p = T.paragraphs(F.regexp_replace("text", "\n", "\n\n"))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(p).alias("pos", "paragraph")).select("doc_id", F.col("pos").cast("long").alias("pos"), "paragraph", T.is_heading(F.col("paragraph")).alias("heading"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(p).alias("pos", "paragraph")).select("doc_id", F.col("pos").cast("long").alias("pos"), "paragraph", T.is_heading(F.col("paragraph")).alias("heading"), T.heading_level(F.col("paragraph")).cast("int").alias("level"))
 
 
 PARAGRAPHS_SQL = rf"""with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')) as ps from documents),
 e as (select doc_id, unnest(ps) as paragraph, unnest(range(len(ps))) as pos from p)
-select doc_id, pos, paragraph, regexp_matches(paragraph, '^[IVXLCDM]+\.?$') or regexp_matches(paragraph, '^#{{1,6}}\s+\S') or regexp_matches(paragraph, '(?i)^(chapter|section|part)\s+[\p{{L}}\p{{N}}]')
-  or regexp_matches(paragraph, '^[IVXLCDM]+\.\s+[\p{{Lu}}\p{{N}}][\p{{Lu}}\p{{N}}\s,''’:;\-]*$') as heading from e"""
+select doc_id, pos, paragraph, regexp_matches(paragraph, '^[IVXLCDM]+\.$') or regexp_matches(paragraph, '^#{{1,6}}\s+[^\r\n]+$') or regexp_matches(paragraph, '(?i)^(chapter|section|part)\s+[\p{{L}}\d]+([.: —-].*)?$')
+  or regexp_matches(paragraph, '^[IVXLCDM]+\. [A-Z][A-Z ’''—-]+$') as heading,
+  case when starts_with(paragraph, '#') then least(6, length(regexp_extract(paragraph, '^(#+)', 1))) when regexp_matches(paragraph, '^[IVXLCDM]+\.$') or regexp_matches(paragraph, '(?i)^section\s+.*$') then 2 else 1 end::int as level from e"""
 
 
 def html_sniff(spark: SparkSession, d: str) -> DataFrame:

@@ -93,7 +93,7 @@ where event_id % 4 < 3 and ts <= timestamp '2024-01-10' order by case when event
 
 
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select("event_id", (F.col("event_id") % 9).alias("attempt_count"), F.when(F.col("event_type") == "click", "IO").when(F.col("event_type") == "view", "TIMEOUT").otherwise(F.col("event_type")).alias("error_code"))
+    e = _events(spark, d).select("event_id", (F.col("event_id") % 9).alias("attempt_count"), F.when(F.col("event_type") == "click", F.array(F.lit("RuntimeException"), F.lit("IOException"))).when(F.col("event_type") == "view", F.array(F.lit("UpstreamServiceException"))).otherwise(F.array(F.lit("IllegalArgumentException"), F.lit("IOException"))).alias("causes"))
     return J.retry_decision(e).select("event_id", "retryable", "delay_s", "outcome")
 
 

@@ -149,7 +149,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     g = F.when(F.col("doc_id") % 3 == 1, "g1").when(F.col("doc_id") % 3 == 2, "g2")
     x = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.lit("w").alias("workspace_id"), F.col("source").alias("source_id"), g.alias("generation"), I.source_generation(F.col("source"), g).alias("source_generation"), "lang",
-        F.element_at(F.create_map(*[F.lit(v) for v in ("en", "documents", "fr", "audio", "de", "images", "es", "videos")]), F.col("lang")).alias("source_type"), F.substring("text", 1, 80).alias("content"),
+        F.element_at(F.create_map(*[F.lit(v) for v in ("en", "documents", "fr", "audio", "de", "images", "es", "videos")]), F.col("lang")).alias("source_type"), F.col("text").alias("content"),
         F.timestamp_seconds(F.col("doc_id") % 7).alias("created_at"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 5).alias("chunk_sequence"),
     )
     return x
@@ -162,7 +162,7 @@ def _manifests(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ITEMS_SQL = """items as (select doc_id as id, source as source_id, case doc_id % 3 when 1 then 'g1' when 2 then 'g2' end as generation, lang, case lang when 'en' then 'documents' when 'fr' then 'audio' when 'de' then 'images' when 'es' then 'videos' end as source_type,
-  substr(text, 1, 80) as content, doc_id % 7 as created, case when doc_id % 5 > 0 then doc_id % 5 end as chunk_sequence from documents),
+  text as content, doc_id % 7 as created, case when doc_id % 5 > 0 then doc_id % 5 end as chunk_sequence from documents),
 manifests as (select source_id, 'g1' as active_generation, case when n % 2 = 0 then n else n + 1 end as expected_items from (select source_id, count(*) as n from items where generation = 'g1' group by source_id) where source_id <= 'src15')"""
 
 
@@ -197,12 +197,14 @@ SCAN_SQL = f"with {_ITEMS_SQL} select id, source_id, chunk_sequence from items o
 
 
 def workspace_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of each source's items in spans of two seconds, as fingerprints of whole texts."""
     x = _items(spark, d).withColumn("workspace_id", F.col("source_id"))
-    return I.workspace_knowledge(x)
+    k = I.workspace_knowledge(x, 2)
+    return k.select("workspace_id", "span", *[F.sha2(F.col(c).cast("binary"), 256).alias(c) for c in I.SOURCE_TYPES.values()])
 
 
-_PART = "string_agg(content, chr(10) || chr(10) order by created, source_id nulls last, chunk_sequence nulls last, id) filter (where source_type = '{0}') as {0}"
-KNOWLEDGE_SQL = f"with {_ITEMS_SQL} select source_id as workspace_id, {', '.join(_PART.format(k) for k in ('documents', 'audio', 'images', 'videos'))} from items where regexp_matches(content, '[^\\s\\p{{Z}}]') group by source_id"
+_PART = "sha256(string_agg(content, chr(10) || chr(10) order by created, source_id nulls last, chunk_sequence nulls last, id) filter (where source_type = '{0}')) as {0}"
+KNOWLEDGE_SQL = f"with {_ITEMS_SQL} select source_id as workspace_id, created // 2 as span, {', '.join(_PART.format(k) for k in ('documents', 'audio', 'images', 'videos'))} from items where regexp_matches(content, '[^\\s\\p{{Z}}]') group by source_id, created // 2"
 
 
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:

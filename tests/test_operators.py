@@ -169,3 +169,87 @@ def test_document_errors_in_their_order(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b binary, t string, x string, locked boolean, failed boolean")
     got = [r.e for r in df.select("i", T.document_error(F.col("b"), F.col("t"), F.col("x"), F.col("locked"), F.col("failed"), 10).alias("e")).orderBy("i").collect()]
     assert got == ["EMPTY_DOCUMENT", "UNSUPPORTED_DOCUMENT_FORMAT", "PASSWORD_PROTECTED_DOCUMENT", "CORRUPT_DOCUMENT", "EXTRACTION_LIMIT_EXCEEDED", "NO_EXTRACTABLE_TEXT", "NO_EXTRACTABLE_TEXT", None]
+
+
+def test_headings_are_conservative(spark):
+    yes = {"IV.": 2, "# One line": 1, "### Three": 3, "Chapter 1": 1, "section two: more": 2, "Part A. the end": 1, "II. THE SECOND": 1, "Part of it all": 1}
+    no = ["MIX", "I", "# a line\nand a second", "Part of it\nand more", "IV. ÉTÉ 2", "#none", "A short line"]
+    rows = spark.createDataFrame([(x,) for x in [*yes, *no]], "t string").select("t", T.is_heading(F.col("t")).alias("h"), T.heading_level(F.col("t")).alias("level")).collect()
+    assert {r.t: r.level for r in rows if r.h} == yes
+
+
+def test_heading_paths_keep_the_marks_and_pop_by_size(spark):
+    texts = ["I. FIRST STORY", "I.", "Text one.", "## A", "## B", "Text two."]
+    got = chunks(spark, [(1, k, "PARAGRAPH", t, None, None, None) for k, t in enumerate(texts)])
+    assert [(c.heading, c.content) for c in got] == [
+        ("I. FIRST STORY", "I. FIRST STORY"), ("I. FIRST STORY > I.", "Text one."), ("I. FIRST STORY > ## A", "I. FIRST STORY > ## A"), ("I. FIRST STORY > ## B", "Text two."),
+    ]
+
+
+def test_deep_pages_are_read():
+    deep = "<div>" * 100_000 + "<p>in <b>it</b></p>" + "</div>" * 100_000
+    assert html_blocks(deep) == ("", ["in it"])
+    assert html_blocks("<main><div><article><p>a</article></div></main><article><p>b</article>")[1] == ["a"]
+
+
+def test_declared_types_decide(spark):
+    rows = spark.createDataFrame([("TEXT/HTML", "x"), ("text/html; charset=utf-8", "<html>"), ("", "<html>"), (None, " <HTML>"), (None, "x")], "c string, b string")
+    assert [r[0] for r in rows.select(T.is_html(F.col("c"), F.col("b"))).collect()] == [True, False, False, True, False]
+
+
+def test_literal_addresses_must_be_public(spark):
+    bad = ["[::1]", "[::]", "[fd00::1]", "[fe80::1]", "[fec0::1]", "[ff02::1]", "[2001:db8::1]", "[::ffff:10.0.0.1]", "10.1.2.3", "a.localhost"]
+    good = ["[2606:4700::1111]", "[::ffff:8.8.8.8]", "8.8.8.8", "example.org"]
+    rows = spark.createDataFrame([(f"http://{h}/x",) for h in [*bad, *good]], "u string").select("u", T.url_error(F.col("u")).alias("e")).collect()
+    assert [r.e is not None for r in rows] == [True] * len(bad) + [False] * len(good)
+
+
+def test_too_many_seeds_and_wrong_vectors_are_errors(spark):
+    items = spark.createDataFrame([("i", "w", "s", "0", 1)], "id string, workspace_id string, source_id string, section_id string, sequence int")
+    with pytest.raises(Exception, match="12 seeds"):
+        R.expand_following(spark.createDataFrame([(1, "i", 13)], "qid long, id string, rank int"), items).collect()
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0])], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="2 dimensions"):
+        R.knn(vectors, spark.createDataFrame([(1, [1.0])], "qid long, embedding array<double>"), 1, 1, 2).collect()
+    with pytest.raises(ValueError):
+        R.knn(vectors, vectors.withColumnRenamed("id", "qid"), 5, 4)
+    got = R.knn(vectors, vectors.withColumnRenamed("id", "qid"), 5).collect()
+    assert sorted((r.qid, r.id, r.score) for r in got) == [(1, 1, 1.0), (3, 3, 1.0)]
+    with pytest.raises(Exception, match="no single vector"):
+        I.embedded(vectors.select("id"), vectors.where("id = 1"), 2).collect()
+
+
+def test_matrices_and_joins_score_alike(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.substring("text", 1, 30).alias("heading"), F.col("source").alias("speaker"))
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("qid"), "text").limit(15).unionByName(spark.createDataFrame([(-1, "src1"), (-2, None), (-3, "!?")], "qid long, text string"))
+    found = lambda: sorted((r.qid, r.rank, r.id, round(r.score, 4)) for r in R.bm25(docs, q, 7, 2.0, 2.0).collect())
+    by_matrix = found()
+    monkeypatch.setattr(R, "MATRIX_TERMS", 0)
+    assert by_matrix == found() and any(r[0] == -1 for r in by_matrix)
+
+
+def test_retrieval_degrades_step_by_step(spark):
+    items = spark.createDataFrame([(f"i{k}", t, None, None, [float(k), 1.0], "w", "s", "0", k) for k, t in enumerate(["red cat", "blue dog", "red dog", "green bird"])], "id string, content string, heading string, speaker string, embedding array<double>, workspace_id string, source_id string, section_id string, sequence int")
+    q = spark.createDataFrame([(1, "red dog"), (2, "bird")], "qid long, text string")
+    more = spark.createDataFrame([(2, 0, "green")], "qid long, pos int, text string")
+    heard = []
+    run = lambda **kw: [(r.qid, r.id) for r in R.retrieve(items, q, on_fallback=heard.append, **kw).orderBy("qid", "position").collect()]
+    plain = run()
+    assert plain[0] == (1, "i2") and (2, "i3") in plain and heard == ["unconfigured"]
+    broken = lambda c: F.raise_error(c)
+    heard.clear()
+    assert run(embed=broken) == plain and heard == ["search"]
+    vector = lambda c: F.when(F.contains(c, F.lit("dog")), F.array(F.lit(1.0), F.lit(1.0))).otherwise(F.array(F.lit(3.0), F.lit(1.0)))
+    heard.clear()
+    whole = run(embed=vector, expansions=more, scorer=R.overlap_score)
+    assert heard == [] and whole[0] == (1, "i2") and {i for k, i in whole if k == 2} == {"i0", "i1", "i2", "i3"}
+    assert run(embed=vector, expansions=more, scorer=lambda a, b: F.raise_error(a)) and heard == ["reranking"]
+    heard.clear()
+    bad = more.withColumn("text", F.raise_error("text"))
+    assert run(embed=vector, expansions=bad) and heard == ["query_expansion"]
+
+
+def test_causes_decide_by_the_first_that_is_known(spark):
+    rows = [(["RuntimeException", "IOException"], 1), (["IllegalArgumentException", "IOException"], 1), (["IOException"], 5), ([], 1), (None, 1)]
+    got = J.retry_decision(spark.createDataFrame(rows, "causes array<string>, attempt_count int")).collect()
+    assert [r.outcome for r in got] == ["RETRY", "DEAD", "DEAD", "DEAD", "DEAD"] and got[0].delay_s == 30
