@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table as read_table
+
 #: The largest table that an operator may broadcast, in bytes, judged by its row count and a bound on its row width.
 BROADCAST_BYTES = 32 << 20
 #: Rows and bytes of texts that a Python task works on at once; one longer text is a piece of its own.
@@ -23,8 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; only Spark opens the path."""
-    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
+    """One of the driver's tables, opened by Spark only; see the library's own reader for tables of few files."""
+    return read_table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
