@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Header fields of a 304 response that must not replace those of the stored response. RFC 9111 section 3.2 and the fields it points to.
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -68,6 +68,7 @@ def resolve_revisits(records: DataFrame, span_records: int = SPAN_RECORDS) -> Da
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     stored = F.when(F.col("warc_type") == "response", F.struct("ts", "record_id", "etag", "modified", _entries(F.col("h")).alias("entries")))
     placed = base.where("url_key is not null and ts is not null").where(full | (F.col("warc_type") == "revisit")).select("url_key", "ts", "record_id", "warc_type", "etag", "modified", stored.alias("stored"), F.when(F.col("warc_type") == "revisit", F.col("h")).alias("update"), span.alias("span"))
+    placed = materialise(placed, "visits")
     inside = Window.partitionBy("url_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     latest = placed.withColumn("here", F.max("stored").over(inside)).where("warc_type = 'revisit'").drop("stored")
     tops = placed.groupBy("url_key", "span").agg(F.max("stored").alias("top"))
