@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ BROADCAST_BYTES = 32 << 20
 PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20
 #: A key is hot if it has more rows than HOT_ROWS and than one part in HOT_PARTS of all, so there are fewer than HOT_PARTS hot keys at any size.
 HOT_ROWS, HOT_PARTS = 1000, 100_000
+#: Bits of the largest sieve, as a power of two.
+SIEVE_BITS = 26
 #: ASCII white space as the contracts write it, for java.util.regex.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,10 +66,10 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         yield b.slice(at)
 
 
-def hot_split(counted: DataFrame, rows: int, n: str = "n") -> tuple[DataFrame, DataFrame]:
-    """Keys with their row counts `n`, as (hot, others). Fewer than HOT_PARTS keys are hot whatever the input, so a broadcast of them has a proven bound;
+def hot_split(counted: DataFrame, rows: int, n: str = "n", parts: int = HOT_PARTS) -> tuple[DataFrame, DataFrame]:
+    """Keys with their row counts `n`, as (hot, others). Fewer than `parts` keys are hot whatever the input, so a broadcast of them has a proven bound;
     none of the others has more rows than a small part of all."""
-    most = max(HOT_ROWS, rows // HOT_PARTS)
+    most = max(HOT_ROWS, rows // parts)
     return counted.where(F.col(n) > most), counted.where(F.col(n) <= most)
 
 
@@ -88,3 +92,28 @@ def seeded_bits(seed: int, *cols: Column, digits: int = 13) -> Column:
     """4 * digits uniform bits (52 by default, so a double holds them) from the md5 of the seed and the columns; nulls count as empty."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+@dataclass
+class Sieve:
+    """A bitmap that says of a 64-bit key whether it may be in a set. It takes 8 MB at most, whatever the set's size: a fuller one lets more pass, and whoever asks must be right with those too."""
+
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> Sieve:
+        """The sieve of a column of longs. Spark sets the bits; the driver gets words of 64 of them, of which there are at most 2^20."""
+        bits = min(SIEVE_BITS, max(12, (16 * keys.count()).bit_length()))
+        slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+        word, bit = F.shiftright(slot, 6).alias("word"), F.expr(f"bit_or(shiftleft(1L, cast(`{column}` & 63 as int)))").alias("bit")
+        got = keys.groupBy(word).agg(bit).toArrow()
+        words = np.zeros(1 << bits - 6, np.uint64)
+        words[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+        return cls(words)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.may_hold(np.array([key], np.int64))[0])
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) & np.uint64(64 * len(self.words) - 1)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
