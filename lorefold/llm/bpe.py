@@ -326,8 +326,8 @@ def encode(docs: DataFrame, path: str, mask: int = MASK, least: int = LEAST, mos
     total = shared.agg(F.sum("n")).first()[0] or 0
     hot = encoded.join(hot_split(shared, total, parts=HOT_CHUNKS)[0].select("a", "b"), ["a", "b"], "left_semi")
     hot = materialise(hot, "hot-chunks")
-    rest = encoded.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti")
-    met = [marks.join(part, ["a", "b"]) for part in (F.broadcast(hot), rest)]
+    cold = marks.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti")
+    met = [marks.join(F.broadcast(hot), ["a", "b"]), cold.join(encoded, ["a", "b"])]
     names = [c for c in docs.columns if c != "ids"]
     fields = docs.select(*names).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
