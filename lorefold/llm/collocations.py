@@ -1,4 +1,4 @@
-"""Phrase collocation mining after Toivonen: a sample proposes phrases, a full pass counts them with their negative border, and border phrases that turn out frequent lead to an expansion pass."""
+"""Phrase collocation mining after Toivonen: a sample proposes phrases, a full pass counts them with their negative border, and border phrases that turn out frequent are expanded until the set is closed."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ HIDES, SCALE = 80, 2_000_000
 SAMPLE, SEED = 8, 13
 #: A-Z to lower case, ends of pieces to newlines, white space between words to a blank.
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n\n\n\n\n\n\n\n\n ")
-#: Rows of one batch of counted phrases.
-_STEP = 1 << 17
+#: Bytes of texts that are counted together, and rows of one batch of counted phrases.
+_PIECE, _STEP = 2 << 20, 1 << 16
 
 
 def chained(words: list[np.ndarray]) -> np.ndarray:
@@ -77,112 +77,105 @@ class Places:
         """Places of phrases of n words whose first and last n - 1 words are at one of `parts`."""
         return self.inside[n] & parts & np.append(parts[1:], False)
 
-    def first(self, proposed: list[Sieve]) -> list[np.ndarray]:
+    def first(self, proposed: Sieve | None, longest: int = WORDS) -> list[np.ndarray]:
         """What the first full pass counts, by length: all words, and phrases whose first and last words (but one) are proposed: the proposed ones and their negative border."""
-        return [self.inside[0], self.inside[1], *(self.longer(n, self.held(n - 1, proposed[n - 1])) for n in range(2, WORDS + 1))]
+        return [self.inside[0], self.inside[1], *(self.longer(n, self.held(n - 1, proposed)) for n in range(2, longest + 1))]
 
-    def second(self, proposed: list[Sieve], frequent: list[Sieve]) -> list[np.ndarray]:
-        """What the expansion pass counts: phrases not counted before whose first and last words (but one) are frequent, or not counted before either and of such parts in turn."""
+    def second(self, proposed: Sieve, frequent: Sieve) -> list[np.ndarray]:
+        """What the second full pass counts: phrases that the first found frequent; and its expansion: phrases not counted before whose first and last words (but one) are frequent, or not counted before either
+        and of such parts in turn."""
         before = self.first(proposed)
-        may = self.held(1, frequent[1])
-        out = [self.inside[0], np.zeros_like(self.inside[1])]
+        may = self.held(1, frequent)
+        out = [self.inside[0], may]
         for n in range(2, WORDS + 1):
-            out.append(self.longer(n, may) & ~before[n])
-            if n < WORDS:
-                may = np.where(before[n], self.held(n, frequent[n]), out[n])
+            may = np.where(before[n], self.held(n, frequent), self.longer(n, may))
+            out.append(may)
         return out
 
     def count(self, n: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct phrases of n words at the given places, as rows of word numbers, and their counts."""
         at = np.flatnonzero(where)
         _, first, inverse, f = np.unique(self.keys[n][at], return_index=True, return_inverse=True, return_counts=True)
-        rows = self.ids[at[:, None] + np.arange(n)]
-        if (rows != rows[first][inverse]).any():  # two phrases of one hash
-            return np.unique(rows, axis=0, return_counts=True)
-        return rows[first], f
+        if any((self.ids[at + k] != self.ids[at[first] + k][inverse]).any() for k in range(n)):  # two phrases of one hash
+            return np.unique(self.ids[at[:, None] + np.arange(n)], axis=0, return_counts=True)
+        return self.ids[at[first][:, None] + np.arange(n)], f
 
 
-def _count(lengths: tuple[int, ...], proposed=None, frequent=None):
-    """(lang, text) rows to (lang, len, phrase, f), a row for each phrase of a piece. Without sieves all phrases of the lengths are counted. The words of a piece and language come as len 0."""
+def _hashed(lengths: tuple[int, ...], proposed=None):
+    """(lang, text) rows to (key, f), a row for each hash of a phrase of a piece, for what Places.first() says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", _PIECE):
+            ids, names = words_of(b.column("text").to_pylist(), b.column("lang").to_pylist())
+            if names:
+                places = Places(ids, word_hashes(names))
+                where = places.first(proposed and proposed.value, max(lengths))
+                for n in lengths:
+                    keys, f = np.unique(places.keys[n][where[n]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(f.astype(np.int64))], names=["key", "f"])
+
+    return run
+
+
+def _spelled(proposed, frequent):
+    """(lang, text) rows to (lang, len, phrase, f), a row for each phrase of a piece, for what Places.second() says. The words of a piece and language come as len 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", _PIECE):
             ids, names = words_of(b.column("text").to_pylist(), b.column("lang").to_pylist())
             if not names:
                 continue
+            total: dict[str, int] = {}
+            for i, k in zip(*(x.tolist() for x in np.unique(ids[ids >= 0], return_counts=True)), strict=True):
+                total[names[i][0]] = total.get(names[i][0], 0) + k
+            yield _batch(list(total), 0, [b""] * len(total), list(total.values()))
             places = Places(ids, word_hashes(names))
-            where = places.second(proposed.value, frequent.value) if frequent else places.first(proposed.value) if proposed else places.inside
-            for n in lengths:
-                rows, f = places.count(n, where[n]) if n else (None, None)
-                if n == 0:
-                    total: dict[str, int] = {}
-                    for i, k in zip(*(x.tolist() for x in np.unique(ids[ids >= 0], return_counts=True)), strict=True):
-                        total[names[i][0]] = total.get(names[i][0], 0) + k
-                    yield _batch(list(total), 0, [b""] * len(total), list(total.values()))
-                    continue
+            where = places.second(proposed.value, frequent.value)
+            texts = [w for _, w in names]
+            for n in range(1, WORDS + 1):
+                rows, f = places.count(n, where[n])
                 for lo in range(0, len(rows), _STEP):
-                    part = rows[lo : lo + _STEP].tolist()
-                    yield _batch([names[r[0]][0] for r in part], n, [b" ".join([names[i][1] for i in r]) for r in part], f[lo : lo + _STEP])
+                    part = rows[lo : lo + _STEP]
+                    columns = [[texts[i] for i in part[:, k].tolist()] for k in range(n)]
+                    phrases = columns[0] if n == 1 else list(map(b" ".join, zip(*columns, strict=True)))
+                    yield _batch([names[i][0] for i in part[:, 0].tolist()], n, phrases, f[lo : lo + _STEP])
 
     return run
 
 
 def _batch(langs, n: int, phrases: list[bytes], f) -> pa.RecordBatch:
-    text = pa.array([p.decode("utf-8", "surrogatepass") for p in phrases], pa.string())
+    text = pa.array(phrases, pa.binary()).cast(pa.string())
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([n] * len(phrases), pa.int32()), text, pa.array(f, pa.int64())], names=["lang", "len", "phrase", "f"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase) rows to the hashes that sieves are asked with."""
-    for b in batches:
-        keys = []
-        for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True):
-            own = word_hashes([(lang, w) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")])
-            keys.append(int(chained([own[k : k + 1] for k in range(len(own))]).view(np.int64)[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
-
-
-def sieves(phrases: DataFrame) -> list[Sieve]:
-    """The sieves of the phrases of 1 to WORDS - 1 words, by length, of 8 MB each at most."""
-    none = Sieve(np.zeros(1, np.uint64))
-    return [none, *(Sieve.of(materialise(phrases.where(F.col("len") == n).select("lang", "phrase").mapInArrow(_keyed, "key long"), "collocations-keys"), "key") for n in range(1, WORDS))]
-
-
-def _counted(docs: DataFrame, lengths: tuple[int, ...], least: int, name: str, *sieved) -> DataFrame:
-    """Phrases found at least `least` times, written; the counts are summed in each task before they are shuffled."""
-    found = docs.mapInArrow(_count(lengths, *sieved), "lang string, len int, phrase string, f long").groupBy("lang", "len", "phrase").agg(F.sum("f").alias("f"))
-    return materialise(found.where((F.col("f") >= least) | (F.col("len") == 0)), name)
+def _keys(docs: DataFrame, lengths: tuple[int, ...], least: int, proposed=None) -> DataFrame:
+    """Hashes of phrases whose phrases together occur at least `least` times, written; counts are summed in each task before they are shuffled."""
+    found = docs.mapInArrow(_hashed(lengths, proposed), "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    return materialise(found.where(F.col("f") >= least).select("key"), "collocations-keys")
 
 
 def frequent_phrases(docs: DataFrame, least: int = FREQUENT, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """(lang, len, phrase, f): all phrases of 1 to WORDS words that occur at least `least` times in their language, counted exactly; and for each language a row of len 0, whose f is the number of its words.
 
     One document in `sample` proposes a set S of phrases. A pass over all documents counts every word, and each phrase whose first and last len - 1 words are in S: S and, as far as it occurs,
-    its negative border. No frequent phrase can be longer than the border allows, unless a border phrase is frequent itself. If one is, an expansion pass counts the phrases not counted yet that can be frequent
-    now: those whose first and last len - 1 words are frequent, or have not been counted either and are of such parts in turn. So that pass closes the set, and a second expansion has nothing to count.
+    its negative border. It counts by 64-bit hashes, which narrow the rows: what isn't frequent by the sum of its hash isn't frequent. The second pass counts again what is left, by the phrases themselves;
+    and where a phrase of the border has turned out frequent, so that longer ones were never counted, it expands: it counts phrases not counted yet whose first and last len - 1 words are frequent,
+    or have not been counted either and are of such parts in turn. No frequent phrase is outside of that, so the expansion closes the set.
 
     Whether a phrase is in S, or frequent, is asked of sieves of bounded size, which may say yes too often, never no too often; then more is counted, and exactly as well.
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", *[F.col(c).alias("_id") for c in ("doc_id",) if c in docs.columns])
     chosen = seeded_bits(seed, *[F.col(c) for c in docs.columns if c == "_id"], F.xxhash64("text")) % sample == 0
     part = materialise(docs.where(chosen).select("lang", "text"), "collocations-sample")
-    docs = docs.select("lang", "text")
-    spark = docs.sparkSession
-    enough = max(1, least // (2 * sample))
-    tries = [_counted(part, (1,), enough, "collocations-tried")]
+    docs, send = docs.select("lang", "text"), docs.sparkSession.sparkContext.broadcast
+    enough = max(1, round(least / (2 * sample)))
+    tried = _keys(part, (1,), enough)
     for n in range(2, WORDS):  # level by level: what can't be frequent in the sample isn't counted there
-        sofar = tries[0]
-        for t in tries[1:]:
-            sofar = sofar.unionByName(t)
-        tries.append(_counted(part, (n,), enough, "collocations-tried", spark.sparkContext.broadcast(sieves(sofar))))
-    for t in tries[1:]:
-        tries[0] = tries[0].unionByName(t)
-    proposed = spark.sparkContext.broadcast(sieves(tries[0]))
-    found = _counted(docs, tuple(range(WORDS + 1)), least, "collocations-first", proposed)
-    failed = found.where(F.col("len").between(1, WORDS - 1)).join(tries[0].select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-    if failed.isEmpty():
-        return found
-    return found.unionByName(_counted(docs, tuple(range(2, WORDS + 1)), least, "collocations-second", proposed, spark.sparkContext.broadcast(sieves(found))))
+        tried = tried.unionByName(_keys(part, (n,), enough, send(Sieve.of(tried, "key"))))
+    proposed = send(Sieve.of(tried, "key"))
+    frequent = send(Sieve.of(_keys(docs, tuple(range(1, WORDS + 1)), least, proposed), "key"))
+    found = docs.mapInArrow(_spelled(proposed, frequent), "lang string, len int, phrase string, f long").groupBy("lang", "len", "phrase").agg(F.sum("f").alias("f"))
+    return materialise(found.where((F.col("f") >= least) | (F.col("len") == 0)), "collocations-found")
 
 
 def _part(start: str, length: str) -> str:

@@ -51,15 +51,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most PIECE_ROWS rows and about PIECE_BYTES bytes of the column `text`."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most PIECE_ROWS rows and about `most` bytes of the column `text`."""
     for b in batches:
         if not b.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         at = total = 0
         for i, n in enumerate(size.tolist()):
-            if i > at and (i - at >= PIECE_ROWS or total + n > PIECE_BYTES):
+            if i > at and (i - at >= PIECE_ROWS or total + n > most):
                 yield b.slice(at, i - at)
                 at, total = i, 0
             total += n
