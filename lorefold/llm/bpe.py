@@ -6,13 +6,16 @@ import bisect
 import hashlib
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,12 @@ MASK, LEAST, MOST = 10, 256, 8192
 BATCH = 1 << 19
 #: Chunks with more than one part in HOT_CHUNKS of all occurrences are hot, so fewer than that; they have 2 * MOST bytes of ids at most, 32 MB in all.
 HOT_CHUNKS = 2000
+#: Words that a worker remembers before it starts anew.
+MOST_WORDS = 500_000
+#: The pattern of the files named above, for texts of plain characters: ASCII without odd controls, Latin letters, and common punctuation, about which all regular expression libraries agree. The tokenizer takes all others.
+_LETTERS, _DIGITS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027\u20ac]*+")
+PATTERN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -34,8 +43,36 @@ class Codec:
     tokenizer: object
     width: np.ndarray
     kind: np.dtype
+    added: tuple[str, ...]
+
+    words: dict[str, bytes] = field(default_factory=dict)  # packed ids of words that the pattern finds
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Texts of plain characters without added tokens are cut by the pattern here, and each word is encoded once; the tokenizer takes the others whole."""
+        plain = [PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
+        others = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH):
+                size += len(texts[end])
+                end += 1
+            found = [PATTERN.findall(t) if p else None for t, p in zip(texts[at:end], plain[at:end], strict=True)]
+            if len(self.words) > MOST_WORDS:
+                self.words.clear()
+            new = list({w for f in found if f for w in f}.difference(self.words))
+            self.words.update(zip(new, (self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            out += [next(others) if f is None else np.frombuffer(b"".join(map(self.words.__getitem__, f)), self.kind) for f in found]
+            if sum(map(len, new)) > 2 * BATCH:
+                self.words.clear()
+            at = end
+        return out
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
@@ -72,7 +109,7 @@ def codec(path: str) -> Codec:
         width[i] = len(token)  # a character stands for a byte
     for t in said["added_tokens"]:
         width[t["id"]] = len(t["content"].encode())
-    return Codec(tokenizer, width, np.dtype("<u2" if len(width) <= 1 << 16 else "<u4"))
+    return Codec(tokenizer, width, np.dtype("<u2" if len(width) <= 1 << 16 else "<u4"), tuple(t["content"] for t in said["added_tokens"]))
 
 
 def candidates(data: np.ndarray, mask: int = MASK) -> np.ndarray:
@@ -87,12 +124,11 @@ def candidates(data: np.ndarray, mask: int = MASK) -> np.ndarray:
 
 @dataclass
 class Cut:
-    """Texts in one buffer, their chunks, and the places where no token can cross."""
+    """Texts in one buffer, and their chunks."""
 
     data: bytes
     starts: list[int]  # of texts, and the end of the last
     chunks: list[list[int]]  # of each text: starts, and the end of the last
-    safe: list[int]  # places of the buffer
 
     def keys(self, i: int) -> list[tuple[int, int]]:
         """128 bits of a hash of each chunk of text i, as two longs."""
@@ -103,19 +139,19 @@ class Cut:
         return out
 
 
-def cut(texts: list[str | None], mask: int = MASK, least: int = LEAST, most: int = MOST) -> Cut:
-    """Cut texts into chunks at places that their content decides.
+    def safe(self) -> np.ndarray:
+        """Places that no token crosses: a blank or a newline that follows a visible ASCII character. The usual pattern has no alternative with white space behind anything else, none that
+        looks back, and looks ahead only from white space; added tokens have no white space. So a text's ids are those of its parts, cut at safe places."""
+        data = np.frombuffer(self.data, np.uint8)
+        space = (data == 0x20) | (data == 0x0A)
+        return np.flatnonzero(space[1:] & ((data > 0x20) & (data < 0x7F))[:-1]) + 1
 
-    A place is safe if white space (a blank or a newline) follows a visible ASCII character: the usual pattern has no alternative with white space behind anything else, none that
-    looks back, and looks ahead only from white space; added tokens have no white space. So a text's ids are those of its parts, cut at safe places.
-    """
+
+def cut(texts: list[str | None], mask: int = MASK, least: int = LEAST, most: int = MOST) -> Cut:
+    """Cut texts into chunks at places that their content decides."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"".join(parts)
-    array = np.frombuffer(data, np.uint8)
-    ends = candidates(array, mask).tolist()
-    space = (array == 0x20) | (array == 0x0A)
-    seen = (array > 0x20) & (array < 0x7F)
-    safe = np.flatnonzero(space[1:] & seen[:-1]) + 1
+    ends = candidates(np.frombuffer(data, np.uint8), mask).tolist()
     starts = [0]
     chunks = []
     for p in parts:
@@ -131,7 +167,7 @@ def cut(texts: list[str | None], mask: int = MASK, least: int = LEAST, most: int
             bounds.append(end)
         chunks.append(bounds)
         starts.append(end)
-    return Cut(data, starts, chunks, safe.tolist())
+    return Cut(data, starts, chunks)
 
 
 def joined(c: Cut, codec: Codec, known: list[dict[tuple[int, int], np.ndarray]], keys: list[list[tuple[int, int]]]) -> list[np.ndarray]:
@@ -152,10 +188,11 @@ def joined(c: Cut, codec: Codec, known: list[dict[tuple[int, int], np.ndarray]],
         plans.append(runs)
     own = iter(codec.encode([c.data[a:b].decode("utf-8", "surrogatepass") for runs in plans for a, b, ids in runs if ids is None]))
     todo: list[tuple[int, int]] = []
+    safe = c.safe()
     results: list[list[np.ndarray | int]] = []
     for i, runs in enumerate(plans):
         first, end = c.starts[i], c.starts[i + 1]
-        lo_safe, hi_safe = bisect.bisect_right(c.safe, first), bisect.bisect_left(c.safe, end)
+        lo_safe, hi_safe = np.searchsorted(safe, first, 'right').item(), np.searchsorted(safe, end).item()
         parts: list[np.ndarray | int] = []
         done = first  # up to here the text has its ids
         for n, (a, b, ids) in enumerate(runs):
@@ -164,9 +201,9 @@ def joined(c: Cut, codec: Codec, known: list[dict[tuple[int, int], np.ndarray]],
             if n == 0:
                 lo, at = a, 0
             else:
-                k = bisect.bisect_left(c.safe, a, lo_safe, hi_safe)
+                k = bisect.bisect_left(safe, a, lo_safe, hi_safe)
                 while True:
-                    lo = c.safe[k] if k < hi_safe else end
+                    lo = safe[k].item() if k < hi_safe else end
                     at = 0 if lo == a else int(np.searchsorted(ends, lo)) + 1
                     if lo >= b or lo == a or ends[at - 1] == lo:
                         break
@@ -176,9 +213,9 @@ def joined(c: Cut, codec: Codec, known: list[dict[tuple[int, int], np.ndarray]],
             if b == end:
                 hi, to = b, len(ids)
             else:
-                k = bisect.bisect_right(c.safe, b, lo_safe, hi_safe) - 1
+                k = bisect.bisect_right(safe, b, lo_safe, hi_safe) - 1
                 while True:
-                    hi = c.safe[k] if k >= lo_safe else first
+                    hi = safe[k].item() if k >= lo_safe else first
                     to = int(np.searchsorted(ends, hi)) + 1
                     if hi <= lo or ends[to - 1] == hi:
                         break
@@ -346,9 +383,11 @@ def _decoded(path: str, names: list[str]):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = [x or [] for x in part.column("ids").to_pylist()]
-                digests = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
-                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(codec(path).decode(ids), pa.string())]
+                lists = part.column("ids").fill_null([])
+                flat, ends = lists.flatten().to_numpy().astype("<u4"), np.cumsum([0, *pc.list_value_length(lists).to_pylist()]).tolist()
+                ids = [flat[x:y] for x, y in pairwise(ends)]
+                digests = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(codec(path).decode([x.tolist() for x in ids]), pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=[*names, "n_tokens", "ids_sha256", "decoded"])
 
     return run

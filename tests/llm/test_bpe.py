@@ -41,6 +41,17 @@ def test_joins_agree_with_the_whole(plain):
         assert [g.tolist() for g in got] == [of(plain, t) for t in texts]
 
 
+def test_plain_characters_are_cut_as_the_library_does(plain):
+    """Every character that the pattern is trusted with, beside letters, digits, blanks and marks."""
+    codec = bpe.codec(PATH)
+    mine = [chr(i) for i in range(0x2100) if bpe.PLAIN.fullmatch(chr(i))]
+    assert len(mine) > 500
+    texts = [f"a{c}b {c} 1{c}2 {c}{c} .{c}. '{c} {c}s\n{c}\n  {c}  x  {c}" for c in mine]
+    assert all(bpe.PLAIN.fullmatch(t) for t in texts)
+    assert [x.tolist() for x in codec.encode(texts)] == [of(plain, t) for t in texts]
+    assert [x.tolist() for x in codec.encode(["a" * 200 + " <|endoftext|> b", "日本 <|endoftext|>"])] == [of(plain, "a" * 200 + " <|endoftext|> b"), of(plain, "日本 <|endoftext|>")]
+
+
 def test_cuts_follow_the_content():
     r = random.Random(2)
     shared = "".join(r.choice("abcdefgh ij\n") for _ in range(20_000))
