@@ -246,7 +246,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     out = keyed.select("node", *key).join(classes, key, "left").join(links, "rep", "left").join(part, F.col("rep") == F.col("_node"), "left")
     component = F.when(F.col("node").isNotNull(), F.coalesce("component", "rep", "node"))
-    out = out.select("node", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component"))
+    n_links = F.when(F.col("node").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).otherwise(0)
+    out = out.select("node", n_links.cast("long").alias("n_links"), component.alias("component"))
     if integral:
         back = vectors.schema["vec_id"].dataType
         out = out.select(F.col("node").cast(back).alias("vec_id"), "n_links", F.col("component").cast(back).alias("component_id"))

@@ -581,3 +581,9 @@ def test_toxicity_joins_like_a_held_model(spark, docs, monkeypatch):
     held = scores()
     monkeypatch.setattr(toxicity, "HELD_GRAMS", 0)
     assert scores() == pytest.approx(held, abs=1e-4)
+
+
+def test_embeddings_of_a_null_id_link_with_nothing(spark):
+    rows = [(None, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.99, 0.05], 0), (None, [0.0, 1.0], 0)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False), (None, 0, None, False)]
