@@ -87,8 +87,8 @@ def decode_bytes(body: Column, charset: Column) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    """Non-blank paragraphs of a text, cut at empty lines and trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?:\r\n|[\n\r])[ \t\x0B\f\r\n]*(?:\r\n|[\n\r])"), java_trim), lambda p: ~is_blank(p))
+    """Non-blank paragraphs of a text, trimmed. They are cut where two line ends of any kind have at most white space between them."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\R\s*\R"), java_trim), lambda p: ~is_blank(p))
 
 
 def is_heading(c: Column) -> Column:

@@ -68,8 +68,10 @@ def completeness(items: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows replace old ones of their key."""
-    return existing.join(new.select(key), key, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
+    """New rows replace old ones of their key. Of new rows that share a key one stays, the greatest by all its columns; rows without a key are kept as they are."""
+    fresh = new.select(*existing.columns)
+    once = fresh.groupBy(key).agg(F.max(F.struct(*fresh.columns)).alias("row")).where(F.col(key).isNotNull()).select("row.*")
+    return existing.join(new.select(key), key, "left_anti").select(*existing.columns).unionByName(once).unionByName(fresh.where(F.col(key).isNull()))
 
 
 def replace_source(existing: DataFrame, new: DataFrame, workspace: str, source: str) -> DataFrame:

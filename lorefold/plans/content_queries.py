@@ -27,15 +27,27 @@ NORMALIZE_SQL = (
 )
 
 
-def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents made paragraphs."""
-    p = T.paragraphs(F.regexp_replace("text", "\n", "\n\n"))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(p).alias("pos", "paragraph")).select("doc_id", F.col("pos").cast("long").alias("pos"), "paragraph", T.is_heading(F.col("paragraph")).alias("heading"), T.heading_level(F.col("paragraph")).cast("int").alias("level"))
+#: Line ends that the texts of `paragraphs` get in place of newlines, by doc_id: all kinds that a paragraph may be cut at.
+_LINE_ENDS = ("\n", "\r\n", "\r", "\u0085", "\u2028", "\u2029", "\x0b", "\x0c")
 
 
-PARAGRAPHS_SQL = rf"""with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')) as ps from documents),
-e as (select doc_id, unnest(ps) as paragraph, unnest(range(len(ps))) as pos from p)
-select doc_id, pos, paragraph, regexp_matches(paragraph, '^[IVXLCDM]+\.$') or regexp_matches(paragraph, '^#{{1,6}}\s+[^\r\n]+$') or regexp_matches(paragraph, '(?i)^(chapter|section|part)\s+[\p{{L}}\d]+([.: —-].*)?$')
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of the documents as they are, and of each once more with its newlines made another kind of line end, doubled around a blank at every other of them."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ends = F.element_at(F.array(*[F.lit(e) for e in _LINE_ENDS]), (F.col("doc_id") % len(_LINE_ENDS) + 1).cast("int"))
+    other = F.replace(F.replace(F.col("text"), F.lit("\n"), ends), F.concat(ends, F.lit("- ")), F.concat(ends, F.lit(" \t "), ends))
+    both = docs.select("doc_id", F.lit(0).alias("form"), "text").unionByName(docs.select("doc_id", F.lit(1).alias("form"), F.replace(other, F.lit(". "), F.concat(F.lit("."), ends, F.lit(" "), ends)).alias("text")))
+    rows = both.select("doc_id", "form", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph"))
+    return rows.select("doc_id", "form", F.col("pos").cast("long").alias("pos"), "paragraph", T.is_heading(F.col("paragraph")).alias("heading"), T.heading_level(F.col("paragraph")).cast("int").alias("level"))
+
+
+_SQL_ENDS = "[" + ", ".join(" || ".join(f"chr({ord(c)})" for c in e) for e in _LINE_ENDS) + "]"
+_ANY_END = r"(?:\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}])"
+PARAGRAPHS_SQL = rf"""with ended as (select doc_id, text, {_SQL_ENDS}[doc_id % {len(_LINE_ENDS)} + 1] as e from documents),
+forms as (select doc_id, 0 as form, text from ended union all select doc_id, 1, replace(replace(replace(text, chr(10), e), e || '- ', e || ' ' || chr(9) || ' ' || e), '. ', '.' || e || ' ' || e) from ended),
+p as (select doc_id, form, list_filter(list_transform(regexp_split_to_array(text, '{_ANY_END}[ \t\n\x0B\f\r]*{_ANY_END}'), lambda x: {_TRIM.format('x')}), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')) as ps from forms),
+e as (select doc_id, form, unnest(ps) as paragraph, unnest(range(len(ps))) as pos from p)
+select doc_id, form, pos, paragraph, regexp_matches(paragraph, '^[IVXLCDM]+\.$') or regexp_matches(paragraph, '^#{{1,6}}\s+[^\r\n]+$') or regexp_matches(paragraph, '(?i)^(chapter|section|part)\s+[\p{{L}}\d]+([.: —-].*)?$')
   or regexp_matches(paragraph, '^[IVXLCDM]+\. [A-Z][A-Z ’''—-]+$') as heading,
   case when starts_with(paragraph, '#') then least(6, length(regexp_extract(paragraph, '^(#+)', 1))) when regexp_matches(paragraph, '^[IVXLCDM]+\.$') or regexp_matches(paragraph, '(?i)^section\s+.*$') then 2 else 1 end::int as level from e"""
 
