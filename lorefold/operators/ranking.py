@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import written
 
 K1, B = 1.2, 0.75
 #: Terms of all questions, and cells of distinct terms by questions, up to which matrices score them; items that a task scores at once; bytes of query vectors that are sent at once.
@@ -234,7 +235,7 @@ def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int =
     """Exact cosine top list (qid, id, score, rank) of items (id, embedding) for queries (qid, embedding).
 
     Queries are a stated set that every item is compared with once, in blocks of at most QUERY_BYTES that are sent to the tasks; a task multiplies matrices and hands on
-    only its best items for each query. Filter items first, so the limit counts visible ones. Null and zero vectors have no place. With dim, a query
+    only its best items for each query. Where there are several blocks, each is run, its lists are written to the shared folder and its queries are released before the next, so the driver holds one. Filter items first, so the limit counts visible ones. Null and zero vectors have no place. With dim, a query
     vector of another length is an error; an item's is left out. limit must not exceed candidates.
     """
     if not 1 <= limit <= candidates:
@@ -252,7 +253,11 @@ def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int =
                 continue
             matrix = context.broadcast(np.stack(some.column("q").to_numpy(zero_copy_only=False)))
             ids = np.array(some.column("qid").to_pylist())
-            parts.append(x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {kind['qid']}, id {kind['id']}, score double"))
+            best = x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {kind['qid']}, id {kind['id']}, score double")
+            if blocks > 1:
+                best = written(top_k(best, limit, "qid", [F.desc("score"), F.asc("id")]).drop("rank"), "knn")
+                matrix.destroy()
+            parts.append(best)
     if not parts:
         return x.limit(0).select(F.lit(None).cast(kind["qid"]).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     return top_k(reduce(DataFrame.unionByName, parts), limit, "qid", [F.desc("score"), F.asc("id")])
