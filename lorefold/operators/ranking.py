@@ -19,6 +19,8 @@ from ..sources.shared import written
 K1, B = 1.2, 0.75
 #: Terms of all questions, and cells of distinct terms by questions, up to which matrices score them; items that a task scores at once; bytes of query vectors that are sent at once.
 MATRIX_TERMS, MATRIX_CELLS, ROWS, QUERY_BYTES = 20_000, 4_000_000, 256, 32 << 20
+#: Bytes of a row of a ranked list, as it is sent.
+LIST_BYTES = 128
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,12 @@ def top_k(df: DataFrame, k: int, by: str, order: list[Column], name: str = "rank
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def with_items(ranked: DataFrame, items: DataFrame) -> DataFrame:
+    """A ranked list with the columns of its items. The list is written once and counted; while it is small it goes to the items, whose texts then stay where they are. A larger one leaves the choice to Spark."""
+    ranked = written(ranked, "ranked")
+    return items.join(F.broadcast(ranked) if ranked.count() * LIST_BYTES <= QUERY_BYTES else ranked, "id")
+
+
 def bm25_field(items: DataFrame, terms: DataFrame, field: str) -> DataFrame:
     """(qid, id, score) of one field of items (id, field) for terms (qid, term), with statistics over all items.
 
@@ -304,7 +312,7 @@ def overlap_score(question: Column, passage: Column) -> Column:
 
 def rerank(ranked: DataFrame, questions: DataFrame, items: DataFrame, limit: int = 12, scorer=overlap_score) -> DataFrame:
     """Candidates (qid, id, rank) by the scorer, then by their old rank; a question with one candidate keeps it. `scorer` may be a pandas UDF over (question, passage)."""
-    joined = ranked.select("qid", "id", "rank").join(items.select("id", "content"), "id").join(questions.select("qid", F.col("text").alias("question")), "qid")
+    joined = with_items(ranked.select("qid", "id", "rank"), items.select("id", "content")).join(questions.select("qid", F.col("text").alias("question")), "qid")
     scored = joined.select("qid", "id", F.col("rank").alias("old_rank"), F.round(scorer(F.col("question"), F.col("content")), 6).alias("score"))
     return top_k(scored, limit, "qid", [F.desc("score"), F.asc("old_rank")])
 

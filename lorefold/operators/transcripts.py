@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, java_trim, time_text
+from ..functions.text import is_blank, java_trim, optional, time_text
 
 TRANSCRIPT = "text string, transcript string, segments array<struct<text:string,start:string,end:string,speaker:string,timestamps:struct<from:string,to:string>>>"
 VIDEO = "summary string, segments array<struct<startMs:double,endMs:double,description:string,speaker:string,text:string>>"
@@ -53,6 +53,22 @@ def transcript_chunks(segments: DataFrame) -> DataFrame:
     return segments.where(~is_blank(F.col("text"))).select("source_id", number.alias("sequence"), java_trim(F.col("text")).alias("content"), F.lit("Audio transcript").alias("heading"), F.lit("transcript").alias("section_id"), "start_ms", "end_ms", "speaker")
 
 
+def untimed_chunks(texts: DataFrame) -> DataFrame:
+    """For transcripts without any segment (source_id, text): the whole text as one chunk without times, shaped like transcript_chunks; blank ones give none."""
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("start_ms", "long"), ("end_ms", "long"), ("speaker", "string"))]
+    return texts.where(~is_blank(F.col("text"))).select("source_id", F.lit(1).alias("sequence"), java_trim(F.col("text")).alias("content"), F.lit("Audio transcript").alias("heading"), F.lit("transcript").alias("section_id"), *nothing)
+
+
+def video_text(summary: Column, segments: Column, language: Column | None = None, transcript: Column | None = None) -> Column:
+    """The text that stands for a video: what is seen, the language spoken, and what is said, by segments (start_ms, end_ms, speaker, text) or else as one transcript."""
+    nothing = F.lit(None).cast("string")
+    who = lambda s: F.coalesce(F.concat(optional(s["speaker"]), F.lit(": ")), F.lit(""))
+    lines = F.array_join(F.transform(segments, lambda s: F.concat(F.lit("["), time_text(s["start_ms"]), F.lit(" - "), time_text(s["end_ms"]), F.lit("] "), who(s), java_trim(s["text"]))), "\n")
+    said = F.when(F.size(segments) > 0, lines).otherwise(optional(nothing if transcript is None else transcript))
+    parts = [F.concat(F.lit("Visual summary:\n"), java_trim(summary)), F.concat(F.lit("Spoken language: "), optional(nothing if language is None else language)), F.concat(F.lit("Spoken transcript:\n"), said)]
+    return F.concat_ws("\n\n", *parts)  # leaves nulls out
+
+
 def render_transcript(segments: DataFrame) -> DataFrame:
     """One text for each source: `[from - to] speaker: text` lines in order."""
     who = F.coalesce(F.concat(F.col("speaker"), F.lit(": ")), F.lit(""))

@@ -12,6 +12,9 @@ from ..operators import embedding as E
 from ..operators import index as I
 from ..operators import ranking as R
 from ..operators import transcripts as X
+from ..operators.ingestion import ingest, visible_items
+from ..operators.versions import VersionedTables
+from ..sources.shared import new_path
 from ..sources.tables import table
 
 
@@ -184,12 +187,34 @@ def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("doc_id").alias("page_id"), "sequence", "section_id", "heading", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
+def ingested_items(spark: SparkSession, d: str) -> DataFrame:
+    """Visible items and quarantined sources after one ingestion: conversations as transcripts, documents as descriptions (kinds whose items SQL can tell), pages under a kind that no path takes."""
+    turn = F.struct("turn", F.struct("text", (F.col("turn") * 10).cast("string").alias("start"), (F.col("turn") * 10 + 5).cast("string").alias("end"), F.col("role").alias("speaker")).alias("s"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    named = lambda df, id_, mark, kind, body: df.select(F.lit("w").alias("workspace_id"), F.concat(F.lit(mark), F.col(id_).cast("string")).alias("source_id"), F.lit(kind).alias("kind"), F.lit("file").alias("name"), body.alias("body"))
+    sources = named(talks, "conv_id", "c", "AUDIO", F.to_json(F.struct(F.transform("turns", lambda t: t["s"]).alias("segments"))))
+    sources = sources.unionByName(named(table(spark, d, "documents"), "doc_id", "d", "IMAGE", F.col("text"))).unionByName(named(table(spark, d, "pages"), "page_id", "p", "BOOKMARK", F.col("html")))
+    tables = VersionedTables(spark, new_path(spark, "ingested"))
+    ingest(tables, sources, "g1")
+    items = visible_items(tables).select("source_id", "id", "source_type", F.col("sequence").cast("long").alias("sequence"), "speaker", "start_ms", "content_hash", F.lit(None).cast("string").alias("error_code"))
+    return items.unionByName(tables.read("errors").select("source_id", "error_code"), allowMissingColumns=True)
+
+
+INGESTED_SQL = rf"""with turns as (select conv_id, row_number() over (partition by conv_id order by turn) as sequence, role, turn * 10000 as start_ms, {_TRIM.format('text')} as content from conversations where regexp_matches(text, '[^\s\p{{Z}}]'))
+select 'c' || conv_id as source_id, 'c' || conv_id || ':g1:' || sequence as id, 'audio' as source_type, sequence, role as speaker, start_ms, sha256('Audio transcript' || chr(10) || chr(10) || 'Speaker: ' || role || chr(10) || chr(10) || content) as content_hash, null as error_code from turns
+union all select 'd' || doc_id, 'd' || doc_id || ':g1:0', 'images', null, null, null, sha256({_TRIM.format('text')}), null from documents where regexp_matches(text, '[^\s\p{{Z}}]') and length(text) <= 1000000
+union all select 'd' || doc_id, null, null, null, null, null, null, case when length(text) > 1000000 then 'EXTRACTION_LIMIT_EXCEEDED' else 'EMPTY' end from documents where text is null or not regexp_matches(text, '[^\s\p{{Z}}]') or length(text) > 1000000
+union all select 'p' || page_id, null, null, null, null, null, null, 'UNSUPPORTED_TYPE' from pages"""
+
+
 QUERIES = {
+    "ingested_items": ingested_items,
     "normalize_text": normalize_text, "paragraphs": paragraphs, "html_sniff": html_sniff, "html_main_text": html_main_text, "url_parts": url_parts, "url_safety": url_safety, "youtube_ids": youtube_ids, "media_types": media_types,
     "transcript_chunks": transcript_chunks, "transcript_render": transcript_render, "embedding_input_hash": embedding_input_hash, "vector_normalize": vector_normalize, "mean_pool": mean_pool, "token_windows": token_windows,
     "chunk_simple": chunk_simple, "chunk_documents": chunk_documents, "chunk_pages": chunk_pages,
 }
 SQL = {
+    "ingested_items": INGESTED_SQL,
     "normalize_text": NORMALIZE_SQL, "paragraphs": PARAGRAPHS_SQL, "html_sniff": SNIFF_SQL, "url_parts": URL_PARTS_SQL, "url_safety": URL_SAFETY_SQL, "youtube_ids": YOUTUBE_SQL, "media_types": MEDIA_SQL, "transcript_chunks": TRANSCRIPT_SQL,
     "transcript_render": RENDER_SQL, "embedding_input_hash": INPUT_SQL, "vector_normalize": VECTOR_SQL, "mean_pool": POOL_SQL, "token_windows": WINDOWS_SQL, "chunk_simple": CHUNK_SQL,
 }

@@ -46,7 +46,7 @@ def _lexical(spark: SparkSession, d: str, limit: int = 12, heading: float | None
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     top = _lexical(spark, d)
-    return top.join(_documents(spark, d), "id").select("qid", "id", F.col("rank").cast("long").alias("rank"), "score", T.snippet(F.col("content")).alias("snippet"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+    return R.with_items(top, _documents(spark, d)).select("qid", "id", F.col("rank").cast("long").alias("rank"), "score", T.snippet(F.col("content")).alias("snippet"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
 
 
 _BM25_TOP = f"with {_QT}, {_bm25_sql('text', 'b')}, top as (select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 6) desc, id) as rank from b) where rank <= 12)"
@@ -248,7 +248,7 @@ def _cited(spark: SparkSession, d: str) -> DataFrame:
         none("string").alias("source_url"), F.lit("0").alias("section_id"), F.substring_index("text", "\n", 1).alias("heading"), none("string").alias("speaker"), F.lit("2024-01-01").alias("created_at"), none("long").alias("start_ms"), none("long").alias("end_ms"),
         (F.col("doc_id") % 9).alias("page_number"), none("int").alias("slide_number"), none("string").alias("sheet_name"),
     )
-    return _lexical(spark, d).drop("score").join(docs, "id")
+    return R.with_items(_lexical(spark, d).drop("score"), docs)
 
 
 _KEY = "case when doc_id % 2 = 0 then 'documents:' || source else 'documents:' || source || ':' || lang end"
@@ -280,7 +280,7 @@ CONTEXT_SQL = f"{_BM25_TOP} select qid, string_agg({_LINES}, chr(10) || chr(10)
 def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
     """A question's right passages are the documents that hold its text."""
     top = _lexical(spark, d, 12)
-    held = top.join(_documents(spark, d), "id").join(_questions(spark, d), "qid").withColumn("right", F.contains(F.col("content"), F.col("text")))
+    held = R.with_items(top, _documents(spark, d)).join(_questions(spark, d), "qid").withColumn("right", F.contains(F.col("content"), F.col("text")))
     best = held.groupBy("qid").agg(F.min(F.when(F.col("right"), F.col("rank"))).alias("rank")).withColumn("run", F.lit("bm25"))
     out = J.hits(best)
     return out.select("run", *[F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in (1, 3, 8)], "questions")
