@@ -21,19 +21,20 @@ from pyspark.sql import functions as F
 
 from .common import Sieve, hot_split, materialise, pieces, table
 
-#: A chunk ends where the top MASK bits of the rolling hash of its last 32 bytes are zero, but has LEAST bytes at least and MOST (up to 3 more, for a whole character) at most.
+#: A chunk ends where the top MASK bits of the rolling hash of its last 8 bytes are zero, but has LEAST bytes at least and MOST (up to 3 more, for a whole character) at most.
 MASK, LEAST, MOST = 10, 256, 8192
-#: Bytes of texts that the tokenizer gets at once, as what it makes of them is far larger.
-BATCH = 1 << 19
+#: Bytes of texts that are worked on together, and that the tokenizer gets at once, as what it makes of them is far larger.
+PIECE, BATCH = 2 << 20, 1 << 19
 #: Chunks with more than one part in HOT_CHUNKS of all occurrences are hot, so fewer than that; they have 2 * MOST bytes of ids at most, 32 MB in all.
 HOT_CHUNKS = 2000
 #: Words that a worker remembers before it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 #: The pattern of the files named above, for texts of plain characters: ASCII without odd controls, Latin letters, and common punctuation, about which all regular expression libraries agree. The tokenizer takes all others.
 _LETTERS, _DIGITS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027\u20ac]*+")
 PATTERN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
-_GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
+#: Bytes of the window of the rolling hash, and the odd number that spreads them over 64 bits.
+WINDOW, _ODD = 8, np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -112,14 +113,13 @@ def codec(path: str) -> Codec:
     return Codec(tokenizer, width, np.dtype("<u2" if len(width) <= 1 << 16 else "<u4"), tuple(t["content"] for t in said["added_tokens"]))
 
 
-def candidates(data: np.ndarray, mask: int = MASK) -> np.ndarray:
-    """Places after which the rolling hash of the last 32 bytes has `mask` leading zeros."""
-    h = _GEAR[data]
-    for w in (1, 2, 4, 8, 16):  # the hash of 2w bytes from those of w bytes
-        wider = h.copy()
-        wider[w:] += h[:-w] << np.uint32(w)
-        h = wider
-    return np.flatnonzero(h >> np.uint32(32 - mask) == 0) + 1
+def candidates(data: bytes, mask: int = MASK) -> np.ndarray:
+    """Places after which the hash of the last WINDOW bytes has `mask` leading zeros. The hash rolls over the bytes as WINDOW rows of windows that don't overlap."""
+    found = []
+    for k in range(min(WINDOW, max(0, len(data) - WINDOW + 1))):
+        window = np.frombuffer(data, "<u8", (len(data) - k) // WINDOW, k)
+        found.append(np.flatnonzero(window * _ODD >> np.uint64(64 - mask) == 0) * WINDOW + (k + WINDOW))
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -151,7 +151,7 @@ def cut(texts: list[str | None], mask: int = MASK, least: int = LEAST, most: int
     """Cut texts into chunks at places that their content decides."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"".join(parts)
-    ends = candidates(np.frombuffer(data, np.uint8), mask).tolist()
+    ends = candidates(data, mask).tolist()
     starts = [0]
     chunks = []
     for p in parts:
@@ -240,7 +240,7 @@ def _counts(sizes: dict):
     """Texts to chunk keys with their occurrences, a row for each key of a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             c = cut(b.column("text").to_pylist(), **sizes)
             found = np.array([k for i in range(b.num_rows) for k in c.keys(i)], np.int64).reshape(-1, 2)
             keys, n = np.unique(found, axis=0, return_counts=True)
@@ -253,7 +253,7 @@ def _shared_chunks(sizes: dict, shared):
     """Texts to the chunks that may be shared: key and bytes, once a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             c = cut(b.column("text").to_pylist(), **sizes)
             found: dict[tuple[int, int], bytes] = {}
             for i in range(b.num_rows):
@@ -268,7 +268,7 @@ def _shared_chunks(sizes: dict, shared):
 
 def _encoded_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "chunk"):
+        for b in pieces(batches, "chunk", PIECE):
             ids = codec(path).encode([x.decode("utf-8", "surrogatepass") for x in b.column("chunk").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["a", "b", "ids"])
 
@@ -279,7 +279,7 @@ def _marked(sizes: dict, shared):
     """Texts' keys k1, k2 to the chunks of theirs that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             c = cut(b.column("text").to_pylist(), **sizes)
             found = [(i, *key) for i in range(b.num_rows) for key in {k for k in c.keys(i) if k[0] in shared.value}]
             at = np.array(found, np.int64).reshape(-1, 3)
@@ -293,7 +293,7 @@ def _alone(sizes: dict, shared, path: str, names: list[str], others: bool):
     """Rows without any chunk that may be shared, with their ids; or, if others, the other rows as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             texts = b.column("text").to_pylist()
             c = cut(texts, **sizes)
             mine = pa.array([any(k[0] in shared.value for k in c.keys(i)) == others for i in range(b.num_rows)])
@@ -317,7 +317,7 @@ def _assemble(sizes: dict, path: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, own = None, {}
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             known = []
             rows = []
             key1, key2, is_text = b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("is_text").to_pylist()
