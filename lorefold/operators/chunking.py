@@ -12,26 +12,26 @@ from ..functions.text import heading_level, is_blank, is_heading, java_trim, par
 
 #: A sentence ends at . ? or !, closing quotes included, before white space that no lower-case letter follows.
 _END = regex.compile(r"[.?!]+[\"'”’»)\]]*\s+(?=[^\p{Ll}\s])")
-#: An abbreviation at the end of a piece: the sentence goes on.
-_ABBREVIATION = regex.compile(r"(?:^|[\s(\[])(?:Mr|Mrs|Ms|Dr|Prof|St|\p{Lu})\.$")
+#: Titles and initials (A to Z) at the end of a piece, after which the sentence goes on.
+_ABBREVIATION = regex.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|St|[A-Z])\.$")
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences of a paragraph, trimmed; blank ones are dropped. A piece that ends in a title or an initial takes the next one along."""
+    """Sentences of a paragraph, trimmed; blank ones are dropped. A piece that ends in a title or an initial takes the next one along, with the white space between."""
     out: list[str] = []
     pending = ""
     at = 0
     text = text or ""
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        piece = text[at:end].strip()
+        pending += text[at:end]
         at = end
-        if not piece:
+        piece = pending.strip()
+        if _ABBREVIATION.search(piece):
             continue
-        pending = f"{pending} {piece}" if pending else piece
-        if not _ABBREVIATION.search(pending):
-            out.append(pending)
-            pending = ""
-    return [*out, pending] if pending else out
+        if piece:
+            out.append(piece)
+        pending = ""
+    return [*out, pending.strip()] if pending.strip() else out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -253,3 +253,9 @@ def test_causes_decide_by_the_first_that_is_known(spark):
     rows = [(["RuntimeException", "IOException"], 1), (["IllegalArgumentException", "IOException"], 1), (["IOException"], 5), ([], 1), (None, 1)]
     got = J.retry_decision(spark.createDataFrame(rows, "causes array<string>, attempt_count int")).collect()
     assert [r.outcome for r in got] == ["RETRY", "DEAD", "DEAD", "DEAD", "DEAD"] and got[0].delay_s == 30
+
+
+def test_sentences_after_titles_and_initials():
+    assert K.split_sentences("Dr.\n  Who came. J. R. Smith left. He met É. Zola.") == ["Dr.\n  Who came.", "J. R. Smith left.", "He met É.", "Zola."]
+    assert K.split_sentences("By Jean-J. Rousseau. xJ. Then more.") == ["By Jean-J. Rousseau. xJ.", "Then more."]
+    assert K.split_sentences(" \n ") == []
