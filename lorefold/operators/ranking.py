@@ -110,6 +110,15 @@ class Best:
             yield pa.RecordBatch.from_arrays([pa.array(queries[self.held["query"].to_numpy()].tolist()), pa.array(self.held["id"].tolist()), pa.array(self.held["score"].to_numpy())], names=["qid", "id", "score"])
 
 
+def as_declared(found: DataFrame, kind: dict[str, str]) -> DataFrame:
+    """Lists whose numbers the tasks hold as long, with the ids in their own types."""
+    return found.withColumns({c: F.col(c).cast(kind[c]) for c in ("qid", "id")})
+
+
+def _long(kind: str) -> str:
+    return "bigint" if kind in ("tinyint", "smallint", "int") else kind
+
+
 def _incidence(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the vocabulary's terms in each row of tokens, rows by terms, and the rows' lengths."""
     length = pc.list_value_length(column).to_numpy(zero_copy_only=False)
@@ -183,7 +192,7 @@ def bm25_by_matrix(items: DataFrame, terms: DataFrame, fields: dict[str, float],
                 df[r.term] = r.n
         model.append((f, weight, asked * np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None], total / max(1, n) or 1.0))
     kind = {x.name: x.dataType.simpleString() for x in (*items.schema, *terms.schema)}
-    return text.mapInArrow(_best_scores(spark.sparkContext.broadcast((vocabulary, model, np.array(ids))), limit), f"qid {kind['qid']}, id {kind['id']}, score double")
+    return as_declared(text.mapInArrow(_best_scores(spark.sparkContext.broadcast((vocabulary, model, np.array(ids))), limit), f"qid {_long(kind['qid'])}, id {_long(kind['id'])}, score double"), kind)
 
 
 def bm25(items: DataFrame, questions: DataFrame, limit: int = 12, heading_weight: float | None = None, speaker_weight: float | None = None) -> DataFrame:
@@ -261,7 +270,7 @@ def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int =
                 continue
             matrix = context.broadcast(np.stack(some.column("q").to_numpy(zero_copy_only=False)))
             ids = np.array(some.column("qid").to_pylist())
-            best = x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {kind['qid']}, id {kind['id']}, score double")
+            best = as_declared(x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {_long(kind['qid'])}, id {_long(kind['id'])}, score double"), kind)
             if blocks > 1:
                 best = written(top_k(best, limit, "qid", [F.desc("score"), F.asc("id")]).drop("rank"), "knn")
                 matrix.destroy()
