@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import error_text
 from ..operators.jobs import MOVES, RetryPolicy
 
 LATE = "10 minutes"
@@ -85,13 +86,32 @@ def fold_states(events: DataFrame, first: str = "UPLOADED", late: str = LATE) ->
     return _keyed(events.select("key", "ts", "seq", "event"), late, ["key"], decide, "key string, seq long, status string, moved boolean", "status string")
 
 
-def fold_leases(events: DataFrame, policy: RetryPolicy = RetryPolicy(), late: str = LATE) -> DataFrame:
-    """Lease events (key, ts, seq, event, token) to (key, seq, status, attempts, token, lease_until, conflict): a stale token or a start under a live lease is a conflict."""
+def fold_leases(events: DataFrame, policy: RetryPolicy = RetryPolicy(), late: str = LATE, keep_s: int = 7 * 86_400) -> DataFrame:
+    """Lease events (key, ts, seq, event, token) to (key, seq, status, attempts, token, lease_until, conflict): a stale token or a start under a live lease is a conflict.
+
+    When the watermark passes the end of a lease that nobody has renewed, a row without seq says that the task is SCHEDULED again, its attempts kept, though no event came. A completed task is forgotten
+    keep_s after its last event; a start counts from 1 in either case, so decisions are those of the batch transform.
+    """
+    columns = ["key", "seq", "status", "attempts", "token", "lease_until", "conflict"]
+
+    def wake(state: GroupState, seconds: int) -> None:
+        state.setTimeoutTimestamp(max(seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            status, attempts, _, _ = state.get
+            if status == "RUNNING":
+                state.update(("SCHEDULED", attempts, None, 0))
+                yield pd.DataFrame([(key[0], None, "SCHEDULED", attempts, None, 0, False)], columns=columns).astype({"seq": "Int64"})
+            else:
+                state.remove()
+            return
         b = _sorted(batches)
         status, attempts, token, until = state.get if state.exists else ("SCHEDULED", 0, None, 0)
         out = []
+        if status == "RUNNING" and until * 1000 <= state.getCurrentWatermarkMs():  # new events keep a due timer from firing
+            status, token, until = "SCHEDULED", None, 0
+            out.append((key[0], None, status, attempts, token, until, False))
         for seq, at, event, shown in zip(b["seq"], b["at"], b["event"], b["token"], strict=True):
             live = status == "RUNNING" and until > at
             mine = live and token == shown
@@ -104,7 +124,11 @@ def fold_leases(events: DataFrame, policy: RetryPolicy = RetryPolicy(), late: st
                 status, token, until = "COMPLETED" if event == "complete" else "SCHEDULED", None, 0
             out.append((key[0], seq, status, attempts, token, until, not good))
         state.update((status, attempts, token, until))
-        yield pd.DataFrame(out, columns=["key", "seq", "status", "attempts", "token", "lease_until", "conflict"])
+        if status == "RUNNING":
+            wake(state, until)
+        elif status == "COMPLETED":
+            wake(state, int(b["at"].max()) + keep_s)
+        yield pd.DataFrame(out, columns=columns).astype({"seq": "Int64"})
 
     rows = events.select("key", "ts", "seq", F.unix_timestamp("ts").alias("at"), "event", "token")
     return _keyed(rows, late, ["key"], decide, "key string, seq long, status string, attempts int, token string, lease_until long, conflict boolean", "status string, attempts int, token string, until long")
@@ -143,3 +167,38 @@ def poll(tasks: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: s
     """Hand each micro-batch of due tasks to work(batch, number), every `seconds`, or once over all there is with None."""
     writer = tasks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def poll_isolated(tasks: DataFrame, work: Callable[[dict], object], result: str, path: str, checkpoint: str, seconds: int | None = 30):
+    """Do the work of each due task in Spark's tasks, `seconds` apart or once with None; one that fails becomes a dead letter and doesn't stop the others.
+
+    work(row as a dict) returns a value of the type `result`. Each micro-batch is worked on once and written as one folder of path, which a repeated batch writes anew: read it with outcomes(). How many tasks
+    a batch takes in is the reader's maxFilesPerTrigger. Work that was under way when an executor was lost is done again, so it must bear that.
+    """
+    names = tasks.columns
+
+    def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            values, errors, kinds = [], [], []
+            for row in b.astype(object).where(b.notna(), None).to_dict("records"):
+                try:
+                    values.append(work(row))
+                    errors.append(None)
+                    kinds.append(None)
+                except Exception as e:  # noqa: BLE001  a task's failure is its own, whatever it is
+                    values.append(None)
+                    errors.append(str(e))
+                    kinds.append(type(e).__name__)
+            yield b.assign(**{c: pd.Series(v, index=b.index, dtype=object) for c, v in (("result", values), ("error", errors), ("error_kind", kinds))})
+
+    def once(batch: DataFrame, number: int) -> None:
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema), f"result {result}, error string, error_kind string"])
+        done = batch.mapInPandas(attempt, schema).select(*names, "result", error_text(F.col("error"), F.col("error_kind")).alias("error"), "error_kind", F.col("error_kind").isNotNull().alias("failed"))
+        done.write.mode("overwrite").partitionBy("failed").parquet(f"{path}/batch={number}")
+
+    return poll(tasks, once, checkpoint, seconds)
+
+
+def outcomes(spark: SparkSession, path: str, failed: bool = False) -> DataFrame:
+    """Results of poll_isolated(), or its dead letters with their errors."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").where(F.col("failed") == failed).drop("failed", "batch", *(["result"] if failed else ["error", "error_kind"]))

@@ -1,5 +1,6 @@
 """Streams that are read to their end decide as the batch transforms do."""
 
+import time
 import uuid
 
 import pytest
@@ -83,3 +84,47 @@ def test_poll_hands_over_each_row_once(stream, tmp_path):
     seen = []
     L.poll(stream, lambda batch, _: seen.append(batch.count()), str(tmp_path / "state"), None).awaitTermination()
     assert sum(seen) > 0
+
+
+def lease_stream(spark, path, files):
+    """A file for each list of events (key, time, seq, event, token), read one at a time."""
+    schema = "key string, ts timestamp, seq long, event string, token string"
+    for rows_of in files:
+        x = spark.createDataFrame(rows_of, "key string, at string, seq long, event string, token string").withColumn("ts", F.to_timestamp("at")).drop("at")
+        x.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in order of their seconds
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_leases_expire_without_an_event_and_completed_ones_are_forgotten(spark, tmp_path):
+    day = "2024-01-01 "
+    files = [
+        [("a", day + "00:00:00", 1, "start", "t1"), ("b", day + "00:00:00", 2, "start", "t2"), ("b", day + "00:00:10", 3, "complete", "t2")],
+        [("c", "2024-01-03 00:00:00", 4, "start", "t3")],
+        [("d", "2024-01-03 00:00:00", 7, "start", "t6")],
+        [("a", "2024-01-03 00:00:01", 5, "start", "t4"), ("b", "2024-01-03 00:00:02", 6, "start", "t5")],
+    ]
+    found = L.fold_leases(lease_stream(spark, str(tmp_path / "in"), files), keep_s=3600)
+    q = found.writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("leases").collect()  # the batch of d, which the watermark of c precedes, fires the timers of a and b
+    expired = [(r.key, r.status, r.attempts, r.token, r.conflict) for r in got if r.seq is None]
+    assert expired == [("a", "SCHEDULED", 1, None, False)]
+    assert {r.seq: (r.status, r.attempts, r.conflict) for r in got if r.seq is not None} == {1: ("RUNNING", 1, False), 2: ("RUNNING", 1, False), 3: ("COMPLETED", 1, False), 4: ("RUNNING", 1, False), 5: ("RUNNING", 2, False), 6: ("RUNNING", 1, False), 7: ("RUNNING", 1, False)}
+    assert sum(s["numRowsRemoved"] for p in q.recentProgress for s in p["stateOperators"]) >= 1
+
+
+def test_one_bad_task_is_a_dead_letter(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(50).select(F.col("id").alias("task"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("size")).coalesce(1).write.parquet(path)
+
+    def work(row):
+        if row["task"] == 13:
+            raise KeyError("no such source")
+        return int(row["task"]) * 2 if row["size"] is not None else None
+
+    tasks = spark.readStream.schema("task long, size long").parquet(path)
+    L.poll_isolated(tasks, work, "long", out, str(tmp_path / "state"), None).awaitTermination()
+    done, dead = L.outcomes(spark, out), L.outcomes(spark, out, failed=True)
+    assert done.count() == 49 and done.where("result = task * 2").count() == 41 and done.where("result is null and size is null").count() == 8
+    assert [(r.task, r.error, r.error_kind) for r in dead.collect()] == [(13, "'no such source'", "KeyError")]
