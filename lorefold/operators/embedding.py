@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,6 +65,68 @@ def vector_error(v: Column, dim: int) -> Column:
     return F.when(v.isNull(), "missing").when(F.size(v) != dim, "dimensions").when(odd, "not finite").when(norm == 0, "zero")
 
 
+#: Providers that this Python worker has loaded, by name.
+_LOADED: dict[str, Callable[[list[str]], object]] = {}
+
+
+def _loaded(name: str, load: Callable[[], Callable[[list[str]], object]]) -> Callable[[list[str]], object]:
+    """The worker's own provider; a UDF would take a copy of the module's names along."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def batches(sizes: list[int], budget: int) -> list[list[int]]:
+    """Places of windows in batches of at most `budget` tokens, padding counted: those of like size go together. A window over the budget is a batch of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):
+        if out and (len(out[-1]) + 1) * sizes[i] <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def _pooled(texts: pd.Series, model, prefix: str, limit: int, count: Callable[[str], int], budget: int, dim: int) -> pd.Series:
+    there = texts[texts.notna()]
+    cut = [split_windows(prefix, t, limit, count) for t in there]
+    flat = [w for windows_of in cut for w in windows_of]
+    got = np.zeros((len(flat), dim))
+    for places in batches([count(w) for w in flat], budget):
+        v = np.asarray(model([flat[i] for i in places]), dtype=np.float64)
+        if v.shape != (len(places), dim):
+            raise ValueError(f"the provider gave {v.shape}, not {(len(places), dim)}")
+        got[places] = v
+    if not np.isfinite(got).all() or not got.any(axis=1).all():
+        raise ValueError("the provider gave a zero vector or one that isn't finite")
+    of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+    total = np.zeros((len(cut), dim))
+    np.add.at(total, of, got)
+    several = np.bincount(of, minlength=len(cut))[:, None]
+    norm = np.linalg.norm(total / several, axis=1, keepdims=True)
+    if not norm.all():
+        raise ValueError("windows of a text cancel each other")
+    out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+    out[there.index] = pd.Series(list((total / several / norm).astype("f4")), index=there.index, dtype=object)
+    return out
+
+
+def provided(name: str, load: Callable[[], Callable[[list[str]], object]], dim: int, prefix: str = PASSAGE, limit: int = WINDOW_TOKENS, count: Callable[[str], int] = len, budget: int = 8192):
+    """A column function from texts to unit vectors by a provider that load() makes, once in each Python worker, whatever the number of its tasks.
+
+    A text is cut in windows of `limit` tokens with the prefix, windows go to the provider in batches of at most `budget` tokens, padding counted, and the mean of a text's windows is brought to length 1. Null texts have null vectors.
+    A provider that gives too few vectors, or wrong, zero or non-finite ones, is an error. `name` tells providers apart. It serves as `embed` of ranking.retrieve and of ingestion.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _loaded(name, load)
+        for texts in parts:
+            yield _pooled(texts, model, prefix, limit, count, budget, dim)
+
+    return run
+
+
 def hashed_words(dim: int = 64):
     """A deterministic provider for tests: signed counts of hashed words, of length 1."""
 
