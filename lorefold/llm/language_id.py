@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pieces, seeded_bits, table
+from .common import crc_mod, materialise, pieces, seeded_bits, table
 
-#: Training sample: documents of each language, the longest text in bytes among them, and languages (the first by name) beyond which training is refused.
+#: Training sample: documents of each language, the longest text in bytes among them, and the languages that are learned, those of most documents.
 SAMPLE, SAMPLE_BYTES, LANGUAGES = 150, 32_768, 500
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 220, 96, 0.02, 2
 #: A text goes through the network in windows of CORE bytes, whose labels count, after and before MARGIN bytes of context, whose labels are those of other windows' cores.
@@ -224,12 +224,18 @@ def _predict(net: Labeller):
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Labeller | None:
     """Train on at most `sample` documents (text, lang) of each language, the first by a seeded hash of doc_id among those of at most sample_bytes; null without any.
 
-    More than `languages` languages are an error. So the driver holds sample * sample_bytes * languages bytes at most, at any size of docs.
+    The `languages` languages of most such documents are learned, ties going to the first by name; documents of others get the learned one that they resemble.
+    So the driver holds sample * sample_bytes * languages bytes at most, at any size of docs. Hashes are ranked first, without texts; then only the chosen texts move.
     """
-    known = docs.where((F.col("lang").isNotNull()) & (F.octet_length("text").between(1, sample_bytes))).select("text", "lang", seeded_bits(SEED, F.col("doc_id")).alias("h"))
-    if known.select("lang").distinct().limit(languages + 1).count() > languages:
-        raise ValueError(f"more than {languages} languages")
-    chosen = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= sample)
+    h, same = seeded_bits(SEED, F.col("doc_id")).alias("h"), F.xxhash64("text").alias("same")
+    known = docs.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, sample_bytes)).select("text", "lang", F.struct(h, same).alias("at"))
+    narrow = materialise(known.select("lang", "at"), "language-ranks")
+    learned = narrow.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    order = Window.partitionBy("lang").orderBy("at")
+    ranked = narrow.join(F.broadcast(learned), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    last = ranked.groupBy("lang").agg(F.max("at").alias("last"))
+    near = known.join(F.broadcast(last), "lang").where("at <= last").select("lang", "text", "at", "at.h")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     rows = sorted(chosen.select("lang", "h", "text").collect())
     samples = [(r["text"].encode("utf-8", "surrogatepass"), r["lang"]) for r in rows]
     return train(samples) if samples else None

@@ -121,11 +121,26 @@ def test_language_of_odd_rows(spark, odd, docs):
     assert all(by[k].lang_pred == "und" and by[k].score == 0 for k in (2, 3, 4))
     assert all(0 <= r.score <= 1 for r in out)
     assert language_id.fit(docs.limit(0)) is None
-    with pytest.raises(ValueError):
-        language_id.fit(docs, 20, languages=1)
     assert {r.lang_pred for r in language_id.identify(odd, None, F.lit(False)).collect()} == {"und"}
 
 
+def test_languages_beyond_those_learned(spark, docs, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda samples: taken.append(samples))
+    rows = [(i, f"text {i}", f"l{i % 600:03}") for i in range(1300)] + [(7, "same", "l000")] * 40
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    language_id.fit(many, 30)
+    language_id.fit(many.repartition(3), 30)
+    assert taken[0] == taken[1] and {lang for _, lang in taken[0]} == {f"l{i:03}" for i in range(500)}
+    assert sum(lang == "l000" for _, lang in taken[0]) == 30 and sum(lang == "l150" for _, lang in taken[0]) == 2
+    language_id.fit(many, 30, languages=1)
+    assert {lang for _, lang in taken[2]} == {"l000"}
+    language_id.fit(docs, 20)
+    want = docs.toPandas().assign(h=[r[0] for r in docs.select(language_id.seeded_bits(language_id.SEED, F.col("doc_id"))).collect()]).dropna(subset=["lang", "text"])
+    want = want[want.text.str.encode("utf-8").str.len().between(1, language_id.SAMPLE_BYTES)].sort_values(["lang", "h", "text"]).groupby("lang").head(20)
+    assert taken[3] == [(t.encode(), lang) for t, lang in zip(want.text, want.lang, strict=True)]
+
+
 # 3. Sharding
 
 
