@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
+from ..operators import blocks as B
 from ..operators import chunking as K
 from ..operators import embedding as E
 from ..operators import index as I
@@ -67,6 +68,27 @@ def html_main_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", m.alias("m")).select("page_id", "m.title", F.size("m.blocks").alias("n_blocks"), F.sha2(F.array_join("m.blocks", "\n\n").cast("binary"), 256).alias("text_sha256"))
 
 
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """All blocks of the pages' markup, navigation too."""
+    found = B.blocks(B.markup_events(table(spark, d, "pages")))
+    return found.select(F.col("doc_id").alias("page_id"), F.col("sequence").cast("long").alias("sequence"), "type", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "error_code")
+
+
+_PLAIN = "replace(replace(replace(replace(replace(replace(t.token, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_ONE_LINE = rf"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(65279), ' '), '{_ANY_END}', chr(10), 'g'), '[\p{{Z}}\t\x0B\f]+', ' ', 'g'), ' *\n *', chr(10), 'g')"
+BLOCKS_SQL = rf"""with recursive t as (select page_id, unnest(tokens) as token, unnest(range(len(tokens))) as seq from (select page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '<[^>]*>|[^<]+') as tokens from pages)),
+b as (select * from (select page_id, seq, lower(regexp_extract(token, '^</?\s*([^\s>/]+)', 1)) as name, starts_with(token, '</') as ends from t where starts_with(token, '<')) where regexp_matches(name, '^(h[1-6]|p|li|tr)$')),
+span as (select s.page_id, s.name, s.seq as a, e.seq as z from (select * from b where not ends) s asof join (select * from b where ends) e on s.page_id = e.page_id and s.name = e.name and s.seq < e.seq),
+nexts as (select x.*, s.seq as following from span x asof left join (select * from b where not ends) s on x.page_id = s.page_id and x.z < s.seq),
+chain as (select n.* from nexts n join (select page_id, min(seq) as a from b where not ends group by page_id) f using (page_id, a) union all select n.* from chain c join nexts n on n.page_id = c.page_id and n.a = c.following),
+parts as (select c.page_id, c.a, c.name, t.seq, case when not starts_with(t.token, '<') then {_PLAIN} when c.name = 'tr' and regexp_matches(t.token, '(?i)^<(td|th)[\s>]') then chr(1) else '' end as part from chain c join t on t.page_id = c.page_id and t.seq between c.a and c.z),
+whole as (select page_id, a, name, replace(regexp_replace(string_agg(part, '' order by seq), chr(1), ''), chr(1), ' | ') as text from parts group by page_id, a, name),
+plain as (select page_id, 0, 'p', string_agg(case when starts_with(token, '<') then '' else {_PLAIN} end, '' order by seq) from t where page_id not in (select page_id from whole where regexp_matches(text, '[^\s\p{{Z}}]')) group by page_id),
+clean as (select page_id, a, name, {_TRIM.format(rf"regexp_replace(regexp_replace({_ONE_LINE}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' *\| *', ' | ', 'g')")} as text from (from whole union all from plain))
+select page_id, row_number() over (partition by page_id order by a) as sequence, case when name like 'h%' then 'HEADING' when name = 'li' then 'LIST_ITEM' when name = 'tr' then 'TABLE_ROW' else 'PARAGRAPH' end as type, sha256(text) as text_sha256, null as error_code
+from clean where regexp_matches(text, '[^\s\p{{Z}}]')"""
+
+
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     part = lambda k: F.regexp_extract("url", r"^([a-z]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k)
     return table(spark, d, "pages").select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"))
@@ -209,12 +231,12 @@ union all select 'p' || page_id, null, null, null, null, null, null, 'UNSUPPORTE
 
 QUERIES = {
     "ingested_items": ingested_items,
-    "normalize_text": normalize_text, "paragraphs": paragraphs, "html_sniff": html_sniff, "html_main_text": html_main_text, "url_parts": url_parts, "url_safety": url_safety, "youtube_ids": youtube_ids, "media_types": media_types,
+    "normalize_text": normalize_text, "paragraphs": paragraphs, "html_sniff": html_sniff, "html_main_text": html_main_text, "page_blocks": page_blocks, "url_parts": url_parts, "url_safety": url_safety, "youtube_ids": youtube_ids, "media_types": media_types,
     "transcript_chunks": transcript_chunks, "transcript_render": transcript_render, "embedding_input_hash": embedding_input_hash, "vector_normalize": vector_normalize, "mean_pool": mean_pool, "token_windows": token_windows,
     "chunk_simple": chunk_simple, "chunk_documents": chunk_documents, "chunk_pages": chunk_pages,
 }
 SQL = {
     "ingested_items": INGESTED_SQL,
-    "normalize_text": NORMALIZE_SQL, "paragraphs": PARAGRAPHS_SQL, "html_sniff": SNIFF_SQL, "url_parts": URL_PARTS_SQL, "url_safety": URL_SAFETY_SQL, "youtube_ids": YOUTUBE_SQL, "media_types": MEDIA_SQL, "transcript_chunks": TRANSCRIPT_SQL,
+    "normalize_text": NORMALIZE_SQL, "paragraphs": PARAGRAPHS_SQL, "html_sniff": SNIFF_SQL, "page_blocks": BLOCKS_SQL, "url_parts": URL_PARTS_SQL, "url_safety": URL_SAFETY_SQL, "youtube_ids": YOUTUBE_SQL, "media_types": MEDIA_SQL, "transcript_chunks": TRANSCRIPT_SQL,
     "transcript_render": RENDER_SQL, "embedding_input_hash": INPUT_SQL, "vector_normalize": VECTOR_SQL, "mean_pool": POOL_SQL, "token_windows": WINDOWS_SQL, "chunk_simple": CHUNK_SQL,
 }
