@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, java_trim, normalise_block
+from ..sources.shared import written
 
 #: What each element becomes, and how many blocks a document may have.
 KINDS = {"h1": "HEADING", "h2": "HEADING", "h3": "HEADING", "h4": "HEADING", "h5": "HEADING", "h6": "HEADING", "p": "PARAGRAPH", "li": "LIST_ITEM", "tr": "TABLE_ROW"}
@@ -71,6 +72,7 @@ def blocks(events: DataFrame, most: int = BLOCKS) -> DataFrame:
     the error EXTRACTION_LIMIT_EXCEEDED, in one row in place of them. (doc_id, seq) is unique; events without a doc_id are left out; other columns play no part.
     """
     events = events.select("doc_id", "seq", "kind", "name", "classes", "title", "text", "spreadsheet").where("doc_id is not null")
+    events = written(events, "events")
     start = F.col("kind") == "start"
     marks = _marks(events.where(F.col("kind").isin("start", "end") & F.col("name").isin(*KINDS)).select("doc_id", "seq", "kind", "name"))
     so_far = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,6 +95,7 @@ def blocks(events: DataFrame, most: int = BLOCKS) -> DataFrame:
     joined = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.when(p["seq"] > F.col("first_cell"), between).otherwise(""))), "")
     kind = F.element_at(F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair]), F.col("name"))
     whole = whole.withColumn("text", normalise_block(joined)).where(~is_blank(F.col("text"))).withColumn("type", kind)
+    whole = written(whole.drop("parts", "first_cell", "name"), "blocks")
 
     heads = whole.where(F.col("spreadsheet") & (F.col("type") == "HEADING") & F.col("page_number").isNull() & F.col("slide_number").isNull()).select("doc_id", F.col("to").alias("seq"), F.col("text").alias("head"))
     titled = rows.select("doc_id", "seq", "kind", "name", "title", "mark").join(heads, ["doc_id", "seq"], "left")
