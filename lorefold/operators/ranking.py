@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +18,10 @@ from ..sources.shared import written
 K1, B = 1.2, 0.75
 #: Terms of all questions, and cells of distinct terms by questions, up to which matrices score them; items that a task scores at once; bytes of query vectors that are sent at once.
 MATRIX_TERMS, MATRIX_CELLS, ROWS, QUERY_BYTES = 20_000, 4_000_000, 256, 32 << 20
-#: Bytes of a row of a ranked list, as it is sent.
-LIST_BYTES = 128
+#: Bytes of a row of a ranked list, as it is sent; scores that a task computes at once, and rows of lists that it merges or hands on at once.
+LIST_BYTES, CELLS, MERGE_ROWS = 128, 1 << 21, 50_000
+#: Digits of scores, and how far apart two scores may be that are the same when rounded, with room.
+DIGITS, ROUNDING = 6, 2e-6
 
 
 @dataclass(frozen=True)
@@ -86,33 +87,59 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 class Best:
-    """The best `limit` scores of each query that a task has seen; equal ones go by the smaller id."""
+    """The best `limit` scores of each query that a task has seen; equal ones go by the smaller id. It holds `limit` rows a query and at most as many again that wait for the next merge, in columns whose types never change."""
 
     def __init__(self, limit: int) -> None:
-        self.limit = limit
-        self.held: pd.DataFrame | None = None
+        self.limit, self.waiting = limit, 0
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         self.least: np.ndarray | None = None
 
-    def add(self, ids: list, scores: np.ndarray) -> None:
-        """Scores of rows (ids) by columns (queries); minus infinity is none."""
+    def add(self, ids: pa.Array, scores: np.ndarray) -> None:
+        """Scores of rows (ids) by columns (queries), not rounded yet; minus infinity is none. The caller bounds their number, see rows_at_once."""
         if self.least is None:
             self.least = np.full(scores.shape[1], -np.inf)
-        row, query = np.nonzero((scores >= self.least) & (scores > -np.inf))
-        new = pd.DataFrame({"query": query, "score": scores[row, query], "id": [ids[i] for i in row]})
-        self.held = new if self.held is None else pd.concat([self.held, new])
-        self.held = self.held.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query", sort=False).head(self.limit)
-        full = self.held.groupby("query")["score"].agg(["size", "min"])
-        full = full[full["size"] == self.limit]
-        self.least[full.index.to_numpy()] = full["min"].to_numpy()
+        least, n = self.least - ROUNDING, len(ids)
+        if n > self.limit and np.count_nonzero(scores >= least) > self.limit * scores.shape[1]:
+            least = np.maximum(least, np.partition(scores, n - self.limit, axis=0)[n - self.limit] - ROUNDING)
+        row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+        score = np.round(scores[row, query], DIGITS)
+        fits = score >= self.least[query]
+        if not fits.any():
+            return
+        self.held.append((ids.take(pa.array(row[fits])), query[fits], score[fits]))
+        self.waiting += int(fits.sum())
+        if self.waiting >= max(MERGE_ROWS, self.limit * len(self.least)):
+            self._merge()
+
+    def _merge(self) -> None:
+        ids = pa.concat_arrays([h[0] for h in self.held])
+        query, score = (np.concatenate([h[k] for h in self.held]) for k in (1, 2))
+        place = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort((place, -score, query))
+        start = np.searchsorted(query[order], np.arange(len(self.least)))
+        order = order[np.arange(len(order)) - start[query[order]] < self.limit]
+        self.held, self.waiting = [(ids.take(pa.array(order)), query[order], score[order])], 0
+        full = np.flatnonzero(np.bincount(query[order], minlength=len(self.least)) == self.limit)
+        self.least[full] = score[order][np.searchsorted(query[order], full, side="right") - 1]
 
     def rows(self, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if self.held is not None and len(self.held):
-            yield pa.RecordBatch.from_arrays([pa.array(queries[self.held["query"].to_numpy()].tolist()), pa.array(self.held["id"].tolist()), pa.array(self.held["score"].to_numpy())], names=["qid", "id", "score"])
+        if not self.held:
+            return
+        self._merge()
+        ids, query, score = self.held[0]
+        for at in range(0, len(ids), MERGE_ROWS):
+            part = slice(at, at + MERGE_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(queries[query[part]].tolist()), ids[part], pa.array(score[part])], names=["qid", "id", "score"])
+
+
+def rows_at_once(queries: int) -> int:
+    """Rows that are scored against so many queries at once, so that their scores have a bounded number of cells."""
+    return max(1, min(ROWS, CELLS // max(1, queries)))
 
 
 def as_declared(found: DataFrame, kind: dict[str, str]) -> DataFrame:
-    """Lists whose numbers the tasks hold as long, with the ids in their own types."""
-    return found.withColumns({c: F.col(c).cast(kind[c]) for c in ("qid", "id")})
+    """Lists whose qids the tasks hold as long, with the ids in their own types."""
+    return found.withColumn("qid", F.col("qid").cast(kind["qid"]))
 
 
 def _long(kind: str) -> str:
@@ -150,16 +177,16 @@ def _count_terms(vocabulary, fields: list[str]):
 def _best_scores(model, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, fields, ids = model.value
-        best = Best(limit)
+        best, step = Best(limit), rows_at_once(len(ids))
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
+            for at in range(0, b.num_rows, step):
                 scores = None
                 for f, weight, weights, average in fields:
-                    tf, dl = _incidence(b.column(f).slice(at, ROWS), terms)
+                    tf, dl = _incidence(b.column(f).slice(at, step), terms)
                     gain = tf / (tf + K1 * (1 - B + B * dl / average)[:, None])
                     mine = gain @ weights * weight
                     scores = mine if scores is None else np.maximum(scores, mine)
-                best.add(b.column("id").slice(at, ROWS).to_pylist(), np.where(scores > 0, np.round(scores, 6), -np.inf))
+                best.add(b.column("id").slice(at, step), np.where(scores > 0, scores, -np.inf))
         yield from best.rows(ids)
 
     return run
@@ -192,7 +219,7 @@ def bm25_by_matrix(items: DataFrame, terms: DataFrame, fields: dict[str, float],
                 df[r.term] = r.n
         model.append((f, weight, asked * np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None], total / max(1, n) or 1.0))
     kind = {x.name: x.dataType.simpleString() for x in (*items.schema, *terms.schema)}
-    return as_declared(text.mapInArrow(_best_scores(spark.sparkContext.broadcast((vocabulary, model, np.array(ids))), limit), f"qid {_long(kind['qid'])}, id {_long(kind['id'])}, score double"), kind)
+    return as_declared(text.mapInArrow(_best_scores(spark.sparkContext.broadcast((vocabulary, model, np.array(ids))), limit), f"qid {_long(kind['qid'])}, id {kind['id']}, score double"), kind)
 
 
 def bm25(items: DataFrame, questions: DataFrame, limit: int = 12, heading_weight: float | None = None, speaker_weight: float | None = None) -> DataFrame:
@@ -239,10 +266,11 @@ def _best_products(matrix, ids: np.ndarray, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = matrix.value
-        best = Best(limit)
+        best, step = Best(limit), rows_at_once(len(ids))
         for b in batches:
-            x = np.stack(b.column("x").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, q.shape[1]))
-            best.add(b.column("id").to_pylist(), np.round(x @ q.T, 6))
+            for at in range(0, b.num_rows, step):
+                x = b.column("x").slice(at, step)
+                best.add(b.column("id").slice(at, step), x.values[x.offsets[0].as_py() : x.offsets[-1].as_py()].to_numpy().reshape(len(x), -1) @ q.T)
         yield from best.rows(ids)
 
     return run
@@ -270,7 +298,7 @@ def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int =
                 continue
             matrix = context.broadcast(np.stack(some.column("q").to_numpy(zero_copy_only=False)))
             ids = np.array(some.column("qid").to_pylist())
-            best = as_declared(x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {_long(kind['qid'])}, id {_long(kind['id'])}, score double"), kind)
+            best = as_declared(x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {_long(kind['qid'])}, id {kind['id']}, score double"), kind)
             if blocks > 1:
                 best = written(top_k(best, limit, "qid", [F.desc("score"), F.asc("id")]).drop("rank"), "knn")
                 matrix.destroy()

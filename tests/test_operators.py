@@ -1,5 +1,7 @@
 """Facts of the chunker, the pages, fusion, visibility, expansion, leases and the sinks, on small inline rows."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +261,28 @@ def test_sentences_after_titles_and_initials():
     assert K.split_sentences("Dr.\n  Who came. J. R. Smith left. He met É. Zola.") == ["Dr.\n  Who came.", "J. R. Smith left.", "He met É.", "Zola."]
     assert K.split_sentences("By Jean-J. Rousseau. xJ. Then more.") == ["By Jean-J. Rousseau. xJ.", "Then more."]
     assert K.split_sentences(" \n ") == []
+
+
+def test_best_keeps_its_types_and_bounds():
+    """Blocks that add nothing don't change the type of ids, whatever their place; lists equal those of sorting all scores."""
+    best = R.Best(2)
+    big = 2**60
+    best.add(pa.array([1, 2]), np.array([[-np.inf], [-np.inf]]))
+    best.add(pa.array([big + 1, big, 3]), np.array([[2.0], [2.0], [1.0]]))
+    best.add(pa.array([4]), np.array([[0.5]]))
+    (rows,) = best.rows(np.array([7]))
+    assert rows.schema.field("id").type == pa.int64() and rows.column("id").to_pylist() == [big, big + 1]
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.random((3000, 40)), 2)
+    best, step = R.Best(12), 97
+    for at in range(0, 3000, step):
+        best.add(pa.array([f"{i:05d}" for i in range(at, min(3000, at + step))]), scores[at : at + step])
+        assert best.waiting < max(R.MERGE_ROWS, 12 * 40)
+    got = pa.Table.from_batches(best.rows(np.arange(40))).to_pylist()
+    for q in range(40):
+        order = np.lexsort((np.arange(3000), -scores[:, q]))[:12]
+        assert [(r["id"], r["score"]) for r in got if r["qid"] == q] == [(f"{i:05d}", scores[i, q]) for i in order]
+
+
+def test_rows_at_once_bound_the_cells():
+    assert all(R.rows_at_once(n) * n <= max(R.CELLS, n) and 1 <= R.rows_at_once(n) <= R.ROWS for n in (0, 1, 200, 60_000, 10**8))
