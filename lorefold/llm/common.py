@@ -21,6 +21,8 @@ BROADCAST_BYTES = 32 << 20
 PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20
 #: A key is hot if it has more rows than HOT_ROWS and than one part in HOT_PARTS of all, so there are fewer than HOT_PARTS hot keys at any size.
 HOT_ROWS, HOT_PARTS = 1000, 100_000
+#: Spark's setting that the shuffles of a finished query go at once, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the largest sieve, as a power of two.
 SIEVE_BITS = 26
 #: ASCII white space as the contracts write it, for java.util.regex.
@@ -44,10 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor takes nothing along."""
+    """Write df to the shared folder and read it back: the lineage ends there, a lost executor takes nothing along, and Spark removes the shuffles of the write once it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorefold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,8 @@ from .components import connected_components
 
 #: Incidence entries (document, shingle) and documents of one block of a family of candidates, on average: two blocks bound the memory of a product.
 BLOCK_ENTRIES, BLOCK_ROWS = 200_000, 800
+#: Signatures that are shuffled at once, while that takes no more than so many passes over them.
+SLICE_SIGNATURES, SLICES = 16_000_000, 16
 #: Columns of the incidence matrix that one dense product takes at a time.
 COLUMNS = 4096
 _U = np.uint64
@@ -228,10 +230,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     seen = materialise(clean.mapInArrow(_incidence(k, num, den), "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>"), "incidence")
     sets = seen.select("doc_id", "n_shingles", "k1", "k2").where("k1 is not null and doc_id is not null")
     first = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # each task adds up a signature's rows before the shuffle, so one that many near copies share arrives as a row a task
+    # each task adds up a signature's rows before the shuffle, so one that many near copies share arrives as a row a task; a slice of the signatures at a time is shuffled
     shared = seen.where("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
-    crowded = shared.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("high > low")
-    crowded = materialise(crowded, "signatures")
+    slices = min(SLICES, max(1, -(-(seen.agg(F.sum(F.size("sigs"))).first()[0] or 0) // SLICE_SIGNATURES)))
+    crowded = shared.limit(0).select("sig", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), F.lit(0).cast("long").alias("n"))
+    for part in range(slices):
+        mine = shared.where(F.pmod("sig", F.lit(slices)) == part) if slices > 1 else shared
+        found = mine.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("high > low")
+        crowded = crowded.unionByName(materialise(found, "signatures"))
     chains = crowded.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     many = crowded.where("n > 2").select("sig", "low")
     chains = chains.unionByName(shared.join(broadcast_if_small(many, many.count(), 48), "sig").where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct()
@@ -255,12 +261,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, one row for each: of rows that repeat a doc_id, the first by text. Rows with a null doc_id stay."""
-    ids = components.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(ids, docs["doc_id"] == ids["_id"])
-    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"), F.xxhash64(*[F.col(c) for c in docs.columns]))
-    spare = kept.where("_rows > 1").drop("_id", "_rows").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
-    return kept.where("_rows = 1").drop("_id", "_rows").unionByName(spare).unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is their component's, one row for each: of rows that repeat a doc_id, the first by text. Rows with a null doc_id stay.
+
+    The components are written once. While the ids that go, or those that stay, are few, they are sent to the tasks, and the texts stay where they are.
+    """
+    components = materialise(components, "components").where("doc_id is not null")
+    stays = F.col("doc_id") == F.col("component_id")
+    gone, left = components.where(~stays).select("doc_id").distinct(), components.where(stays).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    n = components.agg(F.count_if(~stays).alias("gone"), F.count_if(stays).alias("left")).first()
+    if n.gone <= n.left:
+        kept = docs.where("doc_id is not null").join(broadcast_if_small(gone, n.gone, 40), "doc_id", "left_anti")
+    else:
+        kept = docs.join(broadcast_if_small(left.select("doc_id"), n.left, 40), "doc_id", "left_semi")
+    again = materialise(left.where("_rows > 1").select("doc_id"), "repeated")
+    repeated = again.count()
+    if repeated:
+        order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"), F.xxhash64(*[F.col(c) for c in docs.columns]))
+        small = broadcast_if_small(again, repeated, 40)
+        spare = kept.join(small, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
+        kept = kept.join(small, "doc_id", "left_anti").unionByName(spare)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 import math
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorefold.llm import decontamination, embedding_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, queries, sharding, toxicity, warc
+from lorefold.llm.common import materialise
 from lorefold.llm.components import connected_components
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -602,3 +605,38 @@ def test_embeddings_of_a_null_id_link_with_nothing(spark):
     rows = [(None, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.99, 0.05], 0), (None, [0.0, 1.0], 0)]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False), (None, 0, None, False)]
+
+
+def test_join_in_slices_of_signatures(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = sorted(map(tuple, ngram_join.jaccard_components(docs).collect()))
+    monkeypatch.setattr(ngram_join, "SLICE_SIGNATURES", 500)
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == want
+    assert any(c != i for i, _, c in want)
+
+
+def test_no_shuffle_stays_after_a_written_table(spark):
+    """What a written table was shuffled by goes with the write, and the session's setting is as before."""
+    files = lambda: {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before = files()
+    got = materialise(spark.range(10_000).repartition(7, "id").groupBy("id").count(), "test")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and got.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_first_of_near_copies_leaves_texts_where_they_are(spark):
+    """Few ids go, or few stay: both are sent to the tasks, so the texts meet no shuffle."""
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for gone in (3, 90):
+            docs = spark.range(100).selectExpr("id as doc_id", "cast(id as string) as text")
+            links = docs.selectExpr("doc_id", "0L as n_shingles", f"if(doc_id <= {gone}, 0L, doc_id) as component_id")
+            kept = ngram_join.keep_first(docs, links)
+            assert sorted(r.doc_id for r in kept.collect()) == [0, *range(gone + 1, 100)]
+            assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
