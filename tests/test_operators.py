@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lorefold.functions import html
 from lorefold.functions import text as T
 from lorefold.functions.html import html_blocks
 from lorefold.operators import chunking as K
@@ -286,3 +287,15 @@ def test_best_keeps_its_types_and_bounds():
 
 def test_rows_at_once_bound_the_cells():
     assert all(R.rows_at_once(n) * n <= max(R.CELLS, n) and 1 <= R.rows_at_once(n) <= R.ROWS for n in (0, 1, 200, 60_000, 10**8))
+
+
+def test_pages_are_extracted_a_few_at_a_time(spark, monkeypatch):
+    """A batch of any number of pages, with nulls and slices, gives each page's own blocks, and no more than PAGES of them are strings at once."""
+    pages = [None, "", *(f"<title>t{i}</title><main><h1>a{i}</h1><p>b</p></main>" for i in range(2 * html.PAGES))]
+    held = []
+    monkeypatch.setattr(html, "html_blocks", lambda x: held.append(x) or html_blocks(x))
+    got = html.extracted(pa.array(pages).slice(1))
+    assert [(r["title"], r["blocks"]) for r in got.to_pylist()] == [html_blocks(x) for x in pages[1:]] and held == pages[1:]
+    assert len(html.extracted(pa.array([], pa.string()))) == 0
+    rows = spark.createDataFrame([(x,) for x in pages], "html string").select(html.main_text(F.col("html")).alias("m")).collect()
+    assert [(r.m.title, r.m.blocks) for r in rows] == [html_blocks(x) for x in pages]
