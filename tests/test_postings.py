@@ -71,3 +71,31 @@ def test_odd_rows(spark, small_blocks):
 def test_peaks_are_the_unbeaten_postings(spark):
     e = spark.createDataFrame([([(9, 3, 10), (8, 2, 5), (7, 1, 7), (6, 5, 30), (5, 5, 40)],)], "e array<struct<id:int,tf:int,dl:int>>")
     assert [tuple(p) for p in e.select(P.peaks(F.col("e"))).first()[0]] == [(5, 2), (10, 3), (30, 5)]
+
+
+def test_terms_are_counted_in_their_row(spark):
+    x = spark.createDataFrame([("a", "red red Blue"), ("b", ""), ("c", None), ("d", "blue")], "id string, content string")
+    got = P.documents(x, "content")
+    assert sorted((r.id, r.dl, sorted(zip(r.terms, r.tfs, strict=True))) for r in got.collect()) == [("a", 3, [("blue", 1), ("red", 2)]), ("d", 1, [("blue", 1)])]
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_pairs_of_questions_and_postings_are_never_rows(spark, monkeypatch):
+    """Each task hands on a question's best documents only, also where questions come in several blocks."""
+    monkeypatch.setattr(P, "MATRIX_TERMS", 3)
+    x, kept = items(spark), []
+    write = P.written
+    monkeypatch.setattr(P, "written", lambda df, name: kept.append((name, out := write(df, name))) or out)
+    q = spark.createDataFrame([(str(k), w) for k, w in enumerate(("the", "der", "le la", "el la de", "a e i o u"))], "qid string, text string")
+    index = P.PostingsIndex(spark, new_path(spark, "postings")).add(x)
+    assert lists(index.search(q, 3)) == lists(R.bm25(x.withColumn("speaker", F.lit(None).cast("string")), q, 3))
+    near = [df for name, df in kept if name == "near"]
+    assert len(near) > 1 and sum(df.count() for df in near) <= 60
+
+
+def test_blocks_have_the_unbeaten_postings(spark, small_blocks):
+    index = P.PostingsIndex(spark, new_path(spark, "postings")).add(items(spark))
+    entries = F.transform(F.arrays_zip("ids", "tfs", "dls"), lambda e: F.struct(e["ids"].alias("id"), e["tfs"].alias("tf"), e["dls"].alias("dl")))
+    rows = index._read("rows")
+    assert rows.where(F.col("peaks") != P.peaks(entries)).isEmpty() and rows.where("n <> size(ids) or n > 4").isEmpty()
+    assert rows.agg(F.sum("n")).first()[0] == index._read("terms").agg(F.sum(F.size("terms"))).first()[0]
