@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..sources.shared import written
 #: What each element becomes, and how many blocks a document may have.
 KINDS = {"h1": "HEADING", "h2": "HEADING", "h3": "HEADING", "h4": "HEADING", "h5": "HEADING", "h6": "HEADING", "p": "PARAGRAPH", "li": "LIST_ITEM", "tr": "TABLE_ROW"}
 BLOCKS = 10_000
+#: Events, or blocks, that a task sorts; those of a document stay together.
+TASK_ROWS = 200_000
 #: What isn't content, and elements without an end.
 _SKIPPED = r"(?is)<!--.*?-->|<![^>]*>|<(script|style)\b.*?</(script|style)\s*>"
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -51,6 +55,19 @@ def _marks(tags: DataFrame) -> DataFrame:
     return made(tags.asTable().partitionBy("doc_id").orderBy("seq"))
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows dealt by documents to as many tasks as n of them need."""
+    return rows.repartition(max(1, math.ceil(n / TASK_ROWS)), "doc_id")
+
+
+def _beside(rows: DataFrame, n: int, more: DataFrame, at: str, *names: str) -> DataFrame:
+    """rows, dealt by documents, with the columns `names` of `more` where (doc_id, at) agree; both have a row for each at most, and rows without a partner in `rows` go. A join would deal them by both keys, and into a fixed number of tasks."""
+    blank = [F.lit(None).cast(more.schema[c].dataType).alias(c) for c in names]
+    both = _dealt(rows.select("*", *blank, F.lit(True).alias("_here")).unionByName(more.select("doc_id", at, *names), allowMissingColumns=True), n)
+    one = Window.partitionBy("doc_id", at)
+    return both.withColumns({c: F.max(c).over(one) for c in names}).where("_here").drop("_here")
+
+
 def _open(rows: DataFrame, sets: Column, value: Column, name: str) -> DataFrame:
     """rows with `name`: the value of the innermost element around a row whose start `sets` it. An end belongs to the last start of its name that is open at its depth."""
     so_far = lambda *keys: Window.partitionBy("doc_id", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,11 +90,12 @@ def blocks(events: DataFrame, most: int = BLOCKS) -> DataFrame:
     """
     events = events.select("doc_id", "seq", "kind", "name", "classes", "title", "text", "spreadsheet").where("doc_id is not null")
     events = written(events, "events")
+    n = events.count()
     start = F.col("kind") == "start"
     marks = _marks(events.where(F.col("kind").isin("start", "end") & F.col("name").isin(*KINDS)).select("doc_id", "seq", "kind", "name"))
     so_far = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     has = lambda *names: start & F.arrays_overlap(F.split(F.coalesce("classes", F.lit("")), r"\s+"), F.array(*map(F.lit, names)))
-    rows = events.join(marks, ["doc_id", "seq"], "left").withColumn("block", F.count_if(F.col("mark") == 1).over(so_far)).withColumn("inside", F.coalesce(F.sum("mark").over(so_far), F.lit(0)) == 1)
+    rows = _beside(events, n, marks, "seq", "mark").withColumn("block", F.count_if(F.col("mark") == 1).over(so_far)).withColumn("inside", F.coalesce(F.sum("mark").over(so_far), F.lit(0)) == 1)
     is_page = has("page") & ~F.coalesce("spreadsheet", F.lit(False))
     rows = _open(rows.withColumn("_n", F.count_if(is_page).over(so_far)), is_page, F.col("_n"), "page_number")
     rows = _open(rows.withColumn("_slide", has("slide", "slide-content")), F.col("_slide"), F.lit(1), "_in_slide")
@@ -98,12 +116,13 @@ def blocks(events: DataFrame, most: int = BLOCKS) -> DataFrame:
     whole = written(whole.drop("parts", "first_cell", "name"), "blocks")
 
     heads = whole.where(F.col("spreadsheet") & (F.col("type") == "HEADING") & F.col("page_number").isNull() & F.col("slide_number").isNull()).select("doc_id", F.col("to").alias("seq"), F.col("text").alias("head"))
-    titled = rows.select("doc_id", "seq", "kind", "name", "title", "mark").join(heads, ["doc_id", "seq"], "left")
+    tags = _beside(events.where("kind <> 'text'").select("doc_id", "seq", "kind", "name", "title"), n, marks, "seq", "mark")
+    titled = _beside(tags, n, heads, "seq", "head")
     titled = titled.withColumn("_title", F.coalesce("title", F.last("head", ignorenulls=True).over(so_far)))
     sheets = _open(titled, (F.col("name") == "table") & F.col("_title").isNotNull(), F.col("_title"), "sheet_name").where(opened).select("doc_id", F.col("seq").alias("from"), "sheet_name")
 
     by_doc = Window.partitionBy("doc_id")
-    located = whole.join(sheets, ["doc_id", "from"]).withColumn("n", F.count("*").over(by_doc)).withColumn("sequence", F.row_number().over(by_doc.orderBy("block")))
+    located = _beside(whole, whole.count(), sheets.where("sheet_name is not null"), "from", "sheet_name").withColumn("n", F.count("*").over(by_doc)).withColumn("sequence", F.row_number().over(by_doc.orderBy("block")))
     columns = ["doc_id", "sequence", "type", "text", F.col("page_number").cast("int").alias("page_number"), F.col("slide_number").cast("int").alias("slide_number"), "sheet_name"]
     kept = located.where(F.col("n") <= most).select(*columns, F.lit(None).cast("string").alias("error_code"))
     over = located.where((F.col("n") > most) & (F.col("sequence") == 1)).select("doc_id", F.lit("EXTRACTION_LIMIT_EXCEEDED").alias("error_code"))

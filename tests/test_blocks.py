@@ -34,3 +34,13 @@ def test_without_blocks_and_beyond_the_limit(spark):
     assert [r[:4] + r[7:] for r in got if r[1] is not None] == [(0, 1, "PARAGRAPH", "all of it", None), (2, 1, "PARAGRAPH", "1", None), (2, 2, "PARAGRAPH", "2", None)]
     assert [r for r in got if r[1] is None] == [(3, None, None, None, None, None, None, "EXTRACTION_LIMIT_EXCEEDED")]
     assert found(spark) == []
+
+
+def test_a_task_sorts_a_bounded_number_of_events(spark, monkeypatch):
+    """The number of tasks follows the events, whatever the number of shuffle partitions, and a document stays whole."""
+    monkeypatch.setattr(B, "TASK_ROWS", 5)
+    events = B.markup_events(spark.createDataFrame([(i, f"<h1>{i}</h1><p>a<b>b</b></p>") for i in range(9)], "page_id long, html string"))
+    marked = B._beside(events, events.count(), events.where("seq = 1").select("doc_id", "seq", F.lit(7).alias("mark")), "seq", "mark")
+    assert marked.rdd.getNumPartitions() == -(-events.count() // 5) > 8
+    assert sorted((r.doc_id, r.seq) for r in marked.where("mark = 7").collect()) == [(i, 1) for i in range(9)] and marked.count() == events.count()
+    assert [r[:4] for r in found(spark, "<h1>T</h1><p>a</p>", "<p>b</p>")] == [(0, 1, "HEADING", "T"), (0, 2, "PARAGRAPH", "a"), (1, 1, "PARAGRAPH", "b")]
