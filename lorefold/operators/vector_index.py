@@ -9,14 +9,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .ranking import top_k, unit
 
-#: Vectors that centroids are fitted on, cells at most, rounds of fitting, and rows of a part of a cell.
-SAMPLE, MOST_CELLS, ROUNDS, PART_ROWS = 20_000, 4096, 8, 20_000
+#: Vectors that centroids are fitted on, cells at most, rounds of fitting, rows of a part of a cell, and rows of small cells that a search puts in one task.
+SAMPLE, MOST_CELLS, ROUNDS, PART_ROWS, TASK_ROWS = 20_000, 4096, 8, 20_000, 5_000
+#: Queries that are compared with all centroids, or with a run of a cell's rows, at once.
+ASKED = 256
 #: Room for rounding in bounds; steps of a residual code.
 SLACK, STEPS = 1e-6, 255
 #: Scores are rounded as ranking.knn rounds them.
@@ -96,68 +99,77 @@ def build(items: DataFrame, path: str, keep: tuple[str, ...] = (), cells: int |
 
 
 def _probed(about, dim: int, probe: int | None):
-    """Queries (qid, q, floor) to a row for each part of a cell that they look at: the `probe` nearest cells, or all whose vectors may reach the floor."""
+    """Queries (qid, q, floor) to a row for each task that they go to, with the cells that they look at there: the `probe` nearest cells, or all whose vectors may reach the floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = about.value
-        for b in batches:
-            q = _matrix(b.column("q"), dim)
-            near = np.clip(q @ a.centroids.T, -1, 1)
-            if probe is None:
-                most = np.cos(np.maximum(0, np.arccos(near) - a.radius[None, :]))
-                look = most + SLACK + 0.5 * 10.0**-DIGITS >= b.column("floor").to_numpy(zero_copy_only=False)[:, None]
-            else:
-                look = np.zeros(near.shape, bool)
-                np.put_along_axis(look, np.argsort(-near, axis=1, kind="stable")[:, :probe], True, axis=1)
-            i, c = np.nonzero(look)
-            again = np.repeat(np.arange(len(i)), a.parts[c])
-            part = np.concatenate([np.zeros(0, int), *(np.arange(p) for p in a.parts[c])])
-            i, c = pa.array(i[again]), c[again]
-            yield pa.RecordBatch.from_arrays([pa.array(a.cells[c].astype(np.int32)), pa.array(part.astype(np.int32)), b.column("qid").take(i), b.column("q").take(i)], names=["cell", "part", "qid", "q"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ASKED):
+                b = whole.slice(at, ASKED)
+                q = _matrix(b.column("q"), dim)
+                near = np.clip(q @ a.centroids.T, -1, 1)
+                if probe is None:
+                    most = np.cos(np.maximum(0, np.arccos(near) - a.radius[None, :]))
+                    look = most + SLACK + 0.5 * 10.0**-DIGITS >= b.column("floor").to_numpy(zero_copy_only=False)[:, None]
+                else:
+                    look = np.zeros(near.shape, bool)
+                    np.put_along_axis(look, np.argsort(-near, axis=1, kind="stable")[:, :probe], True, axis=1)
+                i, c = np.nonzero(look)
+                if not len(i):
+                    continue
+                again = np.repeat(np.arange(len(i)), a.parts[c])
+                task = a.task[c[again]] + np.concatenate([np.arange(p) for p in a.parts[c]])
+                i, c = i[again], c[again]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 0) | (np.diff(task) != 0)]))
+                cells = pa.ListArray.from_arrays(pa.array([*new, len(c)], pa.int32()), pa.array(a.cells[c].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(task[new].astype(np.int32)), cells, *(b.column(n).take(pa.array(i[new])) for n in ("qid", "q", "floor"))], names=["task", "cells", "qid", "q", "floor"])
 
     return run
 
 
 def _screened(about, dim: int, limit: int):
-    """Rows of queries and of codes, sorted by cell and part with queries first, to (qid, id, cell): each query's rows of a part that may be among its best `limit`."""
+    """Rows of queries and of codes, sorted by task with queries first and codes by cell, to (qid, id, cell): each query's rows of its cells that reach its floor and may be among the best `limit` of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = about.value
         place = {c: k for k, c in enumerate(a.cells.tolist())}
         at = None
-        qids: list = []
-        waiting: list[np.ndarray] = []
-        queries = best = np.zeros((0, dim))
+        waiting: list[pa.RecordBatch] = []
         for b in batches:
-            keys = b.column("cell").to_numpy().astype(np.int64) << 32 | b.column("part").to_numpy()
-            asks = b.column("qid").is_valid().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(keys) != 0) | np.diff(asks)) + 1
+            keys = b.column("task").to_numpy().astype(np.int64) << 32 | b.column("cell").fill_null(-1).to_numpy() + 1
+            edges = np.flatnonzero(np.diff(keys) != 0) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
                 if lo == hi:
                     continue
                 part = b.slice(lo, hi - lo)
-                if keys[lo] != at:
-                    at, qids, waiting = keys[lo], [], []
-                if asks[lo]:
-                    qids += part.column("qid").to_pylist()
-                    waiting.append(_matrix(part.column("q"), dim))
+                task, cell = int(keys[lo] >> 32), int(keys[lo] & 0xFFFFFFFF) - 1
+                if task != at:
+                    at, waiting, asking = task, [], None
+                if cell < 0:
+                    waiting.append(part.select(["cells", "qid", "q", "floor"]))
                     continue
-                if not qids:
+                if waiting:  # all queries of a task come before its first row
+                    qids = pa.chunked_array([w.column("qid") for w in waiting]).combine_chunks()
+                    queries = np.concatenate([_matrix(w.column("q"), dim) for w in waiting])
+                    best = np.repeat(np.concatenate([w.column("floor").to_numpy(zero_copy_only=False) for w in waiting])[:, None], limit, axis=1)
+                    looks = pa.chunked_array([w.column("cells") for w in waiting]).combine_chunks()
+                    of, looked, waiting = np.repeat(np.arange(len(qids)), pc.list_value_length(looks).to_numpy()), looks.flatten().to_numpy(), []
+                    order = np.argsort(looked, kind="stable")
+                    asking = of[order], looked[order]
+                if asking is None:
                     continue
-                if waiting:  # all queries of a part come before its first row
-                    queries, waiting = np.concatenate(waiting), []
-                    best = np.full((len(qids), limit), -np.inf)
-                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(-1, dim)
+                mine = asking[0][np.searchsorted(asking[1], cell) : np.searchsorted(asking[1], cell, side="right")]
+                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(-1, dim).T.astype(np.float64)
                 low, step, lost = (part.column(n).to_numpy() for n in ("low", "step", "lost"))
-                about_score = queries @ a.centroids[place[int(at >> 32)]]
-                for x in range(0, len(qids), 256):
-                    q = queries[x : x + 256]
-                    score = about_score[x : x + 256, None] + q.sum(axis=1)[:, None] * low[None, :] + (q @ codes.T.astype(np.float64)) * step[None, :]
-                    sure = np.concatenate([best[x : x + 256], score - lost[None, :]], axis=1)
-                    best[x : x + 256] = np.partition(sure, sure.shape[1] - limit, axis=1)[:, -limit:]
-                    floor = best[x : x + 256].min(axis=1)
-                    i, j = np.nonzero(score + lost[None, :] + SLACK >= floor[:, None] - 10.0**-DIGITS)
-                    yield pa.RecordBatch.from_arrays([pa.array([qids[x + k] for k in i.tolist()], b.schema.field("qid").type), part.column("id").take(pa.array(j)), pa.array(np.full(len(i), at >> 32, np.int32))], names=["qid", "id", "cell"])
+                for x in range(0, len(mine), ASKED):
+                    who = mine[x : x + ASKED]
+                    q = queries[who]
+                    score = (q @ a.centroids[place[cell]])[:, None] + q.sum(axis=1)[:, None] * low[None, :] + (q @ codes) * step[None, :]
+                    sure = np.concatenate([best[who], score - lost[None, :]], axis=1)
+                    best[who] = np.partition(sure, sure.shape[1] - limit, axis=1)[:, -limit:]
+                    i, j = np.nonzero(score + lost[None, :] + SLACK >= best[who].min(axis=1)[:, None] - 10.0**-DIGITS)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(who[i])), part.column("id").take(pa.array(j)), pa.array(np.full(len(i), cell, np.int32))], names=["qid", "id", "cell"])
 
     return run
 
@@ -170,6 +182,7 @@ class _About:
     radius: np.ndarray
     cells: np.ndarray
     parts: np.ndarray
+    task: np.ndarray
 
 
 @dataclass
@@ -184,22 +197,29 @@ class VectorIndex:
         about = json.loads(self.spark.read.parquet(f"{self.path}/about").first()["about"])
         self.dim = about["dim"]
         parts = -(-np.array(about["rows"]) // PART_ROWS)
-        self._about = self.spark.sparkContext.broadcast(_About(np.array(about["centroids"]).reshape(-1, self.dim), np.array(about["radius"]), np.array(about["cells"]), parts))
+        task, at, held = [], -1, 0
+        for n, p in zip(about["rows"], parts.tolist(), strict=True):
+            if at < 0 or p > 1 or held + n > TASK_ROWS:
+                at, held = at + 1, 0
+            task.append(at)
+            at, held = at + p - 1, n + held if p == 1 else TASK_ROWS
+        self._about = self.spark.sparkContext.broadcast(_About(np.array(about["centroids"]).reshape(-1, self.dim), np.array(about["radius"]), np.array(about["cells"]), parts, np.array(task)))
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
 
     def _top(self, queries: DataFrame, probe: int | None, limit: int, where: Column | str | None) -> DataFrame:
         kind = {f.name: f.dataType.simpleString() for f in (*queries.schema, *self.rows().schema)}
-        asks = queries.mapInArrow(_probed(self._about, self.dim, probe), f"cell int, part int, qid {kind['qid']}, q array<double>")
+        asks = queries.mapInArrow(_probed(self._about, self.dim, probe), f"task int, cells array<int>, qid {kind['qid']}, q array<double>, floor double")
         asks = written(asks, "probes")
-        looked = [r[0] for r in asks.select("cell").distinct().collect()]  # MOST_CELLS at most
+        looked = [r[0] for r in asks.select(F.explode("cells")).distinct().collect()]  # MOST_CELLS at most
         rows = self.rows().where(F.col("cell").isin(looked))
         rows = rows if where is None else rows.where(where)
-        blank = lambda c, t: F.lit(None).cast(t).alias(c)
-        both = asks.select("cell", "part", F.lit(0).alias("side"), "qid", "q", blank("id", kind["id"]), blank("codes", "binary"), *[blank(c, "double") for c in ("low", "step", "lost")])
-        both = both.unionByName(rows.select("cell", "part", F.lit(1).alias("side"), blank("qid", kind["qid"]), blank("q", "array<double>"), "id", "codes", "low", "step", "lost"))
-        dealt = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+        a = self._about.value
+        tasks = self.spark.createDataFrame(list(zip(a.cells.tolist(), a.task.tolist(), strict=True)), "cell int, task int")
+        codes = rows.join(F.broadcast(tasks), "cell").select((F.col("task") + F.col("part")).alias("task"), "cell", "id", "codes", "low", "step", "lost")
+        both = asks.unionByName(codes, allowMissingColumns=True)
+        dealt = both.repartitionById(int((a.task + a.parts).max()), "task").sortWithinPartitions("task", F.asc_nulls_first("cell"))
         left = dealt.mapInArrow(_screened(self._about, self.dim, limit), f"qid {kind['qid']}, id {kind['id']}, cell int")
         exact = left.join(rows.select("cell", "id", "x"), ["cell", "id"]).join(queries.select("qid", "q"), "qid")
         score = F.round(F.aggregate(F.zip_with("x", "q", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v), DIGITS)

@@ -88,3 +88,21 @@ def test_query_blocks_of_exact_search_are_released_one_by_one(spark, items, monk
     want = lists(knn(items, q, 5))
     monkeypatch.setattr("lorefold.operators.ranking.QUERY_BYTES", 10 * DIM * 8)
     assert lists(knn(items, q, 5)) == want
+
+
+def test_a_second_look_hands_on_only_what_reaches_the_first_lists(items, index, monkeypatch):
+    """Queries go to a task once with the cells that they look at, and rows below the last score of a query's first list aren't paired with it."""
+    kept, write = [], V.written
+    monkeypatch.setattr(V, "written", lambda df, name: kept.append((name, out := write(df, name))) or out)
+    q = asked(items)
+    n, cells = q.where("qid < 3000").count(), len(index._about.value.cells)
+    assert lists(index.search(q, 12, probe=cells, exact=True)) == lists(knn(items, q, 12))
+    asks = [df for name, df in kept if name == "probes"]
+    assert all(df.groupBy("qid", "task").count().where("count > 1").isEmpty() for df in asks)
+    assert asks[0].select(F.explode("cells")).count() > asks[0].count() >= n
+    rows = index.rows().join(index.spark.createDataFrame(list(zip(index._about.value.cells.tolist(), index._about.value.task.tolist())), "cell int, task int"), "cell")
+    codes = rows.select((F.col("task") + F.col("part")).alias("task"), "cell", "id", "codes", "low", "step", "lost")
+    dealt = asks[1].unionByName(codes, allowMissingColumns=True).repartition("task").sortWithinPartitions("task", F.asc_nulls_first("cell"))
+    left = dealt.mapInArrow(V._screened(index._about, DIM, 12), "qid long, id long, cell int")
+    reach = knn(items, q, 3000, 3000).join(knn(items, q, 12).where("rank = 12").select("qid", F.col("score").alias("last")), "qid").where("score >= last - 0.01").count()
+    assert 12 * n <= left.count() <= reach
