@@ -14,6 +14,7 @@ from ..sources.shared import written
 from . import index
 from .chunking import chunk_text
 from .embedding import vector_error
+from .ranking import LIST_BYTES, QUERY_BYTES
 from .transcripts import parse_transcript, parse_video, transcript_chunks, transcript_text, untimed_chunks, video_text
 from .versions import Conflict, Version, VersionedTables
 
@@ -63,6 +64,11 @@ def body_error(kind: Column, body: Column) -> Column:
     return F.when(~known, "UNSUPPORTED_TYPE").when(is_blank(body), "EMPTY").when(F.length(body) > MOST_CHARS, "EXTRACTION_LIMIT_EXCEEDED")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table of ids to join with: sent to the tasks while it is small, so that bodies and contents stay where they are."""
+    return F.broadcast(ids) if ids.count() * LIST_BYTES <= QUERY_BYTES else ids
+
+
 def items_and_errors(sources: DataFrame, generation: str, embed: Callable[[Column], Column] | None = None, dim: int = 0) -> tuple[DataFrame, DataFrame]:
     """Split sources (workspace_id, source_id, kind, name, body) by kind, make items of each, and set apart what fails: (items, errors), both written.
 
@@ -72,7 +78,7 @@ def items_and_errors(sources: DataFrame, generation: str, embed: Callable[[Colum
     named = sources.select("workspace_id", "source_id", "kind", "name", "body")
     code = F.when(F.col("source_id").isNull() | F.col("workspace_id").isNull(), "MISSING_ID").otherwise(body_error(F.col("kind"), F.col("body")))
     often = named.groupBy("source_id").agg(F.count("*").alias("n")).where("n > 1 and source_id is not null").select("source_id", F.lit(True).alias("_again"))
-    checked = written(named.join(often, "source_id", "left").withColumn("error_code", F.when(F.col("_again"), "REPEATED_ID").otherwise(code)).drop("_again"), "sources")
+    checked = written(named.join(_sent(written(often, "repeated")), "source_id", "left").withColumn("error_code", F.when(F.col("_again"), "REPEATED_ID").otherwise(code)).drop("_again"), "sources")
     good = checked.where("error_code is null")
     chunks = reduce(DataFrame.unionByName, [path(good.where(F.col("kind") == kind).select("source_id", "body")) for kind, path in PATHS.items()])
     about = good.select("source_id", "workspace_id", F.col("name").alias("source_name"), F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("kind")).alias("source_type"))
@@ -85,7 +91,7 @@ def items_and_errors(sources: DataFrame, generation: str, embed: Callable[[Colum
     bad = items.sparkSession.createDataFrame([], "source_id string")
     if embed is not None:
         bad = written(items.where("_bad is not null").select(F.col("source_id").cast("string")).distinct(), "bad-vectors")
-        items = items.drop("_bad").join(bad, "source_id", "left_anti")
+        items = items.drop("_bad").join(_sent(bad), "source_id", "left_anti")
     none = good.join(items.select("source_id").distinct(), "source_id", "left_anti").join(bad.withColumn("_vector", F.lit(True)), "source_id", "left")
     errors = checked.where("error_code is not null").select("workspace_id", "source_id", "error_code")
     errors = errors.unionByName(none.select("workspace_id", "source_id", F.when(F.col("_vector"), "INVALID_VECTOR").otherwise("NO_TEXT").alias("error_code")))

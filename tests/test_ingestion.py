@@ -75,3 +75,15 @@ def test_a_rival_between_staging_and_publication_is_merged(spark, tables, monkey
     ingestion.ingest(tables, spark.createDataFrame([("w", "c", "IMAGE", "c", "c")], SOURCES), "g3")
     assert {r.content for r in ingestion.visible_items(tables).collect()} == {"a", "b", "c"}
     assert tables.version().number == 3
+
+
+def test_bodies_stay_where_they_are(spark, monkeypatch):
+    """The ids that are there twice go to the sources; a shuffle of the sources would take all bodies along."""
+    from lorefold.operators import ingestion
+
+    plans, write = {}, ingestion.written
+    monkeypatch.setattr(ingestion, "written", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    rows = [("w", "a", "IMAGE", "n", "one"), ("w", "b", "IMAGE", "n", "two"), ("w", "b", "IMAGE", "n", "three")]
+    items, errors = ingestion.items_and_errors(spark.createDataFrame(rows, "workspace_id string, source_id string, kind string, name string, body string"), "g1")
+    assert "rightHint=(strategy=broadcast)" in plans["sources"]
+    assert [r.source_id for r in items.collect()] == ["a"] and [(r.source_id, r.error_code) for r in errors.collect()] == [("b", "REPEATED_ID")] * 2
