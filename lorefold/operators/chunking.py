@@ -14,6 +14,8 @@ from ..functions.text import heading_level, is_blank, is_heading, java_trim, par
 _END = regex.compile(r"[.?!]+[\"'”’»)\]]*\s+(?=[^\p{Ll}\s])")
 #: Titles and initials (A to Z) at the end of a piece, after which the sentence goes on.
 _ABBREVIATION = regex.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|St|[A-Z])\.$")
+#: Heading levels that heading_level() tells apart.
+LEVELS = 6
 
 
 def split_sentences(text: str | None) -> list[str]:
@@ -35,22 +37,12 @@ def split_sentences(text: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def sentences(texts: pd.Series) -> pd.Series:
+def _sentences(texts: pd.Series) -> pd.Series:
     return texts.map(split_sentences)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _heading_paths(headings: pd.Series) -> pd.Series:
-    """The stack of headings after each of a document's (level, text): one of level n leaves at most n - 1 above it."""
-
-    def paths(rows) -> list[str]:
-        out, stack = [], []
-        for h in rows:
-            stack = [*stack[: h["level"] - 1], h["text"]]
-            out.append(" > ".join(stack))
-        return out
-
-    return headings.map(paths)
+#: Held to be non-deterministic, so that filters over its column don't make Spark split the texts again.
+sentences = _sentences.asNondeterministic()
 
 
 def chunk_blocks(blocks: DataFrame, max_sentences: int = 5) -> DataFrame:
@@ -58,38 +50,47 @@ def chunk_blocks(blocks: DataFrame, max_sentences: int = 5) -> DataFrame:
 
     A heading, by type or by look, closes the chunk, opens a section and becomes its heading path; a change of page, slide or sheet closes the chunk only.
     A chunk has max_sentences sentences at most; paragraphs in it stand apart by an empty line. A heading without sentences of its own in its run
-    is a chunk that holds its path. Blank blocks count for nothing. Everything is a window over the blocks of one document.
+    is a chunk that holds its path. Blank blocks count for nothing. The blocks are shuffled once, by document; everything else is running values over their order.
     """
     if max_sentences < 1:
         raise ValueError("max_sentences must be positive")
+    where = ["page_number", "slide_number", "sheet_name"]
+    parts = blocks.where(~is_blank(F.col("text"))).select("doc_id", "sequence", "type", *where, F.posexplode(paragraphs(F.col("text"))).alias("part", "paragraph"))
+    head = F.coalesce((F.col("type") == "HEADING") | is_heading(F.col("paragraph")), F.lit(False))
+    parts = parts.select("doc_id", "sequence", "part", *where, "paragraph", head.alias("head"), sentences("paragraph").alias("sentences"))
+    parts = parts.select("doc_id", "sequence", "part", *where, "head", F.when(F.col("head"), F.col("paragraph")).alias("title"), F.when(F.col("head"), heading_level(F.col("paragraph"))).alias("level"), F.when(~F.col("head"), F.col("sentences")).alias("sentences"))
+    parts = parts.withColumn("n", F.when(F.col("head"), 0).otherwise(F.size("sentences")))
+
     doc = Window.partitionBy("doc_id").orderBy("sequence", "part")
-    parts = blocks.where(~is_blank(F.col("text"))).select("*", F.posexplode(paragraphs(F.col("text"))).alias("part", "paragraph"))
-    head = (F.col("type") == "HEADING") | is_heading(F.col("paragraph"))
-    parts = parts.withColumn("head", F.coalesce(head, F.lit(False)))
-    place = F.struct("page_number", "slide_number", "sheet_name")
-    moved = ~place.eqNullSafe(F.lag(place).over(doc)) & (F.row_number().over(doc) > 1)
-    parts = parts.withColumns({"place": place, "moved": moved})
     so_far = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct(*where)
+    moved = ~place.eqNullSafe(F.lag(place).over(doc)) & (F.row_number().over(doc) > 1)
+    parts = parts.withColumn("opens", F.col("head") | moved)
+    count = lambda c: F.sum(F.col(c).cast("int")).over(so_far)
+    parts = parts.withColumns({"section": count("head"), "run": count("opens"), "before": count("n") - F.col("n")})
+    # A heading of level l stands in the stack at min(l, 1 + the place of the one before), which is its number plus the least of 0 and all l - number so far.
     parts = parts.withColumns({
-        "section": F.sum(F.col("head").cast("int")).over(so_far),
-        "run": F.sum((F.col("head") | F.col("moved")).cast("int")).over(so_far),
+        "depth": F.col("section") + F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("head"), F.col("level") - F.col("section"))).over(so_far), F.lit(0))),
+        "offset": F.col("before") - F.coalesce(F.max(F.when(F.col("opens"), F.col("before"))).over(so_far), F.lit(0)),
     })
-    trail = F.array_sort(F.collect_list(F.struct("section", heading_level(F.col("paragraph")).alias("level"), F.col("paragraph").alias("text"))))
-    paths = parts.where("head").groupBy("doc_id").agg(trail.alias("trail")).select("doc_id", F.posexplode(_heading_paths("trail")).alias("pos", "heading"))
-    parts = parts.join(paths.select("doc_id", (F.col("pos") + 1).cast("long").alias("section"), "heading"), ["doc_id", "section"], "left")
-    where = ["page_number", "slide_number", "sheet_name"]
-    body = parts.where("not head").select("doc_id", "run", "section", "heading", "sequence", "part", *where, F.posexplode(sentences("paragraph")).alias("at", "sentence"))
-    order = Window.partitionBy("doc_id", "run").orderBy("sequence", "part", "at")
-    body = body.withColumn("piece", F.floor((F.row_number().over(order) - 1) / max_sentences).cast("int"))
-    inside = Window.partitionBy("doc_id", "run", "piece").orderBy("sequence", "part", "at")
-    glue = F.when(F.row_number().over(inside) == 1, "").when(F.col("at") == 0, "\n\n").otherwise(" ")
-    body = body.withColumn("text", F.concat(glue, F.col("sentence")))
-    rows = F.array_sort(F.collect_list(F.struct("sequence", "part", "at", "text")))
-    chunks = body.groupBy("doc_id", "run", "piece").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("content"), F.first("section").alias("section"), F.first("heading").alias("heading"), *[F.first(c).alias(c) for c in where])
-    bare = parts.where("head").join(body.select("doc_id", "run").distinct(), ["doc_id", "run"], "left_anti").select("doc_id", "run", F.lit(0).alias("piece"), F.col("heading").alias("content"), "section", "heading", *where)
-    every = chunks.unionByName(bare)
+    levels = [f"title_{k}" for k in range(1, LEVELS + 1)]
+    parts = parts.withColumns({c: F.last(F.when(F.col("depth") == k, F.col("title")), ignorenulls=True).over(so_far) for k, c in enumerate(levels, 1)})
+    path = F.when(F.col("section") > 0, F.concat_ws(" > ", *[F.when(F.col("depth") >= k, F.col(c)) for k, c in enumerate(levels, 1)]))
+
+    # What a part gives to each piece of its run: a heading nothing, but it opens the first.
+    def given(piece: Column) -> Column:
+        start = F.greatest(piece * max_sentences - F.col("offset"), F.lit(0))
+        end = F.least((piece + 1) * max_sentences - F.col("offset"), F.col("n"))
+        return F.struct(piece.alias("piece"), F.array_join(F.slice("sentences", (start + 1).cast("int"), (end - start).cast("int")), " ").alias("text"))
+
+    of = lambda at: F.floor(at / max_sentences)
+    pieces = F.when(F.col("head"), F.array(F.struct(F.lit(0).cast("long").alias("piece"), F.lit(None).cast("string").alias("text")))).when(F.col("n") > 0, F.transform(F.sequence(of(F.col("offset")), of(F.col("offset") + F.col("n") - 1)), given))
+    body = parts.select("doc_id", "run", "section", path.alias("heading"), "sequence", "part", *where, F.explode_outer(pieces).alias("x")).where("x is not null")
+    rows = F.array_sort(F.collect_list(F.when(F.col("x.text").isNotNull(), F.struct("sequence", "part", F.col("x.text").alias("text")))))
+    chunks = body.groupBy("doc_id", "run", F.col("x.piece").alias("piece")).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n\n").alias("content"), *[F.first(c).alias(c) for c in ("section", "heading", *where)])
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "piece"))
-    return every.select("doc_id", number.alias("sequence"), "content", "heading", F.col("section").cast("string").alias("section_id"), *where)
+    content = F.when(F.col("content") == "", F.col("heading")).otherwise(F.col("content"))
+    return chunks.select("doc_id", number.alias("sequence"), content.alias("content"), "heading", F.col("section").cast("string").alias("section_id"), *where)
 
 
 def chunk_text(docs: DataFrame, max_sentences: int = 5) -> DataFrame:

@@ -299,3 +299,49 @@ def test_pages_are_extracted_a_few_at_a_time(spark, monkeypatch):
     assert len(html.extracted(pa.array([], pa.string()))) == 0
     rows = spark.createDataFrame([(x,) for x in pages], "html string").select(html.main_text(F.col("html")).alias("m")).collect()
     assert [(r.m.title, r.m.blocks) for r in rows] == [html_blocks(x) for x in pages]
+
+
+def _plain_chunks(blocks, most):
+    """The chunker's rules on one document's (head, level, text, page) paragraphs, one at a time."""
+    out, stack, section, run, last = [], [], 0, None, None
+    for head, level, text, page in blocks:
+        if run is None or head or page != last:
+            run = {"head": head, "sentences": []}
+            out.append(run)
+        last = page
+        if head:
+            section, stack = section + 1, [*stack[: level - 1], text]
+        run |= {"section": str(section), "path": " > ".join(stack) if stack else None, "page": page}
+        for k, s in enumerate([] if head else K.split_sentences(text)):
+            run["sentences"].append((k, s))
+    rows = []
+    for r in out:
+        cut = [r["sentences"][at : at + most] for at in range(0, len(r["sentences"]), most)]
+        texts = ["".join(("" if i == 0 else "\n\n" if k == 0 else " ") + s for i, (k, s) in enumerate(c)) for c in cut] or ([r["path"]] if r["head"] else [])
+        rows += [(t, r["path"], r["section"], r["page"]) for t in texts]
+    return rows
+
+
+def test_chunks_equal_those_of_a_plain_loop(spark):
+    rng = np.random.default_rng(7)
+    docs, rows = {}, []
+    for doc in range(40):
+        page = 1
+        for n in range(int(rng.integers(1, 40))):
+            page += int(rng.random() < 0.1)
+            level = int(rng.integers(1, 9)) if rng.random() < 0.35 else 0
+            text = f"{'#' * min(6, level)} Title {n}" if level else " ".join(f"Word {n} {k}." for k in range(int(rng.integers(1, 14))))
+            docs.setdefault(doc, []).append((level > 0, min(6, level), text, page))
+            rows.append((doc, n, "PARAGRAPH", text, page, None, None))
+    got = {}
+    for c in chunks(spark, rows, 4):
+        got.setdefault(c.doc_id, []).append((c.content, c.heading, c.section_id, c.page_number))
+    assert got == {doc: _plain_chunks(blocks, 4) for doc, blocks in docs.items()}
+
+
+def test_pages_are_read_once_and_shuffled_once_for_their_chunks(spark):
+    from lorefold.plans.content_queries import chunk_pages
+
+    plan = chunk_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[_extract(") == 1 and plan.count("[_sentences(") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
