@@ -132,11 +132,16 @@ def hashed_words(dim: int = 64):
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
+        slots: dict[str, int] = {}  # of the batch's words: the place, dim more for those that count down
+
+        def slot(w: str) -> int:
+            h = zlib.crc32(w.encode())
+            return slots.setdefault(w, h % dim + (0 if h & (1 << 20) else dim))
+
         def one(t: str | None) -> list[float]:
-            v = np.zeros(dim)
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1 if h & (1 << 20) else -1
+            words = (t or "").lower().split()
+            n = np.bincount([slots[w] if w in slots else slot(w) for w in words], minlength=2 * dim) if words else np.zeros(2 * dim)
+            v = (n[:dim] - n[dim:]).astype("f8")
             n = np.linalg.norm(v)
             return (v / n if n else np.eye(dim)[0]).astype("f4").tolist()
 

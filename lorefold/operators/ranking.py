@@ -156,34 +156,38 @@ def _incidence(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.n
     return np.bincount(flat, minlength=len(column) * len(vocabulary)).reshape(len(column), -1), length
 
 
-def _count_terms(vocabulary, fields: list[str]):
+def _found_terms(vocabulary, fields: list[str]):
+    """Arrow rows (id, fields as tokens) to the vocabulary's terms in each field, as places and counts, and the fields' lengths."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = vocabulary.value
-        df, n, total = np.zeros((len(fields), len(terms)), dtype=np.int64), np.zeros(len(fields), dtype=np.int64), np.zeros(len(fields), dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
-                for k, f in enumerate(fields):
+                names, columns = ["id"], [b.column("id").slice(at, ROWS)]
+                for f in fields:
                     tf, dl = _incidence(b.column(f).slice(at, ROWS), terms)
-                    df[k] += (tf > 0).sum(axis=0)
-                    n[k] += (dl > 0).sum()
-                    total[k] += dl.sum()
-        for k, f in enumerate(fields):
-            seen = np.flatnonzero(df[k])
-            yield pa.RecordBatch.from_arrays([pa.array([f] * (len(seen) + 1)), pa.array([-1, *seen.tolist()], pa.int64()), pa.array([n[k], *df[k][seen]], pa.int64()), pa.array([total[k], *[0] * len(seen)], pa.int64())], names=["field", "term", "n", "total"])
+                    row, term = np.nonzero(tf)
+                    start = pa.array(np.searchsorted(row, np.arange(len(dl) + 1)), pa.int32())
+                    names += [f"{f}_term", f"{f}_tf", f"{f}_dl"]
+                    columns += [*(pa.ListArray.from_arrays(start, pa.array(v, pa.int32())) for v in (term, tf[row, term])), pa.array(dl, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def _best_scores(model, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, fields, ids = model.value
+        n_terms, fields, ids = model.value
         best, step = Best(limit), rows_at_once(len(ids))
         for b in batches:
             for at in range(0, b.num_rows, step):
                 scores = None
                 for f, weight, weights, average in fields:
-                    tf, dl = _incidence(b.column(f).slice(at, step), terms)
-                    gain = tf / (tf + K1 * (1 - B + B * dl / average)[:, None])
+                    term, tf, dl = (b.column(f"{f}_{c}").slice(at, step) for c in ("term", "tf", "dl"))
+                    row = np.repeat(np.arange(len(dl)), pc.list_value_length(term).to_numpy())
+                    tf, dl = tf.flatten().to_numpy(), dl.to_numpy()
+                    gain = np.zeros((len(dl), n_terms))
+                    gain[row, term.flatten().to_numpy()] = tf / (tf + (K1 * (1 - B + B * dl / average))[row])
                     mine = gain @ weights * weight
                     scores = mine if scores is None else np.maximum(scores, mine)
                 best.add(b.column("id").slice(at, step), np.where(scores > 0, scores, -np.inf))
@@ -196,7 +200,8 @@ def bm25_by_matrix(items: DataFrame, terms: DataFrame, fields: dict[str, float],
     """(qid, id, score): at least the top `limit` items of each question by its best field, for a bounded set of questions.
 
     Tasks multiply the matrix of their items by the questions' terms with that of term by question weights and hand on their best items only, so the pairs of questions
-    and matching items are never rows. The terms (qid, term) come to the driver and the tasks; the caller bounds their number.
+    and matching items are never rows. Texts are read and cut into tokens once: the questions' terms in each item are written, counted and scored from there. The terms (qid, term) come to the
+    driver and the tasks; the caller bounds their number.
     """
     spark = items.sparkSession
     rows = terms.toArrow()
@@ -208,18 +213,17 @@ def bm25_by_matrix(items: DataFrame, terms: DataFrame, fields: dict[str, float],
     for q, t in zip(rows.column("qid").to_pylist(), rows.column("term").to_pylist(), strict=True):
         asked[place[t], of[q]] = 1
     text = items.select("id", *[tokens(F.col(f)).alias(f) for f in fields])
-    counts = text.select(*fields).mapInArrow(_count_terms(spark.sparkContext.broadcast(vocabulary), list(fields)), "field string, term long, n long, total long").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    kind = {x.name: x.dataType.simpleString() for x in (*items.schema, *terms.schema)}
+    found = written(text.mapInArrow(_found_terms(spark.sparkContext.broadcast(vocabulary), list(fields)), f"id {kind['id']}, " + ", ".join(f"{f}_term array<int>, {f}_tf array<int>, {f}_dl int" for f in fields)), "terms")
+    whole = found.agg(*[x for f in fields for x in (F.count_if(F.col(f"{f}_dl") > 0).alias(f"{f}_n"), F.coalesce(F.sum(f"{f}_dl"), F.lit(0)).alias(f"{f}_total"))]).first()
     model = []
     for f, weight in fields.items():
-        whole = next((r for r in counts if r.field == f and r.term == -1), None)
-        n, total = (whole.n, whole.total) if whole else (0, 0)
+        n, total = whole[f"{f}_n"], whole[f"{f}_total"]
         df = np.zeros(len(place))
-        for r in counts:
-            if r.field == f and r.term >= 0:
-                df[r.term] = r.n
+        for r in found.select(F.explode(f"{f}_term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
+            df[r.term] = r.n
         model.append((f, weight, asked * np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None], total / max(1, n) or 1.0))
-    kind = {x.name: x.dataType.simpleString() for x in (*items.schema, *terms.schema)}
-    return as_declared(text.mapInArrow(_best_scores(spark.sparkContext.broadcast((vocabulary, model, np.array(ids))), limit), f"qid {_long(kind['qid'])}, id {kind['id']}, score double"), kind)
+    return as_declared(found.mapInArrow(_best_scores(spark.sparkContext.broadcast((len(place), model, np.array(ids))), limit), f"qid {_long(kind['qid'])}, id {kind['id']}, score double"), kind)
 
 
 def bm25(items: DataFrame, questions: DataFrame, limit: int = 12, heading_weight: float | None = None, speaker_weight: float | None = None) -> DataFrame:
@@ -261,16 +265,27 @@ def checked_vector(v: Column, dim: int) -> Column:
     return F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit(f"a query vector needs {dim} dimensions, not "), F.size(v).cast("string"))))
 
 
+def _unit_rows(ids: pa.Array, x: pa.Array, size: int) -> tuple[pa.Array, np.ndarray]:
+    """Vectors of `size` numbers as rows of length 1, summed in the order of unit(), and their ids; others, and those that have no such form, are left out."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(x), size), False)
+    v = x.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
+    good = (norm > 0) & (norm < np.inf)
+    return ids.filter(fits).filter(pa.array(good)), v[good] / norm[good, None]
+
+
 def _best_products(matrix, ids: np.ndarray, limit: int):
-    """Arrow rows (id, x) to the best `limit` products of each query in a task."""
+    """Arrow rows (id, x) to the best `limit` products of each query in a task. Unfit vectors are left out here: a filter over the column would make Spark compute the vectors twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = matrix.value
         best, step = Best(limit), rows_at_once(len(ids))
         for b in batches:
             for at in range(0, b.num_rows, step):
-                x = b.column("x").slice(at, step)
-                best.add(b.column("id").slice(at, step), x.values[x.offsets[0].as_py() : x.offsets[-1].as_py()].to_numpy().reshape(len(x), -1) @ q.T)
+                some, x = _unit_rows(b.column("id").slice(at, step), b.column("x").slice(at, step), q.shape[1])
+                if len(some):
+                    best.add(some, x @ q.T)
         yield from best.rows(ids)
 
     return run
@@ -285,7 +300,7 @@ def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int =
     """
     if not 1 <= limit <= candidates:
         raise ValueError("limit must be positive and not above candidates")
-    x = items.select("id", unit(F.col("embedding")).alias("x")).where("x is not null")
+    x = items.select("id", F.col("embedding").cast("array<double>").alias("x"))
     embedding = F.col("embedding") if dim is None else checked_vector(F.col("embedding"), dim)
     q = queries.select("qid", unit(embedding).alias("q"), F.size(embedding).alias("size")).where("q is not null")
     kind, context = {f.name: f.dataType.simpleString() for f in (*x.schema, *q.schema)}, items.sparkSession.sparkContext
@@ -298,7 +313,7 @@ def knn(items: DataFrame, queries: DataFrame, limit: int = 12, candidates: int =
                 continue
             matrix = context.broadcast(np.stack(some.column("q").to_numpy(zero_copy_only=False)))
             ids = np.array(some.column("qid").to_pylist())
-            best = as_declared(x.where(F.size("x") == r["size"]).mapInArrow(_best_products(matrix, ids, limit), f"qid {_long(kind['qid'])}, id {kind['id']}, score double"), kind)
+            best = as_declared(x.mapInArrow(_best_products(matrix, ids, limit), f"qid {_long(kind['qid'])}, id {kind['id']}, score double"), kind)
             if blocks > 1:
                 best = written(top_k(best, limit, "qid", [F.desc("score"), F.asc("id")]).drop("rank"), "knn")
                 matrix.destroy()

@@ -345,3 +345,27 @@ def test_pages_are_read_once_and_shuffled_once_for_their_chunks(spark):
     plan = chunk_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("[_extract(") == 1 and plan.count("[_sentences(") == 1
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_texts_are_cut_and_embedded_once_for_their_lists(spark):
+    """Lists are scored from written terms, and a provider's vectors are computed once, whatever is left out of them."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    items = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    q = spark.createDataFrame([(1, "red dog")], "qid long, text string")
+    assert "regexp_extract_all" not in plan(R.bm25(items, q, 3))
+    embed = E.hashed_words(8)
+    lists = R.knn(items.select("id", embed("content").alias("embedding")), q.select("qid", embed("text").alias("embedding")), 3)
+    executed = lists._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("ArrowEvalPython") == 1 and lists.count() == 3
+
+
+def test_item_vectors_are_those_of_unit_and_unfit_ones_have_no_place(spark):
+    rng = np.random.default_rng(11)
+    v = [rng.normal(size=5).tolist() for _ in range(20)] + [None, [0.0] * 5, [1.0] * 4, [1.0, float("nan"), 0.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0, 0.0], [1.0, None, 0.0, 0.0, 0.0], [1e200] * 5]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, embedding array<double>")
+    want = {r.id: r.x for r in df.select("id", R.unit(F.col("embedding")).alias("x")).where("x is not null and size(x) = 5").collect()}
+    for at in (0, 3):
+        ids, x = R._unit_rows(pa.array(range(len(v)))[at:], pa.array(v, pa.list_(pa.float64()))[at:], 5)
+        assert dict(zip(ids.to_pylist(), x.tolist(), strict=True)) == {k: r for k, r in want.items() if k >= at}
+    got = R.knn(df, df.where("id < 2").withColumnRenamed("id", "qid"), 30).collect()
+    assert {r.id for r in got} == set(want) == set(range(20))
