@@ -21,8 +21,10 @@ CUT, SEED = 0.3, 10
 HELD_GRAMS = 2_000_000
 #: Bytes of a unit of the joins: a word, or a part of a longer one, after the bytes before it.
 PIECE = 64
-#: Distinct n-grams that a task counts before it hands them on.
-COUNTED = 1_500_000
+#: Distinct n-grams that a task counts before it hands them on, and rows of counts that wait for the next sum.
+COUNTED, WAITING = 1_500_000, 1 << 17
+#: Bytes of texts whose n-grams, of 8 bytes each and several times over while they are sorted, a task holds at once.
+TEXT_BYTES = 1 << 19
 _U = np.uint64
 _START = b"\x01" * (ORDER - 1)
 #: Columns of a model: counts of n-grams by class, of their contexts and the kinds of bytes that follow; for each shorter order, the kinds of bytes
@@ -104,15 +106,22 @@ class Held:
             found |= {c: np.where(same, v[at], 0).astype(float) if len(v) else np.zeros(len(key)) for c, v in values.items()}
         return log_ratio(found)
 
+    def sums(self, flat: bytes) -> np.ndarray:
+        """Before each byte, and at the end, the sum of the log ratios of the bytes so far; n-grams are made of TEXT_BYTES at a time, however long a text is."""
+        total, lead = np.zeros(len(flat) + 1), ORDER - 1
+        for at in range(0, len(flat), TEXT_BYTES):
+            before = min(at, lead)
+            gram, inverse = np.unique(grams_of(flat[at - before : at + TEXT_BYTES])[before:], return_inverse=True)
+            total[at + 1 : at + 1 + len(inverse)] = self.ratios(gram)[inverse]
+        return np.cumsum(total, out=total)
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         """For each text, the log ratio per byte, the highest of a word, and the logarithm of the number of words; zeros without words."""
         data = [spelled(t) for t in texts]
         flat = b"".join(_START + d for d in data)
-        gram, inverse = np.unique(grams_of(flat), return_inverse=True)
-        ratio = self.ratios(gram)[inverse]
+        total = self.sums(flat)
         size = np.array([len(d) for d in data])
         end = np.cumsum(size + len(_START))
-        total = np.concatenate(([0.0], np.cumsum(ratio)))
         blanks = np.flatnonzero(np.frombuffer(flat, dtype=np.uint8) == 32)
         cut = np.searchsorted(blanks, np.concatenate(([0], end)))
         out = np.zeros((len(texts), 3))
@@ -136,26 +145,30 @@ class KneserNey:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, toxic, text) rows to the counts of n-grams by part and class."""
-    names = ["a0", "a1", "b0", "b1"]
-    keys, counts = np.zeros(0, dtype=_U), [np.zeros(0, dtype=np.int64)] * 4
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["gram", *names])
-    for b in pieces(batches, "text"):
+    held: list[tuple[np.ndarray, ...]] = []
+    waiting = 0
+
+    def batch() -> pa.RecordBatch:
+        keys, *counts = held[0]
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["gram", "a0", "a1", "b0", "b1"])
+
+    for b in pieces(batches, "text", TEXT_BYTES):
         column = 2 * b.column("part").to_numpy() + b.column("toxic").to_numpy()
         texts = b.column("text").to_pylist()
-        new, fresh = [keys], [[c] for c in counts]
         for k in range(4):
             data = [_START + spelled(texts[i]) for i in np.flatnonzero(column == k)]
             size = np.array([len(d) for d in data], dtype=np.int64)
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             gram, n = np.unique(grams_of(b"".join(data))[place >= len(_START)], return_counts=True)
-            new.append(gram)
-            for m in range(4):
-                fresh[m].append(n if m == k else np.zeros(len(n), dtype=np.int64))
-        keys, *counts = _sums(np.concatenate(new), *map(np.concatenate, fresh))
-        if len(keys) > COUNTED:
-            yield batch()
-            keys, counts = np.zeros(0, dtype=_U), [np.zeros(0, dtype=np.int64)] * 4
-    if len(keys):
+            held.append((gram, *(n if m == k else np.zeros(len(n), dtype=np.int64) for m in range(4))))
+            waiting += len(gram)
+        if waiting >= WAITING:
+            held, waiting = [_sums(*map(np.concatenate, zip(*held, strict=True)))], 0
+            if len(held[0][0]) > COUNTED:
+                yield batch()
+                held = []
+    held = [_sums(*map(np.concatenate, zip(*held, strict=True)))] if held else []
+    if held and len(held[0][0]):
         yield batch()
 
 
@@ -223,7 +236,7 @@ def _joined_features(docs: DataFrame, net: KneserNey) -> DataFrame:
 
 def _measure(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", TEXT_BYTES):
             x = shared.value.features(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "mean", "most", "length"])
 
@@ -232,7 +245,7 @@ def _measure(shared):
 
 def _score(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", TEXT_BYTES):
             z = np.column_stack([np.ones(b.num_rows), shared.value.features(b.column("text").to_pylist())]) @ shared.value.weights
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*names, "score"])
 

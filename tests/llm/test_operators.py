@@ -3,10 +3,12 @@
 import math
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -601,6 +603,35 @@ def test_toxicity_joins_like_a_held_model(spark, docs, monkeypatch):
     assert scores() == pytest.approx(held, abs=1e-4)
 
 
+def test_toxicity_tasks_hold_a_bounded_part_of_their_n_grams(monkeypatch):
+    """N-grams of a batch, or of one long text, are made in parts; counts and features are those of all at once, also across the parts."""
+    draw = np.random.default_rng(7)
+    words = np.column_stack([draw.integers(97, 123, (300, 5), dtype=np.uint8), np.full(300, 32, np.uint8)])[draw.integers(0, 300, 1_000_000)]
+    texts = [words[at : at + 1000].tobytes().decode() for at in range(0, 200_000, 1000)] + [words[200_000:].tobytes().decode(), None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts)) % 2, pa.int32()), pa.array(np.arange(len(texts)) // 2 % 2, pa.int32()), pa.array(texts)], names=["part", "toxic", "text"])
+
+    def counted():
+        rows = [tuple(r.values()) for b in toxicity._count(iter([batch])) for r in b.to_pylist()]
+        out = Counter()
+        for gram, *n in rows:
+            out.update({(gram, k): v for k, v in enumerate(n) if v})
+        return out
+
+    counts = counted()
+    gram = np.array(sorted({g for g, _ in counts}), dtype=np.int64)
+    c0, c1 = (np.array([counts[g, k] + counts[g, k + 2] for g in gram.tolist()]) for k in (0, 1))
+    held = toxicity.Held.of(gram.view(np.uint64), c0, c1, gram.view(np.uint64), np.array([-4.0, 1.0, 1.0, -0.5]))
+    tracemalloc.start()
+    features = held.features(texts[-3:])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(texts[-3])  # the n-grams alone would take 8 bytes each, and sorting them four times that
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 1 << 24)
+    assert features == pytest.approx(held.features(texts[-3:]), rel=1e-9)
+    monkeypatch.setattr(toxicity, "WAITING", 1 << 24)
+    assert counted() == counts
+
+
 def test_embeddings_of_a_null_id_link_with_nothing(spark):
     rows = [(None, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.99, 0.05], 0), (None, [0.0, 1.0], 0)]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
