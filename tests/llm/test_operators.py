@@ -646,6 +646,35 @@ def test_join_in_slices_of_signatures(spark, monkeypatch):
     assert any(c != i for i, _, c in want)
 
 
+def test_common_passages_make_no_large_family(spark, monkeypatch):
+    """Documents that only quote the same passages are told apart before blocks of them are multiplied; near copies among them, and a large group of them, still link."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} {' '.join(f'w{x}' for x in rng.integers(0, 10**6, 80))}") for i in range(60)]
+    rows += [(i + 60, f"{rows[i][1]} end") for i in range(5)] + [(65 + i, f"{rows[7][1]} {i}") for i in range(12)]
+    written = defaultdict(list)
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: written[name].append(got := materialise(df, name)) or got)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "SLICE_ENTRIES", 1000, raising=False)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows, 5, 80, 100)
+    assert 0 < sum(t.count() for t in written["large"]) <= 13
+
+
+def test_copies_in_many_tasks_share_signatures_with_nothing(spark, monkeypatch):
+    """Of a set's copies one document makes signatures, whether most documents are copies or few, and repeated ids link as one document."""
+    written = defaultdict(list)
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: written[name].append(got := materialise(df, name)) or got)
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(i).integers(0, 10**6, 40)) for i in range(10)]
+    for copies in (1, 6):
+        written.clear()
+        rows = [(100 * c + i, t) for c in range(copies) for i, t in enumerate(texts)] + [(903, texts[3]), (903, texts[4]), (904, "unlike"), (904, texts[4])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+        assert got == {i: 3 if i in (903, 904) or i % 100 == 4 else i % 100 for i, _ in rows}
+        assert sum(t.count() for t in written["signatures"]) == 0
+
+
 def test_no_shuffle_stays_after_a_written_table(spark):
     """What a written table was shuffled by goes with the write, and the session's setting is as before."""
     files = lambda: {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
